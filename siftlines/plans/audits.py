@@ -76,10 +76,11 @@ def prompts(files: DataFrame, found: DataFrame, named: bool = False) -> DataFram
 
 
 def folder_audit(files: DataFrame, primary: DataFrame | None = None, summaries: DataFrame | None = None,
-                 chunk_summaries: DataFrame | None = None) -> dict[str, DataFrame]:
+                 chunk_summaries: DataFrame | None = None,
+                 big_lines: int = lookups.BIG_FILE_LINES) -> dict[str, DataFrame]:
     """Findings, one result row per file, and the errors of a whole corpus.
 
-    Files of more than 200 lines go through chunks: their chunks' findings are
+    Files of more than ``big_lines`` lines go through chunks: their chunks' findings are
     merged in and their summary is the narrative.
     """
     has_errors = "error" in files.columns
@@ -88,7 +89,7 @@ def folder_audit(files: DataFrame, primary: DataFrame | None = None, summaries:
     found = scan.scan(readable) if primary is None else scan.with_fallback(readable, primary)
     found = session.keep(found)
 
-    is_big = text.newline_count(F.col("content")) > lookups.BIG_FILE_LINES
+    is_big = text.newline_count(F.col("content")) > big_lines
     big = readable.where(is_big)
     big_paths = big.select(F.col("path").alias("file"))
     tagged, chunk_rows = chunk_results(big, scan.scan(big), chunk_summaries)
