@@ -74,7 +74,7 @@ def _plain_boundaries(content: Column) -> Column:
                   ).otherwise(content)
 
 
-def _split(marked: Column) -> Column:
+def plain_lines(marked: Column) -> Column:
     """Split at newlines; a final newline does not open another line."""
     return let(marked, lambda m: F.when(m == "", F.array().cast("array<string>")).otherwise(
         F.split(F.when(F.endswith(m, F.lit("\n")), F.left(m, F.char_length(m) - 1)).otherwise(m), "\n")))
@@ -82,12 +82,12 @@ def _split(marked: Column) -> Column:
 
 def split_lines(content: Column) -> Column:
     """Lines as a scan sees them: every Unicode line boundary ends a line."""
-    return _split(_plain_boundaries(content))
+    return plain_lines(_plain_boundaries(content))
 
 
 def read_lines(content: Column) -> Column:
     """Lines as a file reader sees them: only newlines end a line."""
-    return _split(newlines(content))
+    return plain_lines(newlines(content))
 
 
 def newline_count(content: Column) -> Column:

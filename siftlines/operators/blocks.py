@@ -1,14 +1,14 @@
 """Code blocks: the named line ranges a file is cut into.
 
-A file is one value of one row, so the windows below, which run per file,
-never hold more than one file's lines; only numbers and flags move, no text.
+Blocks are found by one fold over a file's own line array.  The fold carries
+the bracket depth and the block that is open; nothing is shuffled, and the
+corpus is read once for all languages.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlines.functions import lexical, lookups
-from siftlines.functions.text import read_lines
-from siftlines.operators import lines as line_ops
+from siftlines.functions.text import let, plain_lines, read_lines, split_lines
 
 _PY_HEADER = r"^(?:async[ \t]+def|def|class)[ \t]+(\w+)"
 _JS_FUNCTION = r"^[ \t]*(?:async[ \t]+)?function[ \t]+(\w+)"
@@ -23,161 +23,236 @@ _JAVA_METHOD = (r"^[ \t]*(?:@\w+(?:\([^)]*\))?[ \t]+)*"
 _JAVA_WORDS = ("new", "return", "else", "throw", "case", "package", "import", "class", "interface", "enum",
                "if", "for", "while", "switch", "catch", "try", "do", "synchronized", "assert", "instanceof")
 
+_BLOCK = "struct<name:string,first:int,last:int>"
+_BLOCKS = f"array<{_BLOCK}>"
+_CHUNKS = "array<struct<chunk_id:int,name:string,start_line:int,end_line:int>>"
 
-def _code_lines(files: DataFrame, language: str) -> DataFrame:
-    """Lines of one language with their masked text; blank masked lines dropped."""
-    chosen = files.where(F.col("language") == language)
-    pairs = F.arrays_zip(
-        read_lines(F.col("content")).alias("raw"),
-        read_lines(lexical.masked(F.col("content"), F.col("language"))).alias("code"))
-    return (chosen.select("path", F.posexplode(pairs).alias("pos", "pair"))
-            .select("path", (F.col("pos") + 1).alias("line"), "pair.raw", "pair.code")
-            .where(F.col("code").rlike(r"[^ \t]")))
 
+def _block(name: Column, first: Column, last: Column) -> Column:
+    return F.struct(name.cast("string").alias("name"), first.cast("int").alias("first"), last.cast("int").alias("last"))
 
-def _numbered(blocks: DataFrame) -> DataFrame:
-    """Blocks(path, name, first, last) with their number within the file."""
-    order = Window.partitionBy("path").orderBy("first")
-    return blocks.select(
-        "path", (F.row_number().over(order) - 1).alias("chunk_id"), "name",
-        (F.col("first") - 1).alias("start_line"), F.col("last").alias("end_line"))
 
+def _none(kind: str = "string") -> Column:
+    return F.lit(None).cast(kind)
 
-def python_blocks(files: DataFrame) -> DataFrame:
+
+def _append(blocks: Column, condition: Column, block: Column) -> Column:
+    return F.when(condition, F.concat(blocks, F.array(block))).otherwise(blocks)
+
+
+def _count(code: Column, signs: str) -> Column:
+    return F.char_length(code) - F.char_length(F.translate(code, signs, ""))
+
+
+def _named(code: Column, word: str, pattern: str, group: int = 1) -> Column:
+    """The name a header pattern captures; only lines with ``word`` are matched."""
+    found = F.regexp_extract(code, pattern, group)
+    return F.when(F.contains(code, F.lit(word)) & (found != ""), found)
+
+
+def _state(**fields: Column) -> Column:
+    return F.struct(*[value.alias(name) for name, value in fields.items()])
+
+
+def _fold(items: Column, start: Column, step, finish) -> Column:
+    return F.aggregate(items, start, step, finish)
+
+
+def _python(pairs: Column) -> Column:
     """Top-level functions and classes, decorators included."""
-    header = F.regexp_extract("code", _PY_HEADER, 1)
-    marked = _code_lines(files, "python").select(
-        "path", "line",
-        # A closing bracket in the first column continues the statement above it.
-        F.col("code").rlike(r"^[^ \t)\]}]").alias("top"),
-        F.col("code").startswith("@").alias("decorator"),
-        F.when(header != "", header).alias("name"))
-    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    decorated = F.coalesce(F.last(F.when(F.col("top"), F.col("decorator")), ignorenulls=True).over(before), F.lit(False))
-    islands = (marked.withColumn("opens", (F.col("top") & ~decorated).cast("int"))
-               .withColumn("island", F.sum("opens").over(upto)))
-    blocks = islands.groupBy("path", "island").agg(
-        F.min("line").alias("first"), F.max("line").alias("last"),
-        # The name is on the island's first undecorated line; nested headers are indented.
-        F.min(F.when(F.col("top"), F.col("name"))).alias("name"))
-    return _numbered(blocks.where(F.col("name").isNotNull() & (F.col("island") > 0)))
-
-
-def _bracket_lines(files: DataFrame, language: str, opening: str, closing: str) -> DataFrame:
-    """Code lines with the bracket depth before and after each."""
-    count = lambda signs: F.char_length("code") - F.char_length(F.translate("code", signs, ""))
-    lines = _code_lines(files, language).withColumns(
-        {"opened": count(opening), "closed": count(closing)})
-    upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    after = F.sum(F.col("opened") - F.col("closed")).over(upto).cast("int")
-    return lines.withColumn("after", after).withColumn(
-        "before", (F.col("after") - F.col("opened") + F.col("closed")).cast("int"))
-
-
-def _closed_at(lines: DataFrame, headers: DataFrame, ends_here: Column) -> DataFrame:
-    """Headers(path, line, level, name, kind) with the line their block ends on.
-
-    A line that closes brackets ends every level it falls back to.  Headers and
-    closing lines of one (path, level) are put in order; the nearest closing
-    line at or after a header is its end.
-    """
-    # From the level it ends on up to the level it started from: one line closes them all.
-    levels = F.sequence("after", F.greatest(F.col("after"), F.col("before") - 1))
-    closers = lines.where("closed > 0").select(
-        "path", "line", F.explode(levels).alias("level"),
-        F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind"),
-        F.col("code").contains("}").alias("curly"))
-    marks = headers.select("path", "line", "level", "name", "kind", F.lit(None).cast("boolean").alias("curly"))
-    # From the last line up, closing lines before headers of the same line.
-    backwards = (Window.partitionBy("path", "level").orderBy(F.desc("line"), F.col("kind").isNotNull())
-                 .rowsBetween(Window.unboundedPreceding, 0))
-    closer = F.col("kind").isNull()
-    nearest = closers.unionByName(marks).withColumns({
-        "any_end": F.last(F.when(closer, F.col("line")), ignorenulls=True).over(backwards),
-        "curly_end": F.last(F.when(closer & F.col("curly"), F.col("line")), ignorenulls=True).over(backwards)})
-    return nearest.where(~closer).select("path", "level", "name", "kind", F.col("line").alias("first"),
-                                         ends_here.alias("last"))
-
-
-def javascript_blocks(files: DataFrame) -> DataFrame:
+    def item(pair, i):
+        c = pair["code"]
+        return F.struct(
+            (i + 1).alias("line"),
+            # A closing bracket in the first column continues the statement above it.
+            c.rlike(r"^[^ \t)\]}]").alias("top"),
+            c.startswith("@").alias("decorator"),
+            F.when(c.startswith("def") | c.startswith("class") | c.startswith("async"),
+                   F.nullif(F.regexp_extract(c, _PY_HEADER, 1), F.lit(""))).alias("name"),
+            c.rlike(r"[^ \t]").alias("filled"))
+
+    lines = F.filter(F.transform(pairs, item), lambda x: x["filled"])
+
+    def closed(s):
+        return _append(s["blocks"], s["name"].isNotNull(), _block(s["name"], s["first"], s["last"]))
+
+    def step(s, x):
+        opens = x["top"] & ~s["decorated"]
+        return _state(
+            name=F.when(opens, x["name"]).when(x["top"], F.coalesce(s["name"], x["name"])).otherwise(s["name"]),
+            first=F.when(opens, x["line"]).otherwise(s["first"]),
+            last=x["line"],
+            decorated=F.when(x["top"], x["decorator"]).otherwise(s["decorated"]),
+            blocks=F.when(opens, closed(s)).otherwise(s["blocks"]))
+
+    start = _state(name=_none(), first=F.lit(0), last=F.lit(0), decorated=F.lit(False),
+                   blocks=F.array().cast(_BLOCKS))
+    return _fold(lines, start, step, closed)
+
+
+def _bracketed(pairs: Column, opening: str, closing: str, describe) -> Column:
+    """Filled lines with their brackets and what ``describe(code, raw)`` adds."""
+    def item(pair, i):
+        code, raw = pair["code"], pair["raw"]
+        return F.struct(
+            (i + 1).alias("line"), code.rlike(r"[^ \t]").alias("filled"),
+            _count(code, opening).alias("opened"), _count(code, closing).alias("closed"),
+            F.contains(code, F.lit("}")).alias("curly"), *describe(code, raw))
+    return F.filter(F.transform(pairs, item), lambda x: x["filled"])
+
+
+def _ends(x: Column, after: Column, before: Column, level: Column) -> Column:
+    """True when a line closes the bracket level a block was opened on."""
+    return (x["closed"] > 0) & (after <= level) & (F.greatest(after, before - 1) >= level)
+
+
+def _javascript(pairs: Column) -> Column:
     """Top-level functions, classes and routes."""
-    lines = _bracket_lines(files, "javascript", "{([", "})]")
-    function, klass = F.regexp_extract("code", _JS_FUNCTION, 1), F.regexp_extract("code", _JS_CLASS, 1)
-    method = F.regexp_extract("code", _JS_ROUTE, 1)
-    argument = F.btrim(F.regexp_extract("raw", _JS_ROUTE_ARG, 1), F.lit("'\""))
-    name = (F.when(function != "", function).when(klass != "", klass)
-            .when((method != "") & (F.regexp_extract("raw", _JS_ROUTE_ARG, 1) != ""),
-                  F.concat(F.lit("route_"), method, F.lit("_"), argument)))
-    kind = F.when((function != "") | (klass != ""), "block").otherwise("route")
-    headers = (lines.where("before = 0").select("path", "line", F.col("before").alias("level"),
-                                                name.alias("name"), kind.alias("kind"))
-               .where("name is not null"))
-    end = F.when(F.col("kind") == "block", F.col("curly_end")).otherwise(F.col("any_end"))
-    return _numbered(_closed_at(lines, headers, F.coalesce(end, F.col("line"))))
-
-
-def java_blocks(files: DataFrame) -> DataFrame:
+    def describe(c, raw):
+        argument = F.regexp_extract(raw, _JS_ROUTE_ARG, 1)
+        method = F.regexp_extract(c, _JS_ROUTE, 1)
+        route = F.when(F.contains(c, F.lit("(")) & (method != "") & (argument != ""),
+                       F.concat(F.lit("route_"), method, F.lit("_"), F.btrim(argument, F.lit("'\""))))
+        block = F.coalesce(_named(c, "function", _JS_FUNCTION), _named(c, "class", _JS_CLASS))
+        return [F.coalesce(block, route).alias("name"), block.isNotNull().alias("body")]
+
+    lines = _bracketed(pairs, "{([", "})]", describe)
+
+    def step(s, x):
+        before, after = s["depth"], s["depth"] + x["opened"] - x["closed"]
+        header = (before == 0) & x["name"].isNotNull()
+        # A header that meets the next header had no body: it is one line.
+        lost = header & s["name"].isNotNull()
+        name = F.when(header, x["name"]).otherwise(s["name"])
+        first = F.when(header, x["line"]).otherwise(s["first"])
+        body = F.when(header, x["body"]).otherwise(s["body"])
+        ended = name.isNotNull() & _ends(x, after, before, F.lit(0)) & (~body | x["curly"])
+        kept = _append(s["blocks"], lost, _block(s["name"], s["first"], s["first"]))
+        return _state(depth=after.cast("int"), name=F.when(~ended, name), first=first, body=body, last=x["line"],
+                      blocks=_append(kept, ended, _block(name, first, x["line"])))
+
+    start = _state(depth=F.lit(0), name=_none(), first=F.lit(0), body=F.lit(False), last=F.lit(0),
+                   blocks=F.array().cast(_BLOCKS))
+    return _fold(lines, start, step, lambda s: _append(
+        s["blocks"], s["name"].isNotNull(), _block(s["name"], s["first"], s["last"])))
+
+
+def _java(pairs: Column) -> Column:
     """Methods at any depth, but none inside another method."""
-    lines = _bracket_lines(files, "java", "{", "}")
-    kind_word, word = F.regexp_extract("code", _JAVA_METHOD, 1), F.regexp_extract("code", _JAVA_METHOD, 2)
-    is_method = (word != "") & ~kind_word.isin(*_JAVA_WORDS) & ~word.isin(*_JAVA_WORDS)
-    annotation = F.col("code").rlike(r"^[ \t]*@\w+(?:\([^)]*\))?[ \t]*$")
-    order = Window.partitionBy("path").orderBy("line")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    # Annotation lines right above a method belong to it: the method starts
-    # after the last line that is no annotation.
-    marked = lines.withColumns({"annotation": annotation, "row": F.row_number().over(order)})
-    marked = marked.withColumn("body_row", F.coalesce(
-        F.last(F.when(~F.col("annotation"), F.col("row")), ignorenulls=True).over(before), F.lit(0)))
-    # first_line[row]: the line the annotations above this row start on.
-    marked = marked.withColumn("run_first", F.last(F.when(F.col("row") == F.col("body_row") + 1, F.col("line")),
-                                                   ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    headers = marked.where(is_method).select(
-        "path", "line", F.col("before").alias("level"), "run_first",
-        # A method without a body ends on its own line.
-        F.when(F.col("code").rlike(r";[ \t]*$") & ~F.col("code").contains("{"), "bodyless").otherwise("block").alias("kind"),
-        word.alias("name"))
-    end = F.when(F.col("kind") == "bodyless", F.col("line")).otherwise(F.coalesce("curly_end", F.col("line")))
-    closed = _closed_at(lines, headers, end).join(
-        headers.select("path", F.col("line").alias("first"), "run_first"), ["path", "first"])
-    reached = F.max("last").over(Window.partitionBy("path").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
-    outer = closed.withColumn("reached", reached).where("reached is null or first > reached")
-    return _numbered(outer.select("path", "name", F.col("run_first").alias("first"), "last"))
+    def describe(c, raw):
+        kind, name = F.regexp_extract(c, _JAVA_METHOD, 1), F.regexp_extract(c, _JAVA_METHOD, 2)
+        method = (name != "") & ~kind.isin(*_JAVA_WORDS) & ~name.isin(*_JAVA_WORDS)
+        return [F.when(F.contains(c, F.lit("(")) & method, name).alias("name"),
+                c.rlike(r"^[ \t]*@\w+(?:\([^)]*\))?[ \t]*$").alias("annotation"),
+                (c.rlike(r";[ \t]*$") & ~F.contains(c, F.lit("{"))).alias("bodyless")]
+
+    lines = _bracketed(pairs, "{", "}", describe)
+
+    def step(s, x):
+        before, after = s["depth"], s["depth"] + x["opened"] - x["closed"]
+        header = s["name"].isNull() & x["name"].isNotNull()
+        # Annotation lines right above a method belong to it.
+        noted = F.when(x["annotation"], F.coalesce(s["noted"], x["line"]))
+        name = F.when(header, x["name"]).otherwise(s["name"])
+        first = F.when(header, F.coalesce(s["noted"], x["line"])).otherwise(s["first"])
+        level = F.when(header, before).otherwise(s["level"])
+        ended = name.isNotNull() & ((header & x["bodyless"]) | _ends(x, after, before, level))
+        return _state(depth=after.cast("int"), name=F.when(~ended, name), first=first, level=level, noted=noted,
+                      last=x["line"], blocks=_append(s["blocks"], ended, _block(name, first, x["line"])))
+
+    start = _state(depth=F.lit(0), name=_none(), first=F.lit(0), level=F.lit(0), noted=_none("int"), last=F.lit(0),
+                   blocks=F.array().cast(_BLOCKS))
+    return _fold(lines, start, step, lambda s: _append(
+        s["blocks"], s["name"].isNotNull(), _block(s["name"], s["first"], s["last"])))
+
+
+def c_functions(pairs: Column) -> Column:
+    """Line ranges of C functions: from a brace opened at depth 0 to its end."""
+    lines = _bracketed(pairs, "{", "}", lambda code, raw: [])
+
+    def step(s, x):
+        before, after = s["depth"], s["depth"] + x["opened"] - x["closed"]
+        header = s["name"].isNull() & (before == 0) & (x["opened"] > 0)
+        name = F.when(header, "function").otherwise(s["name"])
+        first = F.when(header, x["line"]).otherwise(s["first"])
+        ended = name.isNotNull() & (after <= 0)
+        return _state(depth=after.cast("int"), name=F.when(~ended, name), first=first, last=x["line"],
+                      blocks=_append(s["blocks"], ended, _block(name, first, x["line"])))
+
+    start = _state(depth=F.lit(0), name=_none(), first=F.lit(0), last=F.lit(0), blocks=F.array().cast(_BLOCKS))
+    return _fold(lines, start, step, lambda s: _append(
+        s["blocks"], s["name"].isNotNull(), _block(s["name"], s["first"], s["last"])))
+
+
+def lined(files: DataFrame) -> DataFrame:
+    """Files with their lines as pairs of raw and masked text."""
+    raw = read_lines(F.col("content"))
+    code = plain_lines(lexical.masked(F.col("content"), F.col("language")))
+    return files.select("path", "language", "content",
+                        F.arrays_zip(raw.alias("raw"), code.alias("code")).alias("pairs"))
+
+
+def _blocks(language: Column, pairs: Column) -> Column:
+    found = (F.when(language == "python", _python(pairs)).when(language == "javascript", _javascript(pairs))
+             .when(language == "java", _java(pairs)).otherwise(F.array().cast(_BLOCKS)))
+    return F.transform(found, lambda b, i: F.struct(
+        i.alias("chunk_id"), b["name"].alias("name"), (b["first"] - 1).alias("start_line"), b["last"].alias("end_line")))
+
+
+def _windows(content: Column, size: int) -> Column:
+    def cut(n):
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s, i: let(F.least(s + size, n), lambda e: F.struct(
+            i.alias("chunk_id"), F.format_string("lines_%d_to_%d", s + 1, e).alias("name"),
+            s.alias("start_line"), e.alias("end_line"))))
+    return let(F.size(split_lines(content)), cut)
+
+
+def _exploded(chunked: DataFrame, *carry) -> DataFrame:
+    # The outer form keeps the optimizer from testing the array's size in a
+    # filter below, which would work the whole fold out a second time.
+    return (chunked.select("path", *carry, F.explode_outer("chunks").alias("c")).where("c is not null")
+            .select("path", *carry, "c.chunk_id", "c.name", "c.start_line", "c.end_line"))
 
 
 def code_blocks(files: DataFrame) -> DataFrame:
-    """Blocks of all languages that have them."""
-    return (python_blocks(files).unionByName(javascript_blocks(files)).unionByName(java_blocks(files)))
+    """chunks(path, chunk_id, name, start_line, end_line): blocks of the languages that have them."""
+    return _exploded(lined(files).select("path", _blocks(F.col("language"), F.col("pairs")).alias("chunks")))
+
+
+def chunked(files: DataFrame, size: int = lookups.CHUNK_LINES) -> DataFrame:
+    """Files with their chunks: blocks, or windows of ``size`` lines where there are none."""
+    chunks = let(_blocks(F.col("language"), F.col("pairs")).cast(_CHUNKS), lambda b: F.when(F.size(b) > 0, b).otherwise(
+        _windows(F.col("content"), size).cast(_CHUNKS)))
+    return lined(files).select("path", "language", "pairs", chunks.alias("chunks"))
 
 
 def chunk_bounds(files: DataFrame, size: int = lookups.CHUNK_LINES) -> DataFrame:
-    """chunks(path, chunk_id, name, start_line, end_line): blocks, or windows
-    of ``size`` lines for a file without blocks."""
-    blocks = code_blocks(files)
-    rest = files.join(blocks.select("path").distinct(), "path", "left_anti")
-    windows = line_ops.line_windows(rest, size).select("path", "chunk_id", "name", "start_line", "end_line")
-    return blocks.unionByName(windows)
-
-
-def gaps(bounds: DataFrame, files: DataFrame) -> DataFrame:
-    """Line ranges of a file that no chunk covers; chunking leaves them out."""
-    counted = files.select("path", F.size(read_lines(F.col("content"))).alias("n_lines"))
-    order = Window.partitionBy("path").orderBy("start_line")
-    edges = bounds.select("path", "start_line", "end_line").unionByName(
-        counted.select("path", F.col("n_lines").alias("start_line"), F.col("n_lines").alias("end_line")))
-    reached = F.coalesce(F.max("end_line").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return edges.withColumn("reached", reached).where("start_line > reached").select(
-        "path", F.col("reached").alias("start_line"), F.col("start_line").alias("end_line"))
-
-
-def chunk_texts(bounds: DataFrame, files: DataFrame) -> DataFrame:
-    """Chunks with their text."""
-    ranges = bounds.groupBy("path").agg(F.collect_list(
-        F.struct("chunk_id", "name", "start_line", "end_line")).alias("chunks"))
-    held = files.join(ranges, "path").select(
-        "path", "language", read_lines(F.col("content")).alias("lines"), "chunks")
-    return held.select("path", "language", "lines", F.explode("chunks").alias("c")).select(
-        "path", "language", "c.chunk_id", "c.name", "c.start_line", "c.end_line",
-        F.array_join(F.slice("lines", F.col("c.start_line") + 1, F.col("c.end_line") - F.col("c.start_line")),
-                     "\n").alias("text"))
+    """chunks(path, chunk_id, name, start_line, end_line) of every file."""
+    return _exploded(chunked(files, size).select("path", "chunks"))
+
+
+def chunk_texts(files: DataFrame, size: int = lookups.CHUNK_LINES) -> DataFrame:
+    """As ``chunk_bounds``, with the language and the text of every chunk."""
+    return _exploded(chunked(files, size), "language", "pairs").select(
+        "path", "language", "chunk_id", "name", "start_line", "end_line",
+        F.array_join(F.transform(
+            F.slice("pairs", F.col("start_line") + 1, F.col("end_line") - F.col("start_line")),
+            lambda pair: pair["raw"]), "\n").alias("text"))
+
+
+def gaps(files: DataFrame) -> DataFrame:
+    """Line ranges no block of a file with blocks covers; chunking leaves them out."""
+    found = lined(files).select("path", F.size("pairs").alias("n"),
+                                _blocks(F.col("language"), F.col("pairs")).alias("chunks"))
+
+    def between(edges):
+        return F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.struct(
+            F.get(edges, i - 1)["b"].alias("start_line"), F.get(edges, i)["a"].alias("end_line")))
+
+    bound = lambda line: F.array(F.struct(line.cast("int").alias("a"), line.cast("int").alias("b")))
+    edges = F.concat(bound(F.lit(0)), F.transform(
+        "chunks", lambda c: F.struct(c["start_line"].alias("a"), c["end_line"].alias("b"))), bound(F.col("n")))
+    uncovered = F.filter(let(edges, between), lambda g: g["end_line"] > g["start_line"])
+    return (found.select("path", F.inline_outer(F.when(F.size("chunks") > 0, uncovered)))
+            .where("start_line is not null"))

@@ -38,9 +38,8 @@ def line_windows(files: DataFrame, size: int = lookups.CHUNK_LINES) -> DataFrame
     The windows are slices of the file's own line array, so nothing moves.
     """
     split = files.select("path", text.split_lines(F.col("content")).alias("lines"))
-    starts = F.sequence(F.lit(0), F.size("lines") - 1, F.lit(size))
-    placed = (split.where(F.size("lines") > 0)
-              .select("path", "lines", F.posexplode(starts).alias("chunk_id", "start_line")))
+    starts = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1, F.lit(size)))
+    placed = split.select("path", "lines", F.posexplode(starts).alias("chunk_id", "start_line"))
     window = F.slice("lines", F.col("start_line") + 1, F.lit(size))
     return placed.select(
         "path", "chunk_id",

@@ -15,13 +15,15 @@ _CHECKED = (r"(\w+)[ \t]*[!=]=[ \t]*(?:NULL|0)\b", r"\b(?:NULL|0)[ \t]*[!=]=[ \t
 def pointer_events(files: DataFrame) -> DataFrame:
     """events(path, block, line, kind, pointer, raw) inside C functions.
 
-    A function is told by the brace at depth 0 that opens it.
+    Only lines that touch a pointer leave their file.
     """
-    lines = blocks._bracket_lines(files, "c", "{", "}")
-    upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    opens = ((F.col("before") == 0) & (F.col("opened") > 0)).cast("int")
-    placed = (lines.withColumn("block", F.sum(opens).over(upto))
-              .where("before > 0 or opened > 0"))
+    lined = blocks.lined(files.where("language = 'c'"))
+    placed = lined.select("path", "pairs", blocks.c_functions(F.col("pairs")).alias("functions"))
+    touching = placed.select("path", "functions", F.inline(F.filter(
+        F.transform("pairs", lambda p, i: F.struct((i + 1).alias("line"), p["code"].alias("code"), p["raw"].alias("raw"))),
+        lambda x: x["code"].rlike(r"free|->|malloc|[!=]=|!|\bif\b"))))
+    inside = F.get(F.filter("functions", lambda f: (f["first"] <= F.col("line")) & (F.col("line") <= f["last"])), 0)
+    located = touching.select("path", "line", "code", "raw", inside["first"].alias("block")).where("block is not null")
 
     def events(kind: str, *patterns: str) -> Column:
         names = F.concat(*[F.regexp_extract_all("code", F.lit(p), 1) for p in patterns])
@@ -29,47 +31,42 @@ def pointer_events(files: DataFrame) -> DataFrame:
 
     every = F.concat(events("free", _FREED), events("use", _USED), events("malloc", _ALLOCATED),
                      events("check", *_CHECKED))
-    return placed.select("path", "block", "line", "raw", F.explode(every).alias("event")).select(
-        "path", "block", "line", "event.kind", "event.pointer", "raw")
+    return located.select("path", "block", "line", "raw", F.inline(every))
 
 
-def _as_findings(rows: DataFrame, rule_id: str, order: int) -> DataFrame:
-    severity, message = catalog.sequence_rules()[rule_id]
-    return rows.groupBy("path", "line").agg(F.first("raw").alias("raw")).select(
-        F.lit(rule_id).alias("check_id"), F.col("path").alias("file"), "line",
-        F.lit(message).alias("message"), F.lit(severity).alias("severity"),
-        text.snippet(F.col("raw"), lookups.SCAN_SNIPPET_CHARS).alias("snippet"),
-        F.lit(order).alias("rule_ord"))
+def _as_findings(rows: DataFrame, rule_id: Column) -> DataFrame:
+    def of(index: int) -> Column:
+        pairs = [F.lit(x) for name, row in catalog.sequence_rules().items() for x in (name, row[index])]
+        return F.element_at(F.create_map(*pairs), F.col("check_id"))
 
+    order = F.create_map(*[F.lit(x) for i, name in enumerate(catalog.sequence_rules()) for x in (name, 1000 + i)])
+    return (rows.withColumn("check_id", rule_id)
+            .groupBy("check_id", F.col("path").alias("file"), "line").agg(F.min("raw").alias("raw"))
+            .select("check_id", "file", "line", of(1).alias("message"), of(0).alias("severity"),
+                    text.snippet(F.col("raw"), lookups.SCAN_SNIPPET_CHARS).alias("snippet"),
+                    F.element_at(order, F.col("check_id")).alias("rule_ord")))
 
-def repeated_free(events: DataFrame) -> DataFrame:
-    """Lines that free a pointer which a later line of the function frees again."""
-    same = Window.partitionBy("path", "block", "pointer")
-    marked = events.where("kind = 'free'").withColumn("last_free", F.max("line").over(same))
-    return _as_findings(marked.where("line < last_free"), "c-double-free", 1000)
 
+def sequence_findings(files: DataFrame) -> DataFrame:
+    """Lines that
 
-def use_after_free(events: DataFrame) -> DataFrame:
-    """Lines that free a pointer which a later line of the function follows."""
-    same = Window.partitionBy("path", "block", "pointer")
-    marked = events.where("kind in ('free', 'use')").withColumn(
-        "last_use", F.max(F.when(F.col("kind") == "use", F.col("line"))).over(same))
-    return _as_findings(marked.where("kind = 'free' and line < last_use"), "c-use-after-free", 1001)
-
+    - free a pointer which a later line of the function frees again,
+    - free a pointer which a later line of the function follows, or
+    - allocate a pointer whose next use no check comes before.
 
-def unchecked_allocation(events: DataFrame) -> DataFrame:
-    """Lines that allocate a pointer whose next use no check comes before."""
-    # Ordered from the last line up, so that the nearest later line is the last one seen.
-    later = (Window.partitionBy("path", "block", "pointer").orderBy(F.desc("line"))
+    A window is one pointer of one function, read from the last line up, so
+    that what lies ahead of a line has been seen when it is reached.
+    """
+    ahead = (Window.partitionBy("path", "block", "pointer").orderBy(F.desc("line"))
              .rangeBetween(Window.unboundedPreceding, -1))
-    seen = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("line"))).over(later)
-    marked = events.where("kind <> 'free'").withColumns({"next_use": seen("use"), "next_check": seen("check")})
-    open_use = "kind = 'malloc' and next_use is not null and (next_check is null or next_check > next_use)"
-    return _as_findings(marked.where(open_use), "c-null-deref-no-check", 1002)
-
-
-def sequence_findings(files: DataFrame) -> DataFrame:
-    """Findings of all three rules."""
-    events = pointer_events(files)
-    return (repeated_free(events).unionByName(use_after_free(events))
-            .unionByName(unchecked_allocation(events)))
+    seen = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("line"))).over(ahead)
+    marked = pointer_events(files).withColumns({
+        "next_free": seen("free"), "next_use": seen("use"), "next_check": seen("check")})
+    freed, allocated = F.col("kind") == "free", F.col("kind") == "malloc"
+    unchecked = F.col("next_use").isNotNull() & (
+        F.col("next_check").isNull() | (F.col("next_check") > F.col("next_use")))
+    rules = F.array_compact(F.array(
+        F.when(freed & F.col("next_free").isNotNull(), "c-double-free"),
+        F.when(freed & F.col("next_use").isNotNull(), "c-use-after-free"),
+        F.when(allocated & unchecked, "c-null-deref-no-check")))
+    return _as_findings(marked.select("path", "line", "raw", F.explode(rules).alias("rule")), F.col("rule"))

@@ -19,7 +19,7 @@ def _with_summaries(rows: DataFrame, summaries: DataFrame | None, *keys: str) ->
 def chunk_results(files: DataFrame, found: DataFrame, summaries: DataFrame | None = None,
                   size: int = lookups.CHUNK_LINES) -> tuple[DataFrame, DataFrame]:
     """(tagged findings, chunk results) of files and their line findings."""
-    bounds = session.keep(blocks.chunk_bounds(files, size))
+    bounds = blocks.chunk_bounds(files, size)
     tagged = chunks.tag_findings(found, bounds)
     results = chunks.chunk_scores(tagged, bounds).join(files.select("path", "language"), "path")
     return tagged, _with_summaries(results, summaries, "path", "chunk_id")
@@ -86,14 +86,14 @@ def folder_audit(files: DataFrame, primary: DataFrame | None = None, summaries:
     has_errors = "error" in files.columns
     readable = files.where("error is null") if has_errors else files
     readable = readable.where(F.col("language").isNotNull()).select("path", "content", "language")
-    found = scan.scan(readable) if primary is None else scan.with_fallback(readable, primary)
-    found = session.keep(found)
+    # One scan serves the fallback of every file and the chunks of the big ones.
+    scanned = session.keep(scan.scan(readable))
+    found = scanned if primary is None else _first_found(primary, scanned)
 
     is_big = text.newline_count(F.col("content")) > big_lines
     big = readable.where(is_big)
     big_paths = big.select(F.col("path").alias("file"))
-    tagged, chunk_rows = chunk_results(big, scan.scan(big), chunk_summaries)
-    chunk_rows = session.keep(chunk_rows)
+    tagged, chunk_rows = chunk_results(big, scanned, chunk_summaries)
     own = found.join(big_paths, "file", "left_semi")
     merged = find.distinct_findings(
         own.withColumn("origin", F.lit(0)).unionByName(
@@ -117,7 +117,12 @@ def folder_audit(files: DataFrame, primary: DataFrame | None = None, summaries:
         "summary", F.coalesce("narrative", "summary", F.lit(lookups.NO_SUMMARY))).drop("narrative")
     errors = (files.where("error is not null").select(F.col("path").alias("file"), "error") if has_errors
               else files.sparkSession.createDataFrame([], "file string, error string"))
-    return {"findings": final, "results": session.keep(results), "errors": errors}
+    return {"findings": final, "results": results, "errors": errors}
+
+
+def _first_found(primary: DataFrame, scanned: DataFrame) -> DataFrame:
+    rest = scanned.join(primary.select("file").distinct(), "file", "left_anti")
+    return primary.unionByName(rest, allowMissingColumns=True)
 
 
 def nested_results(audit: dict[str, DataFrame]) -> DataFrame:
@@ -143,7 +148,8 @@ def project_map(audit: dict[str, DataFrame], root: str = "") -> DataFrame:
     Sections that list files stay distributed; the final sort is a range
     partitioning by section and name.
     """
-    results, found, errors = audit["results"], audit["findings"], audit["errors"]
+    # Nine sections read the results.
+    results, found, errors = session.keep(audit["results"]), audit["findings"], audit["errors"]
     relative = lambda c: text.relative_path(c, root) if root else c
     results = results.withColumn("file", relative(F.col("file")))
     found = found.withColumn("file", relative(F.col("file")))

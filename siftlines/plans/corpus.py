@@ -51,6 +51,17 @@ BLOCKS = {
 }
 
 
+# Lines a rule matches, with and without what exempts them.
+GUARDED = {
+    "python": ["doc = lxml.etree.parse(f, parser=p)", "doc = lxml.etree.parse(f)", "print(a)",
+               'cursor.execute("a" + "b"); db.execute(q + x)'],
+    "javascript": ['setTimeout("go()", 1); setTimeout(() => {}, 2);', 'setTimeout("go()", 1);',
+                   'fetch("/a"); fetch(u);', "fetch(u);"],
+    "java": ["int a = 1;", "int b = 1;", "new File(a + b);", "int c = 1;"],
+    "c": ["memcpy(d, s, sizeof(d));", "memcpy(d, s, sizeof(s));", "memcpy(d, s, n);", 'printf("a"); printf(b);'],
+}
+
+
 def _pick(table: dict, language: Column, index: Column) -> Column:
     chosen = F.lit(None).cast("string")
     for name, entries in table.items():
@@ -76,6 +87,13 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         language.alias("language"))
 
 
+def guarded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code corpus with one more line per file."""
+    number = F.regexp_extract("path", r"/f(\d+)\.", 1).cast("long")
+    return code_files(spark, sf_dir).withColumn("content", F.concat_ws(
+        "\n", "content", _pick(GUARDED, F.col("language"), F.floor(number / 4) % 4)))
+
+
 def prose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as they are, as JavaScript and as Java files."""
     docs = documents(spark, sf_dir).select(

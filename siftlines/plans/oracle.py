@@ -81,13 +81,21 @@ def _lines(files: str, name: str, keep: str = "path, language", content: str = "
   FROM {name}_split)"""
 
 
+def _excluded(pattern: str, language: str) -> str:
+    if r"\1" not in pattern:
+        return f"regexp_matches(text, {q(regex(pattern, language))})"
+    # No back-references here: capture both names and compare them.
+    both = q(regex(pattern.replace(r"\1", r"(\w+)"), language))
+    return (f"(regexp_matches(text, {both}) AND regexp_extract(text, {both}, 1) = regexp_extract(text, {both}, 2))")
+
+
 def _hits(rules, language: str, line_table: str, only=None) -> list[str]:
     out = []
     for order, r in enumerate(catalog.for_language(rules, language)):
         if only and r.rule_id not in only:
             continue
         wanted = [f"regexp_matches(text, {q(regex(r.pattern, language))})"]
-        wanted += [f"NOT regexp_matches(text, {q(regex(p, language))})" for p in r.exclude]
+        wanted += ["NOT " + _excluded(p, language) for p in r.exclude]
         out.append(f"SELECT {q(r.rule_id)} AS check_id, path AS file, line, {q(r.message)} AS message, "
                    f"{q(r.severity)} AS severity, text, {order} AS rule_ord FROM {line_table} "
                    f"WHERE language = {q(language)} AND {' AND '.join(wanted)}")
@@ -282,11 +290,15 @@ js_headers AS (
                regexp_extract(raw, '\([ \t]*(["''][^"''\n]*["'']|`[^`\n]*`|[\w.]+(?:\([^()\n]*\))?)', 1) AS arg
         FROM js_depth WHERE before = 0)),
 js_blocks AS (
-  SELECT h.path, h.name, h.line AS first, coalesce(min(d.line), h.line) AS last
-  FROM js_headers h LEFT JOIN js_depth d ON d.path = h.path AND d.line >= h.line AND d.closed > 0
-       AND d.after <= 0 AND greatest(d.after, d.before - 1) >= 0
+  SELECT h.path, h.name, h.line AS first,
+         coalesce(min(d.line), CASE WHEN h.next_line IS NULL THEN
+           (SELECT max(e.line) FROM js_depth e WHERE e.path = h.path) ELSE h.line END) AS last
+  FROM (SELECT *, lead(line) OVER (PARTITION BY path ORDER BY line) AS next_line
+        FROM js_headers WHERE name IS NOT NULL) h
+  LEFT JOIN js_depth d ON d.path = h.path AND d.line >= h.line AND d.line < coalesce(h.next_line, 2147483647)
+       AND d.closed > 0 AND d.after <= 0 AND greatest(d.after, d.before - 1) >= 0
        AND (NOT h.block OR contains(d.code, '}'))
-  WHERE h.name IS NOT NULL GROUP BY h.path, h.name, h.line)"""
+  GROUP BY h.path, h.name, h.line, h.next_line)"""
 
 _JAVA_WORDS = ("'new','return','else','throw','case','package','import','class','interface','enum','if','for',"
                "'while','switch','catch','try','do','synchronized','assert','instanceof'")
@@ -304,7 +316,8 @@ java_headers AS (
   FROM java_marked m WHERE m.name <> '' AND m.kind NOT IN (WORDS) AND m.name NOT IN (WORDS)),
 java_ends AS (
   SELECT h.path, h.name, h.line, h.first,
-         CASE WHEN h.bodyless THEN h.line ELSE coalesce(min(d.line), h.line) END AS last
+         CASE WHEN h.bodyless THEN h.line ELSE coalesce(min(d.line),
+           (SELECT max(e.line) FROM java_depth e WHERE e.path = h.path)) END AS last
   FROM java_headers h LEFT JOIN java_depth d ON d.path = h.path AND d.line >= h.line AND d.closed > 0
        AND d.after <= h.level AND greatest(d.after, d.before - 1) >= h.level
   GROUP BY h.path, h.name, h.line, h.first, h.bodyless),
@@ -448,11 +461,13 @@ def _sequence() -> str:
     later = lambda kind: (f"(SELECT min(o.line) FROM events o WHERE o.path = e.path AND o.block = e.block "
                           f"AND o.pointer = e.pointer AND o.line > e.line AND o.kind = {q(kind)})")
     return (_with(_code_files(), _masked(), _code_lines(), _depths("c", "{", "}", "c_depth"), f"""
+c_functions AS (
+  SELECT s.path, s.line AS first, coalesce(min(e.line), 2147483647) AS last
+  FROM c_depth s LEFT JOIN c_depth e ON e.path = s.path AND e.line >= s.line AND e.after <= 0
+  WHERE s.before = 0 AND s.opened > 0 GROUP BY s.path, s.line),
 c_lines AS (
-  SELECT * FROM (
-    SELECT path, line, raw, code, before, opened,
-           sum(CASE WHEN before = 0 AND opened > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS block
-    FROM c_depth) WHERE before > 0 OR opened > 0),
+  SELECT d.path, d.line, d.raw, d.code, f.first AS block
+  FROM c_depth d JOIN c_functions f ON f.path = d.path AND d.line BETWEEN f.first AND f.last),
 events AS ({events})""")
             + found("c-double-free", f"kind = 'free' AND {later('free')} IS NOT NULL")
             + "\nUNION ALL " + found("c-use-after-free", f"kind = 'free' AND {later('use')} IS NOT NULL")
@@ -483,7 +498,12 @@ prose AS (
     sql["scan_rule_table"] = _with(*code, _scan("found", user)) + f"SELECT {_FINDING} FROM found"
     chosen = [r for r in file_rules if r.exclude]
     plain = [catalog.Rule(r.rule_id, r.language, r.severity, r.message, r.pattern) for r in chosen]
-    sql["pattern_and_not"] = _with(*code, _scan("plain", plain), _scan("kept", chosen)) + """
+    guarded = f"""
+guarded_files AS (
+  SELECT path, language, content || chr(10) || {_pick(corpus.GUARDED, "((CAST(regexp_extract(path, '/f([0-9]+)', 1) AS BIGINT) // 4) % 4)")} AS content
+  FROM code_files)"""
+    sql["pattern_and_not"] = _with(_code_files(), guarded, _lines("guarded_files", "lines"),
+                                   _scan("plain", plain), _scan("kept", chosen)) + """
 SELECT check_id, n_plain, coalesce(n_kept, 0) AS n_kept
 FROM (SELECT check_id, count(*) AS n_plain FROM (SELECT DISTINCT check_id, file, line FROM plain) GROUP BY check_id)
 LEFT JOIN (SELECT check_id, count(*) AS n_kept FROM (SELECT DISTINCT check_id, file, line FROM kept) GROUP BY check_id)
@@ -568,9 +588,9 @@ LEFT JOIN lines l ON l.path = f.file AND l.line = f.line""")
     tag = f"CASE WHEN {_weakness('message')} = 'N/A' THEN '' ELSE ' (' || {_weakness('message')} || ')' END"
     sql["finding_rows"] = _over_found(f"""
 SELECT file, line, check_id,
-       '  Line ' || lpad(CAST(line AS VARCHAR), greatest(length(CAST(line AS VARCHAR)), 4), ' ') || '  [' ||
-       rpad({_display('severity')}, greatest(6, length({_display('severity')})), ' ') || ']  ' || {_category('message')} ||
-       rpad({tag}, greatest(24, length({tag})), ' ') || ' — ' || {_short('message')} ||
+       '  Line ' || lpad(CAST(line AS VARCHAR), CAST(greatest(length(CAST(line AS VARCHAR)), 4) AS INTEGER), ' ') || '  [' ||
+       rpad({_display('severity')}, CAST(greatest(6, length({_display('severity')})) AS INTEGER), ' ') || ']  ' || {_category('message')} ||
+       rpad({tag}, CAST(greatest(24, length({tag})) AS INTEGER), ' ') || ' — ' || {_short('message')} ||
        CASE WHEN severity = 'ERROR' THEN '  (chunk: part_' || line || ')' ELSE '' END AS row
 FROM found""")
 

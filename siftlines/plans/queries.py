@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from siftlines import session
 from siftlines.functions import catalog, classify, lookups, summary, text
 from siftlines.operators import (blocks, chunks, features, findings as find, lines, metrics, overview, scan,
                                  score, sequence)
@@ -30,6 +31,11 @@ def _found(spark, sf_dir) -> DataFrame:
     return scan.scan(corpus.code_files(spark, sf_dir))
 
 
+def _kept(spark, sf_dir) -> DataFrame:
+    """Findings for a query that reads them more than once: the corpus is scanned once."""
+    return session.keep(_found(spark, sf_dir))
+
+
 def _primary(found: DataFrame) -> DataFrame:
     """What another scanner reports: the worst findings, as printed JSON read back."""
     return scanner_json.findings(scanner_json.to_scanner_json(found.where("severity = 'ERROR'")))
@@ -80,7 +86,7 @@ def scan_rule_table(spark, sf_dir):
 
 
 def pattern_and_not(spark, sf_dir):
-    files = corpus.code_files(spark, sf_dir)
+    files = corpus.guarded_files(spark, sf_dir)
     chosen = [r for r in catalog.rule_file_rules() if r.exclude]
     plain = [catalog.Rule(r.rule_id, r.language, r.severity, r.message, r.pattern, r.anchor) for r in chosen]
     counted = lambda rules, name: scan.scan(files, rules).groupBy("check_id").agg(F.count("*").alias(name))
@@ -108,8 +114,8 @@ def sequence_rules(spark, sf_dir):
 
 
 def fallback_when_empty(spark, sf_dir):
-    files = corpus.code_files(spark, sf_dir)
-    return scan.with_fallback(files, _primary(scan.scan(files))).select(*FINDING)
+    primary = session.keep(_primary(_found(spark, sf_dir)))
+    return scan.with_fallback(corpus.code_files(spark, sf_dir), primary).select(*FINDING)
 
 
 def json_findings(spark, sf_dir):
@@ -152,7 +158,7 @@ def category_join(spark, sf_dir):
 
 
 def dedup_findings(spark, sf_dir):
-    found = _found(spark, sf_dir)
+    found = _kept(spark, sf_dir)
     copy = found.withColumns({"check_id": F.concat(F.lit("copy."), "check_id"), "origin": F.lit(1)})
     return find.distinct_findings(found.withColumn("origin", F.lit(0)).unionByName(copy), "origin", "rule_ord").select(
         *FINDING)
@@ -160,7 +166,7 @@ def dedup_findings(spark, sf_dir):
 
 def new_findings(spark, sf_dir):
     """Findings the worst ones do not already hold as whole records."""
-    found = _found(spark, sf_dir).select(*FINDING)
+    found = _kept(spark, sf_dir).select(*FINDING)
     return find.new_findings(found, found.where("severity = 'ERROR'"))
 
 
@@ -199,7 +205,7 @@ def top_categories(spark, sf_dir):
 
 
 def cross_file_rules(spark, sf_dir):
-    return find.cross_file_rules(_found(spark, sf_dir))
+    return find.cross_file_rules(_kept(spark, sf_dir))
 
 
 def top_risky_files(spark, sf_dir):
@@ -215,7 +221,7 @@ def top_secret_documents(spark, sf_dir):
 
 def finding_snippets(spark, sf_dir):
     files = corpus.code_files(spark, sf_dir)
-    found = scan.scan(files).withColumn("line", F.col("line") + F.when(F.col("severity") == "INFO", 500).otherwise(0))
+    found = _kept(spark, sf_dir).withColumn("line", F.col("line") + F.when(F.col("severity") == "INFO", 500).otherwise(0))
     return find.line_snippets(found, files).select("check_id", "file", "line", "source_line")
 
 
@@ -350,7 +356,7 @@ def file_results(spark, sf_dir):
 def merged_results(spark, sf_dir):
     """As file_results, but another scanner's findings come first."""
     files = corpus.code_files(spark, sf_dir)
-    audit = audits.folder_audit(files, primary=_primary(scan.scan(files)), big_lines=20)
+    audit = audits.folder_audit(files, primary=session.keep(_primary(scan.scan(files))), big_lines=20)
     return audit["results"].select("file", "big_file", "n_findings", "risk_score")
 
 
