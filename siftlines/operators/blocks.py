@@ -54,51 +54,51 @@ def _state(**fields: Column) -> Column:
     return F.struct(*[value.alias(name) for name, value in fields.items()])
 
 
-def _fold(items: Column, start: Column, step, finish) -> Column:
-    return F.aggregate(items, start, step, finish)
+def _fold(pairs: Column, describe, relevant, start: Column, step, finish) -> Column:
+    """Fold ``step`` over the relevant ones of a file's filled lines.
+
+    ``describe(code, raw)`` gives the fields of a line, to which its number and
+    the number of the filled line above it are added.  ``finish(state, last)``
+    gets the last filled line.
+    """
+    def over(filled):
+        def item(x, at):
+            above = F.when(at > 0, F.get(filled, at - 1)["line"]).otherwise(0)
+            return F.struct(x["line"].alias("line"), above.alias("above"), *describe(x["code"], x["raw"]))
+        last = F.coalesce(F.get(filled, F.size(filled) - 1)["line"], F.lit(0))
+        return F.aggregate(F.filter(F.transform(filled, item), relevant), start, step, lambda s: finish(s, last))
+
+    numbered = F.transform(pairs, lambda p, at: F.struct(
+        (at + 1).alias("line"), p["code"].alias("code"), p["raw"].alias("raw")))
+    return let(F.filter(numbered, lambda x: x["code"].rlike(r"[^ \t]")), over)
 
 
 def _python(pairs: Column) -> Column:
     """Top-level functions and classes, decorators included."""
-    def item(pair, i):
-        c = pair["code"]
-        return F.struct(
-            (i + 1).alias("line"),
-            # A closing bracket in the first column continues the statement above it.
-            c.rlike(r"^[^ \t)\]}]").alias("top"),
-            c.startswith("@").alias("decorator"),
-            F.when(c.startswith("def") | c.startswith("class") | c.startswith("async"),
-                   F.nullif(F.regexp_extract(c, _PY_HEADER, 1), F.lit(""))).alias("name"),
-            c.rlike(r"[^ \t]").alias("filled"))
-
-    lines = F.filter(F.transform(pairs, item), lambda x: x["filled"])
-
-    def closed(s):
-        return _append(s["blocks"], s["name"].isNotNull(), _block(s["name"], s["first"], s["last"]))
+    def describe(c, raw):
+        header = F.when(c.startswith("def") | c.startswith("class") | c.startswith("async"),
+                        F.nullif(F.regexp_extract(c, _PY_HEADER, 1), F.lit("")))
+        # A closing bracket in the first column continues the statement above it.
+        return [c.rlike(r"^[^ \t)\]}]").alias("top"), c.startswith("@").alias("decorator"), header.alias("name")]
+
+    def closed(s, last):
+        return _append(s["blocks"], s["name"].isNotNull(), _block(s["name"], s["first"], last))
 
     def step(s, x):
-        opens = x["top"] & ~s["decorated"]
+        opens = ~s["decorated"]
         return _state(
-            name=F.when(opens, x["name"]).when(x["top"], F.coalesce(s["name"], x["name"])).otherwise(s["name"]),
+            name=F.when(opens, x["name"]).otherwise(F.coalesce(s["name"], x["name"])),
             first=F.when(opens, x["line"]).otherwise(s["first"]),
-            last=x["line"],
-            decorated=F.when(x["top"], x["decorator"]).otherwise(s["decorated"]),
-            blocks=F.when(opens, closed(s)).otherwise(s["blocks"]))
+            decorated=x["decorator"],
+            blocks=F.when(opens, closed(s, x["above"])).otherwise(s["blocks"]))
 
-    start = _state(name=_none(), first=F.lit(0), last=F.lit(0), decorated=F.lit(False),
-                   blocks=F.array().cast(_BLOCKS))
-    return _fold(lines, start, step, closed)
+    start = _state(name=_none(), first=F.lit(0), decorated=F.lit(False), blocks=F.array().cast(_BLOCKS))
+    return _fold(pairs, describe, lambda x: x["top"], start, step, closed)
 
 
-def _bracketed(pairs: Column, opening: str, closing: str, describe) -> Column:
-    """Filled lines with their brackets and what ``describe(code, raw)`` adds."""
-    def item(pair, i):
-        code, raw = pair["code"], pair["raw"]
-        return F.struct(
-            (i + 1).alias("line"), code.rlike(r"[^ \t]").alias("filled"),
-            _count(code, opening).alias("opened"), _count(code, closing).alias("closed"),
-            F.contains(code, F.lit("}")).alias("curly"), *describe(code, raw))
-    return F.filter(F.transform(pairs, item), lambda x: x["filled"])
+def _brackets(code: Column, opening: str, closing: str) -> list[Column]:
+    return [_count(code, opening).alias("opened"), _count(code, closing).alias("closed"),
+            F.contains(code, F.lit("}")).alias("curly")]
 
 
 def _ends(x: Column, after: Column, before: Column, level: Column) -> Column:
@@ -106,6 +106,10 @@ def _ends(x: Column, after: Column, before: Column, level: Column) -> Column:
     return (x["closed"] > 0) & (after <= level) & (F.greatest(after, before - 1) >= level)
 
 
+def _open_to_last(s: Column, last: Column) -> Column:
+    return _append(s["blocks"], s["name"].isNotNull(), _block(s["name"], s["first"], last))
+
+
 def _javascript(pairs: Column) -> Column:
     """Top-level functions, classes and routes."""
     def describe(c, raw):
@@ -114,9 +118,7 @@ def _javascript(pairs: Column) -> Column:
         route = F.when(F.contains(c, F.lit("(")) & (method != "") & (argument != ""),
                        F.concat(F.lit("route_"), method, F.lit("_"), F.btrim(argument, F.lit("'\""))))
         block = F.coalesce(_named(c, "function", _JS_FUNCTION), _named(c, "class", _JS_CLASS))
-        return [F.coalesce(block, route).alias("name"), block.isNotNull().alias("body")]
-
-    lines = _bracketed(pairs, "{([", "})]", describe)
+        return [*_brackets(c, "{([", "})]"), F.coalesce(block, route).alias("name"), block.isNotNull().alias("body")]
 
     def step(s, x):
         before, after = s["depth"], s["depth"] + x["opened"] - x["closed"]
@@ -128,13 +130,12 @@ def _javascript(pairs: Column) -> Column:
         body = F.when(header, x["body"]).otherwise(s["body"])
         ended = name.isNotNull() & _ends(x, after, before, F.lit(0)) & (~body | x["curly"])
         kept = _append(s["blocks"], lost, _block(s["name"], s["first"], s["first"]))
-        return _state(depth=after.cast("int"), name=F.when(~ended, name), first=first, body=body, last=x["line"],
+        return _state(depth=after.cast("int"), name=F.when(~ended, name), first=first, body=body,
                       blocks=_append(kept, ended, _block(name, first, x["line"])))
 
-    start = _state(depth=F.lit(0), name=_none(), first=F.lit(0), body=F.lit(False), last=F.lit(0),
-                   blocks=F.array().cast(_BLOCKS))
-    return _fold(lines, start, step, lambda s: _append(
-        s["blocks"], s["name"].isNotNull(), _block(s["name"], s["first"], s["last"])))
+    start = _state(depth=F.lit(0), name=_none(), first=F.lit(0), body=F.lit(False), blocks=F.array().cast(_BLOCKS))
+    return _fold(pairs, describe, lambda x: (x["opened"] + x["closed"] > 0) | x["name"].isNotNull(),
+                 start, step, _open_to_last)
 
 
 def _java(pairs: Column) -> Column:
@@ -142,46 +143,45 @@ def _java(pairs: Column) -> Column:
     def describe(c, raw):
         kind, name = F.regexp_extract(c, _JAVA_METHOD, 1), F.regexp_extract(c, _JAVA_METHOD, 2)
         method = (name != "") & ~kind.isin(*_JAVA_WORDS) & ~name.isin(*_JAVA_WORDS)
-        return [F.when(F.contains(c, F.lit("(")) & method, name).alias("name"),
-                c.rlike(r"^[ \t]*@\w+(?:\([^)]*\))?[ \t]*$").alias("annotation"),
-                (c.rlike(r";[ \t]*$") & ~F.contains(c, F.lit("{"))).alias("bodyless")]
-
-    lines = _bracketed(pairs, "{", "}", describe)
+        return [*_brackets(c, "{", "}"), F.when(F.contains(c, F.lit("(")) & method, name).alias("name"),
+                (F.contains(c, F.lit("@")) & c.rlike(r"^[ \t]*@\w+(?:\([^)]*\))?[ \t]*$")).alias("annotation"),
+                (F.endswith(F.rtrim(c, F.lit(" \t")), F.lit(";")) & ~F.contains(c, F.lit("{"))).alias("bodyless")]
 
     def step(s, x):
         before, after = s["depth"], s["depth"] + x["opened"] - x["closed"]
         header = s["name"].isNull() & x["name"].isNotNull()
         # Annotation lines right above a method belong to it.
-        noted = F.when(x["annotation"], F.coalesce(s["noted"], x["line"]))
+        joined = F.when(s["noted_to"] == x["above"], s["noted"])
         name = F.when(header, x["name"]).otherwise(s["name"])
-        first = F.when(header, F.coalesce(s["noted"], x["line"])).otherwise(s["first"])
+        first = F.when(header, F.coalesce(joined, x["line"])).otherwise(s["first"])
         level = F.when(header, before).otherwise(s["level"])
         ended = name.isNotNull() & ((header & x["bodyless"]) | _ends(x, after, before, level))
-        return _state(depth=after.cast("int"), name=F.when(~ended, name), first=first, level=level, noted=noted,
-                      last=x["line"], blocks=_append(s["blocks"], ended, _block(name, first, x["line"])))
+        return _state(depth=after.cast("int"), name=F.when(~ended, name), first=first, level=level,
+                      noted=F.when(x["annotation"], F.coalesce(joined, x["line"])),
+                      noted_to=F.when(x["annotation"], x["line"]),
+                      blocks=_append(s["blocks"], ended, _block(name, first, x["line"])))
 
-    start = _state(depth=F.lit(0), name=_none(), first=F.lit(0), level=F.lit(0), noted=_none("int"), last=F.lit(0),
-                   blocks=F.array().cast(_BLOCKS))
-    return _fold(lines, start, step, lambda s: _append(
-        s["blocks"], s["name"].isNotNull(), _block(s["name"], s["first"], s["last"])))
+    start = _state(depth=F.lit(0), name=_none(), first=F.lit(0), level=F.lit(0), noted=_none("int"),
+                   noted_to=_none("int"), blocks=F.array().cast(_BLOCKS))
+    return _fold(pairs, describe,
+                 lambda x: (x["opened"] + x["closed"] > 0) | x["name"].isNotNull() | x["annotation"],
+                 start, step, _open_to_last)
 
 
 def c_functions(pairs: Column) -> Column:
     """Line ranges of C functions: from a brace opened at depth 0 to its end."""
-    lines = _bracketed(pairs, "{", "}", lambda code, raw: [])
-
     def step(s, x):
         before, after = s["depth"], s["depth"] + x["opened"] - x["closed"]
         header = s["name"].isNull() & (before == 0) & (x["opened"] > 0)
         name = F.when(header, "function").otherwise(s["name"])
         first = F.when(header, x["line"]).otherwise(s["first"])
         ended = name.isNotNull() & (after <= 0)
-        return _state(depth=after.cast("int"), name=F.when(~ended, name), first=first, last=x["line"],
+        return _state(depth=after.cast("int"), name=F.when(~ended, name), first=first,
                       blocks=_append(s["blocks"], ended, _block(name, first, x["line"])))
 
-    start = _state(depth=F.lit(0), name=_none(), first=F.lit(0), last=F.lit(0), blocks=F.array().cast(_BLOCKS))
-    return _fold(lines, start, step, lambda s: _append(
-        s["blocks"], s["name"].isNotNull(), _block(s["name"], s["first"], s["last"])))
+    start = _state(depth=F.lit(0), name=_none(), first=F.lit(0), blocks=F.array().cast(_BLOCKS))
+    return _fold(pairs, lambda c, raw: _brackets(c, "{", "}"), lambda x: x["opened"] + x["closed"] > 0,
+                 start, step, _open_to_last)
 
 
 def lined(files: DataFrame) -> DataFrame:

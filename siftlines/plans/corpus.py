@@ -6,6 +6,8 @@ language follows from its id, and code lines picked by its id are appended.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siftlines.sources.files import spread
+
 LANGUAGE_ORDER = ["python", "javascript", "java", "c"]
 SUFFIX = {"python": "py", "javascript": "js", "java": "java", "c": "c"}
 
@@ -71,12 +73,13 @@ def _pick(table: dict, language: Column, index: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return spread(columns, "doc_id")
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(path, content, language) with code in every file."""
-    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    docs = documents(spark, sf_dir)
     language = F.element_at(F.array(*[F.lit(x) for x in LANGUAGE_ORDER]), (F.col("doc_id") % 4 + 1).cast("int"))
     suffix = F.element_at(F.array(*[F.lit(SUFFIX[x]) for x in LANGUAGE_ORDER]), (F.col("doc_id") % 4 + 1).cast("int"))
     digit = lambda step: F.floor(F.col("doc_id") / step) % 5

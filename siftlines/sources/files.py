@@ -21,6 +21,17 @@ def files_from_table(rows: DataFrame, path: Column, content: Column, language: C
     return named.where("language is not null")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a small input over all cores.
+
+    An input of fewer splits than the session has cores (a file or two, each of
+    one row group) would be worked on by as few tasks.  Anything larger stays
+    as it is read: nothing is shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
 def kept_by_pruning(path: Column, root: str) -> Column:
     """True when no folder between root and the file is one a scan skips."""
     folders = F.split(text.relative_path(path, root), "/")
