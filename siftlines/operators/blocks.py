@@ -227,9 +227,12 @@ def chunked(files: DataFrame, size: int = lookups.CHUNK_LINES) -> DataFrame:
     return lined(files).select("path", "language", "pairs", chunks.alias("chunks"))
 
 
-def chunk_bounds(files: DataFrame, size: int = lookups.CHUNK_LINES) -> DataFrame:
-    """chunks(path, chunk_id, name, start_line, end_line) of every file."""
-    return _exploded(chunked(files, size).select("path", "chunks"))
+def chunk_bounds(files: DataFrame, size: int = lookups.CHUNK_LINES, *carry: str) -> DataFrame:
+    """chunks(path, chunk_id, name, start_line, end_line) of every file.
+
+    ``carry`` may name ``language`` to keep it on every chunk.
+    """
+    return _exploded(chunked(files, size).select("path", *carry, "chunks"), *carry)
 
 
 def chunk_texts(files: DataFrame, size: int = lookups.CHUNK_LINES) -> DataFrame:

@@ -1,21 +1,23 @@
 """Per-file features: calls that bring data in or use it, and complexity."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlines.functions import lexical
 
 
-def features(files: DataFrame) -> DataFrame:
-    """features(path, language, sources, sinks, complexity) of files; no shuffle."""
-    masked = files.select("path", "language",
+def features(files: DataFrame, *carry: Column) -> DataFrame:
+    """features(path, language, sources, sinks, complexity) of files; no shuffle.
+
+    ``carry`` are further named expressions over the files, worked out in the
+    same pass.
+    """
+    masked = files.select("path", "language", *carry,
                           lexical.masked(F.col("content"), F.col("language")).alias("code"))
-    called = masked.select("path", "language", "code",
-                           lexical.calls(F.col("code"), F.col("language")).alias("calls"))
-    return called.select(
-        "path", "language",
-        lexical.sources(F.col("calls"), F.col("language")).alias("sources"),
-        lexical.sinks(F.col("calls"), F.col("language")).alias("sinks"),
-        lexical.complexity(F.col("code"), F.col("language")).alias("complexity"))
+    called = masked.withColumn("calls", lexical.calls(F.col("code"), F.col("language")))
+    return called.withColumns({
+        "sources": lexical.sources(F.col("calls"), F.col("language")),
+        "sinks": lexical.sinks(F.col("calls"), F.col("language")),
+        "complexity": lexical.complexity(F.col("code"), F.col("language"))}).drop("code", "calls")
 
 
 def call_sites(files: DataFrame) -> DataFrame:

@@ -111,13 +111,15 @@ def rule_list(rules: DataFrame, limit: int = LITERAL_RULE_LIMIT) -> list[Rule] |
 
 
 def scan_with_rule_table(lines: DataFrame, rules: DataFrame, literal_limit: int = LITERAL_RULE_LIMIT,
-                         salts: int = 64) -> DataFrame:
+                         salts: int | None = None) -> DataFrame:
     """Findings of a user's rule table.
 
     A table small enough becomes literal patterns.  A larger one is joined on
-    (language, salt): lines spread over ``salts`` keys per language and the
-    rules are repeated for each, so that no language is one task's work.
+    (language, salt): lines spread over ``salts`` keys per language (as many as
+    there are shuffle partitions, unless given) and the rules are repeated for
+    each, so that no language is one task's work.
     """
+    salts = salts or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = rule_list(rules, literal_limit)
     if chosen is not None:
         return scan_line_table(lines, chosen)
@@ -138,8 +140,17 @@ def _unicode(column: str) -> Column:
     return result
 
 
-def with_fallback(files: DataFrame, primary: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Findings of another scanner, plus a scan of every file it found nothing in."""
-    covered = primary.select(F.col("file").alias("path")).distinct()
-    rest = scan(files.join(covered, "path", "left_anti"), rules)
+def first_found(primary: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Findings of another scanner, plus ``scanned`` for every file it found nothing in."""
+    rest = scanned.join(primary.select("file").distinct(), "file", "left_anti")
     return primary.unionByName(rest, allowMissingColumns=True)
+
+
+def with_fallback(files: DataFrame, primary: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """Findings of another scanner, plus a scan of every file it found nothing in.
+
+    All files are scanned where they lie and the findings of covered files are
+    dropped afterwards: findings are small, whereas leaving covered files out
+    first would shuffle the contents of all the others.
+    """
+    return first_found(primary, scan(files, rules))

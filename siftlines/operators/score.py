@@ -42,16 +42,20 @@ def density_score(weight: Column, line_count: Column) -> Column:
     return F.bround(F.least(F.lit(10.0), density), 1)
 
 
+def with_density(sized: DataFrame, findings: DataFrame) -> DataFrame:
+    """Files(file, reader_lines, ...) with their number of findings and density score."""
+    weights = findings.groupBy("file").agg(
+        F.count("*").alias("n_findings"), F.sum(density_weight(F.col("severity"))).alias("weight"))
+    return sized.join(weights, "file", "left").withColumns({
+        "n_findings": F.coalesce("n_findings", F.lit(0)),
+        "risk_score": F.when(F.col("weight").isNull(), 0.0).otherwise(
+            density_score(F.col("weight"), F.col("reader_lines")))}).drop("weight")
+
+
 def density_scores(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Density score of every file, 0 for a file without findings.
 
     Contents are reduced to a line count before anything moves.
     """
-    weights = findings.groupBy(F.col("file").alias("path")).agg(
-        F.count("*").alias("n_findings"), F.sum(density_weight(F.col("severity"))).alias("weight"))
-    sized = files.select("path", text.reader_line_count(F.col("content")).alias("reader_lines"))
-    return sized.join(weights, "path", "left").select(
-        F.col("path").alias("file"), "reader_lines",
-        F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
-        F.when(F.col("weight").isNull(), 0.0)
-        .otherwise(density_score(F.col("weight"), F.col("reader_lines"))).alias("risk_score"))
+    sized = files.select(F.col("path").alias("file"), text.reader_line_count(F.col("content")).alias("reader_lines"))
+    return with_density(sized, findings)

@@ -17,20 +17,21 @@ def _with_summaries(rows: DataFrame, summaries: DataFrame | None, *keys: str) ->
 
 
 def chunk_results(files: DataFrame, found: DataFrame, summaries: DataFrame | None = None,
-                  size: int = lookups.CHUNK_LINES) -> tuple[DataFrame, DataFrame]:
-    """(tagged findings, chunk results) of files and their line findings."""
-    bounds = blocks.chunk_bounds(files, size)
+                  size: int = lookups.CHUNK_LINES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bounds, tagged findings, chunk results) of files and their line findings."""
+    # A few numbers per chunk, read several times: the files themselves are not read again.
+    bounds = session.keep(blocks.chunk_bounds(files, size, "language"))
     tagged = chunks.tag_findings(found, bounds)
-    results = chunks.chunk_scores(tagged, bounds).join(files.select("path", "language"), "path")
-    return tagged, _with_summaries(results, summaries, "path", "chunk_id")
+    results = _with_summaries(chunks.chunk_scores(tagged, bounds), summaries, "path", "chunk_id")
+    return bounds, tagged, results
 
 
 def large_file_audit(files: DataFrame, summaries: DataFrame | None = None,
                      size: int = lookups.CHUNK_LINES) -> dict[str, DataFrame]:
     """Chunk by chunk: chunk results, distinct findings by line, categories,
     one narrative and one total row per file."""
-    tagged, results = chunk_results(files, scan.scan(files), summaries, size)
-    tagged, results = session.keep(tagged), session.keep(results)
+    _, tagged, results = chunk_results(files, session.keep(scan.scan(files)), summaries, size)
+    results = session.keep(results)
     distinct = find.distinct_findings(tagged, "chunk_id", "rule_ord", "line")
     return {
         "chunks": results.orderBy("path", "chunk_id"),
@@ -68,11 +69,10 @@ def prompts(files: DataFrame, found: DataFrame, named: bool = False) -> DataFram
     code = F.col("content")
     code = summary.named_code(F.col("path"), code) if named else code
     # Only the first characters of a file go into a prompt, so only they move.
-    described = features.features(files).join(
-        files.select("path", F.substring(code, 1, lookups.PROMPT_CODE_CHARS).alias("code")), "path")
-    return described.join(finding_notes(found), "path", "left").select(
+    start = F.substring(code, 1, lookups.PROMPT_CODE_CHARS).alias("start")
+    return features.features(files, start).join(finding_notes(found), "path", "left").select(
         "path", summary.prompt(F.coalesce("notes", F.array().cast("array<string>")), F.col("sources"),
-                               F.col("sinks"), F.col("complexity"), F.col("code")).alias("prompt"))
+                               F.col("sinks"), F.col("complexity"), F.col("start")).alias("prompt"))
 
 
 def folder_audit(files: DataFrame, primary: DataFrame | None = None, summaries: DataFrame | None = None,
@@ -88,12 +88,12 @@ def folder_audit(files: DataFrame, primary: DataFrame | None = None, summaries:
     readable = readable.where(F.col("language").isNotNull()).select("path", "content", "language")
     # One scan serves the fallback of every file and the chunks of the big ones.
     scanned = session.keep(scan.scan(readable))
-    found = scanned if primary is None else _first_found(primary, scanned)
+    found = scanned if primary is None else scan.first_found(primary, scanned)
 
     is_big = text.newline_count(F.col("content")) > big_lines
-    big = readable.where(is_big)
-    big_paths = big.select(F.col("path").alias("file"))
-    tagged, chunk_rows = chunk_results(big, scanned, chunk_summaries)
+    bounds, tagged, chunk_rows = chunk_results(readable.where(is_big), scanned, chunk_summaries)
+    # Every big file has chunks, so their paths need no second look at the contents.
+    big_paths = bounds.select(F.col("path").alias("file")).distinct()
     own = found.join(big_paths, "file", "left_semi")
     merged = find.distinct_findings(
         own.withColumn("origin", F.lit(0)).unionByName(
@@ -101,12 +101,10 @@ def folder_audit(files: DataFrame, primary: DataFrame | None = None, summaries:
         "origin", "rule_ord").drop("origin")
     final = session.keep(found.join(big_paths, "file", "left_anti").unionByName(merged, allowMissingColumns=True))
 
-    scores = score.density_scores(final, readable)
-    base = (readable.select(F.col("path").alias("file"), "language",
-                            text.newline_count(F.col("content")).alias("line_count"), is_big.alias("big_file"))
-            .join(scores.select("file", "n_findings", "risk_score"), "file")
-            .join(features.features(readable).select(F.col("path").alias("file"), "sources", "sinks", "complexity"),
-                  "file"))
+    described = features.features(
+        readable, text.newline_count(F.col("content")).alias("line_count"), is_big.alias("big_file"),
+        text.reader_line_count(F.col("content")).alias("reader_lines")).withColumnRenamed("path", "file")
+    base = score.with_density(described, final).drop("reader_lines")
     told = chunks.narratives(chunk_rows).select(F.col("path").alias("file"), "narrative")
     described = base.join(told, "file", "left")
     if summaries is not None:
@@ -120,11 +118,6 @@ def folder_audit(files: DataFrame, primary: DataFrame | None = None, summaries:
     return {"findings": final, "results": results, "errors": errors}
 
 
-def _first_found(primary: DataFrame, scanned: DataFrame) -> DataFrame:
-    rest = scanned.join(primary.select("file").distinct(), "file", "left_anti")
-    return primary.unionByName(rest, allowMissingColumns=True)
-
-
 def nested_results(audit: dict[str, DataFrame]) -> DataFrame:
     """File results with their findings inside, as the JSON report has them."""
     fields = F.struct("rule_ord", "line", "check_id", "message", "severity", "snippet")

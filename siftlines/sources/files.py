@@ -5,6 +5,7 @@ import os
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siftlines import session
 from siftlines.functions import lookups, text
 
 _LISTING = "path string, folder boolean"
@@ -96,7 +97,8 @@ def read_shared_folder(spark: SparkSession, root: str, recursive: bool = True, p
         level = listed.where("folder").select("path")
         if prune:
             level = level.where(~name.startswith(".") & ~name.isin(*lookups.SKIPPED_FOLDERS))
-        level = level.repartition("path")
+        # Kept, so that the next level does not list this one again.
+        level = session.keep(level.repartition("path"))
         if level.isEmpty():
             break
     wanted = found.withColumn("language", text.language_of(F.col("path"))).where("language is not null")
