@@ -36,8 +36,8 @@ def _none(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
 
-def _append(blocks: Column, condition: Column, block: Column) -> Column:
-    return F.when(condition, F.concat(blocks, F.array(block))).otherwise(blocks)
+def _append(out: Column, condition: Column, block: Column) -> Column:
+    return F.when(condition, F.concat(out, F.array(block))).otherwise(out)
 
 
 def _count(code: Column, signs: str) -> Column:
@@ -54,19 +54,47 @@ def _state(**fields: Column) -> Column:
     return F.struct(*[value.alias(name) for name, value in fields.items()])
 
 
-def _fold(pairs: Column, describe, relevant, start: Column, step, finish) -> Column:
+def _empty() -> Column:
+    return F.array().cast(_BLOCKS)
+
+
+def _fold(pairs: Column, describe, relevant, start: dict, step, finish) -> Column:
     """Fold ``step`` over the relevant ones of a file's filled lines.
 
     ``describe(code, raw)`` gives the fields of a line, to which its number and
-    the number of the filled line above it are added.  ``finish(state, last)``
-    gets the last filled line.
+    the number of the filled line above it are added.  The state is ``start``
+    plus ``out``, the blocks found.  ``finish(state, last)`` gets the last filled
+    line and gives the blocks still open.
+
+    A fold copies its state at every step, so the lines are taken in about as
+    many slices as a slice has lines, and the blocks of a slice are put aside
+    at its end.
     """
-    def over(filled):
-        def item(x, at):
+    def item(filled):
+        def build(x, at):
             above = F.when(at > 0, F.get(filled, at - 1)["line"]).otherwise(0)
             return F.struct(x["line"].alias("line"), above.alias("above"), *describe(x["code"], x["raw"]))
+        return build
+
+    def in_slices(items, last):
+        length = F.ceil(F.sqrt(F.size(items))).cast("int")
+        starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), length)).otherwise(
+            F.array().cast("array<int>"))
+
+        def put_aside(whole):
+            return lambda state: F.struct(
+                _state(**{name: state[name] for name in start}, out=_empty()).alias("state"),
+                F.concat(whole["found"], F.array(state["out"])).alias("found"))
+
+        return F.aggregate(
+            starts, F.struct(_state(**start, out=_empty()).alias("state"),
+                             F.array().cast(f"array<{_BLOCKS}>").alias("found")),
+            lambda whole, at: let(F.aggregate(F.slice(items, at, length), whole["state"], step), put_aside(whole)),
+            lambda whole: F.concat(F.flatten(whole["found"]), finish(whole["state"], last)))
+
+    def over(filled):
         last = F.coalesce(F.get(filled, F.size(filled) - 1)["line"], F.lit(0))
-        return F.aggregate(F.filter(F.transform(filled, item), relevant), start, step, lambda s: finish(s, last))
+        return let(F.filter(F.transform(filled, item(filled)), relevant), lambda items: in_slices(items, last))
 
     numbered = F.transform(pairs, lambda p, at: F.struct(
         (at + 1).alias("line"), p["code"].alias("code"), p["raw"].alias("raw")))
@@ -82,7 +110,7 @@ def _python(pairs: Column) -> Column:
         return [c.rlike(r"^[^ \t)\]}]").alias("top"), c.startswith("@").alias("decorator"), header.alias("name")]
 
     def closed(s, last):
-        return _append(s["blocks"], s["name"].isNotNull(), _block(s["name"], s["first"], last))
+        return _append(s["out"], s["name"].isNotNull(), _block(s["name"], s["first"], last))
 
     def step(s, x):
         opens = ~s["decorated"]
@@ -90,9 +118,9 @@ def _python(pairs: Column) -> Column:
             name=F.when(opens, x["name"]).otherwise(F.coalesce(s["name"], x["name"])),
             first=F.when(opens, x["line"]).otherwise(s["first"]),
             decorated=x["decorator"],
-            blocks=F.when(opens, closed(s, x["above"])).otherwise(s["blocks"]))
+            out=F.when(opens, closed(s, x["above"])).otherwise(s["out"]))
 
-    start = _state(name=_none(), first=F.lit(0), decorated=F.lit(False), blocks=F.array().cast(_BLOCKS))
+    start = dict(name=_none(), first=F.lit(0), decorated=F.lit(False))
     return _fold(pairs, describe, lambda x: x["top"], start, step, closed)
 
 
@@ -107,7 +135,7 @@ def _ends(x: Column, after: Column, before: Column, level: Column) -> Column:
 
 
 def _open_to_last(s: Column, last: Column) -> Column:
-    return _append(s["blocks"], s["name"].isNotNull(), _block(s["name"], s["first"], last))
+    return _append(s["out"], s["name"].isNotNull(), _block(s["name"], s["first"], last))
 
 
 def _javascript(pairs: Column) -> Column:
@@ -129,11 +157,11 @@ def _javascript(pairs: Column) -> Column:
         first = F.when(header, x["line"]).otherwise(s["first"])
         body = F.when(header, x["body"]).otherwise(s["body"])
         ended = name.isNotNull() & _ends(x, after, before, F.lit(0)) & (~body | x["curly"])
-        kept = _append(s["blocks"], lost, _block(s["name"], s["first"], s["first"]))
+        kept = _append(s["out"], lost, _block(s["name"], s["first"], s["first"]))
         return _state(depth=after.cast("int"), name=F.when(~ended, name), first=first, body=body,
-                      blocks=_append(kept, ended, _block(name, first, x["line"])))
+                      out=_append(kept, ended, _block(name, first, x["line"])))
 
-    start = _state(depth=F.lit(0), name=_none(), first=F.lit(0), body=F.lit(False), blocks=F.array().cast(_BLOCKS))
+    start = dict(depth=F.lit(0), name=_none(), first=F.lit(0), body=F.lit(False))
     return _fold(pairs, describe, lambda x: (x["opened"] + x["closed"] > 0) | x["name"].isNotNull(),
                  start, step, _open_to_last)
 
@@ -159,10 +187,10 @@ def _java(pairs: Column) -> Column:
         return _state(depth=after.cast("int"), name=F.when(~ended, name), first=first, level=level,
                       noted=F.when(x["annotation"], F.coalesce(joined, x["line"])),
                       noted_to=F.when(x["annotation"], x["line"]),
-                      blocks=_append(s["blocks"], ended, _block(name, first, x["line"])))
+                      out=_append(s["out"], ended, _block(name, first, x["line"])))
 
-    start = _state(depth=F.lit(0), name=_none(), first=F.lit(0), level=F.lit(0), noted=_none("int"),
-                   noted_to=_none("int"), blocks=F.array().cast(_BLOCKS))
+    start = dict(depth=F.lit(0), name=_none(), first=F.lit(0), level=F.lit(0), noted=_none("int"),
+                   noted_to=_none("int"))
     return _fold(pairs, describe,
                  lambda x: (x["opened"] + x["closed"] > 0) | x["name"].isNotNull() | x["annotation"],
                  start, step, _open_to_last)
@@ -177,9 +205,9 @@ def c_functions(pairs: Column) -> Column:
         first = F.when(header, x["line"]).otherwise(s["first"])
         ended = name.isNotNull() & (after <= 0)
         return _state(depth=after.cast("int"), name=F.when(~ended, name), first=first,
-                      blocks=_append(s["blocks"], ended, _block(name, first, x["line"])))
+                      out=_append(s["out"], ended, _block(name, first, x["line"])))
 
-    start = _state(depth=F.lit(0), name=_none(), first=F.lit(0), blocks=F.array().cast(_BLOCKS))
+    start = dict(depth=F.lit(0), name=_none(), first=F.lit(0))
     return _fold(pairs, lambda c, raw: _brackets(c, "{", "}"), lambda x: x["opened"] + x["closed"] > 0,
                  start, step, _open_to_last)
 
@@ -236,12 +264,16 @@ def chunk_bounds(files: DataFrame, size: int = lookups.CHUNK_LINES, *carry: str)
 
 
 def chunk_texts(files: DataFrame, size: int = lookups.CHUNK_LINES) -> DataFrame:
-    """As ``chunk_bounds``, with the language and the text of every chunk."""
-    return _exploded(chunked(files, size), "language", "pairs").select(
-        "path", "language", "chunk_id", "name", "start_line", "end_line",
-        F.array_join(F.transform(
-            F.slice("pairs", F.col("start_line") + 1, F.col("end_line") - F.col("start_line")),
-            lambda pair: pair["raw"]), "\n").alias("text"))
+    """As ``chunk_bounds``, with the language and the text of every chunk.
+
+    Texts are cut before the chunks become rows, so no row carries its whole file.
+    """
+    def with_text(c):
+        lines = F.slice("pairs", c["start_line"] + 1, c["end_line"] - c["start_line"])
+        return F.struct(c["chunk_id"].alias("chunk_id"), c["name"].alias("name"), c["start_line"].alias("start_line"),
+                        c["end_line"].alias("end_line"),
+                        F.array_join(F.transform(lines, lambda pair: pair["raw"]), "\n").alias("text"))
+    return chunked(files, size).select("path", "language", F.inline(F.transform("chunks", with_text)))
 
 
 def gaps(files: DataFrame) -> DataFrame:

@@ -38,16 +38,17 @@ def line_windows(files: DataFrame, size: int = lookups.CHUNK_LINES) -> DataFrame
     The windows are slices of the file's own line array, so nothing moves.
     """
     split = files.select("path", text.split_lines(F.col("content")).alias("lines"))
+
+    def window(start, number):
+        end = F.least(start + size, F.size("lines"))
+        return F.struct(
+            number.alias("chunk_id"), F.format_string("lines_%d_to_%d", start + 1, end).alias("name"),
+            F.array_join(F.slice("lines", start + 1, F.lit(size)), "\n").alias("text"),
+            start.alias("start_line"), end.alias("end_line"))
+
+    # Texts are cut before the windows become rows, so no row carries its whole file.
     starts = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1, F.lit(size)))
-    placed = split.select("path", "lines", F.posexplode(starts).alias("chunk_id", "start_line"))
-    window = F.slice("lines", F.col("start_line") + 1, F.lit(size))
-    return placed.select(
-        "path", "chunk_id",
-        F.format_string("lines_%d_to_%d", F.col("start_line") + 1,
-                        F.col("start_line") + F.size(window)).alias("name"),
-        F.array_join(window, "\n").alias("text"),
-        "start_line",
-        (F.col("start_line") + F.size(window)).alias("end_line"))
+    return split.select("path", F.inline(F.transform(starts, window)))
 
 
 def row_windows(rows: DataFrame, key: str, order: Column, value: Column,

@@ -18,12 +18,16 @@ def pointer_events(files: DataFrame) -> DataFrame:
     Only lines that touch a pointer leave their file.
     """
     lined = blocks.lined(files.where("language = 'c'"))
-    placed = lined.select("path", "pairs", blocks.c_functions(F.col("pairs")).alias("functions"))
-    touching = placed.select("path", "functions", F.inline(F.filter(
-        F.transform("pairs", lambda p, i: F.struct((i + 1).alias("line"), p["code"].alias("code"), p["raw"].alias("raw"))),
-        lambda x: x["code"].rlike(r"free|->|malloc|[!=]=|!|\bif\b"))))
-    inside = F.get(F.filter("functions", lambda f: (f["first"] <= F.col("line")) & (F.col("line") <= f["last"])), 0)
-    located = touching.select("path", "line", "code", "raw", inside["first"].alias("block")).where("block is not null")
+
+    def touching(function):
+        lines = F.slice("pairs", function["first"], function["last"] - function["first"] + 1)
+        numbered = F.transform(lines, lambda p, i: F.struct(
+            (function["first"] + i).alias("line"), function["first"].alias("block"),
+            p["code"].alias("code"), p["raw"].alias("raw")))
+        return F.filter(numbered, lambda x: x["code"].rlike(r"free|->|malloc|[!=]=|!|\bif\b"))
+
+    located = lined.select("path", F.inline(F.flatten(
+        F.transform(blocks.c_functions(F.col("pairs")), touching))))
 
     def events(kind: str, *patterns: str) -> Column:
         names = F.concat(*[F.regexp_extract_all("code", F.lit(p), 1) for p in patterns])
