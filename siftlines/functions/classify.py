@@ -87,5 +87,13 @@ def finding_row(line: Column, severity: Column, message: Column, chunk: Column,
         category(message), _pad(tag, 24), F.lit(" — "), short_message(message), tail)
 
 
+def chunk_row(line: Column, severity: Column, message: Column) -> Column:
+    """One line of a chunk's findings: the message is cut hard at 70 characters."""
+    weakness = weakness_id(message)
+    tag = F.when(weakness != "N/A", F.concat(F.lit(" ("), weakness, F.lit(")"))).otherwise("")
+    return F.concat(F.lit("["), display_severity(severity), F.lit("] Line "), line.cast("string"), F.lit(" -- "),
+                    category(message), tag, F.lit(": "), F.substring(message, 1, 70))
+
+
 def _pad(text: Column, width: int) -> Column:
     return F.rpad(text, F.greatest(F.char_length(text), F.lit(width)), F.lit(" "))

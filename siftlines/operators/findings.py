@@ -63,6 +63,14 @@ def severity_counts(findings: DataFrame) -> DataFrame:
         F.count("*").alias("n_findings"))
 
 
+def severity_totals(findings: DataFrame) -> DataFrame:
+    """One row: findings by display severity and in total; unknown ones only count in the total."""
+    shown = display_severity(F.col("severity"))
+    return findings.agg(
+        F.count_if(shown == "HIGH").alias("high"), F.count_if(shown == "MEDIUM").alias("medium"),
+        F.count_if(shown == "LOW").alias("low"), F.count("*").alias("total"))
+
+
 def dashboard_counts(findings: DataFrame) -> DataFrame:
     """One row: findings by display severity (unknown ones are LOW) and in total."""
     shown = dashboard_severity(F.col("severity"))

@@ -160,7 +160,7 @@ def project_map(audit: dict[str, DataFrame], root: str = "") -> DataFrame:
     parts.append(listed.groupBy("group").agg(F.max("n_files").alias("n")).select(*line(
         2, F.format_string("  [%s]  (%d file(s))", "group", "n"), F.col("group"))))
     parts.append(listed.select(*line(2, F.concat(F.lit("    * "), "entry"), F.col("group"), F.lit(1), F.col("file"))))
-    stats = find.dashboard_counts(found)
+    stats = find.severity_totals(found)
     for number, (label, column) in enumerate([
             ("  Total Issues : %d", "total"), ("    High Vulnerability   : %d", "high"),
             ("    Medium Vulnerability : %d", "medium"), ("    Low Vulnerability    : %d", "low")]):

@@ -591,7 +591,9 @@ SELECT file, line, check_id,
        '  Line ' || lpad(CAST(line AS VARCHAR), CAST(greatest(length(CAST(line AS VARCHAR)), 4) AS INTEGER), ' ') || '  [' ||
        rpad({_display('severity')}, CAST(greatest(6, length({_display('severity')})) AS INTEGER), ' ') || ']  ' || {_category('message')} ||
        rpad({tag}, CAST(greatest(24, length({tag})) AS INTEGER), ' ') || ' — ' || {_short('message')} ||
-       CASE WHEN severity = 'ERROR' THEN '  (chunk: part_' || line || ')' ELSE '' END AS row
+       CASE WHEN severity = 'ERROR' THEN '  (chunk: part_' || line || ')' ELSE '' END AS row,
+       '[' || {_display('severity')} || '] Line ' || line || ' -- ' || {_category('message')} || {tag} || ': ' ||
+       substring(message, 1, 70) AS chunk_row
 FROM found""")
 
     sql["line_counts"] = _with(_code_files()) + f"""

@@ -227,8 +227,10 @@ def finding_snippets(spark, sf_dir):
 
 def finding_rows(spark, sf_dir):
     chunk = F.when(F.col("severity") == "ERROR", F.concat(F.lit("part_"), F.col("line").cast("string")))
-    return _found(spark, sf_dir).select("file", "line", "check_id", classify.finding_row(
-        F.col("line"), F.col("severity"), F.col("message"), chunk, "  ").alias("row"))
+    return _found(spark, sf_dir).select(
+        "file", "line", "check_id",
+        classify.finding_row(F.col("line"), F.col("severity"), F.col("message"), chunk, "  ").alias("row"),
+        classify.chunk_row(F.col("line"), F.col("severity"), F.col("message")).alias("chunk_row"))
 
 
 # files and lines ------------------------------------------------------------------

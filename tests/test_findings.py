@@ -128,6 +128,13 @@ def test_finding_row(one):
     assert got == f"  Line   17  [HIGH  ]  SQL Injection{cwe:<24s} — {'y' * 57}...  (chunk: go)"
 
 
+def test_chunk_row_and_severity_totals(one, found):
+    got = one(classify.chunk_row(F.lit(3), F.lit("INFO"), F.lit("[CWE-532] " + "y" * 70)))
+    assert got == "[LOW] Line 3 -- Info Exposure (Logs) (CWE-532): [CWE-532] " + "y" * 60
+    df = found(row(), row(severity="WARNING"), row(severity="odd"), row(severity="INFO"))
+    assert find.severity_totals(df).collect()[0] == (1, 1, 1, 4)
+
+
 def test_overview(spark):
     results = spark.createDataFrame(
         [("a.py", "One."), ("src/b.py", "x" * 90), ("src/c.py", "  "), ("src/d/e.py", None), ("src/d/f.py", "Two.")],
