@@ -24,9 +24,3 @@ def totals(results: DataFrame) -> DataFrame:
     groups = results.where(strip(F.coalesce("summary", F.lit(""))) != "").groupBy(
         top_folder(F.col("file")).alias("group")).agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"), F.count("*").alias("n_groups"))
-
-
-def group_scores(results: DataFrame) -> DataFrame:
-    """Per group: files, and mean and worst score."""
-    return results.groupBy(top_folder(F.col("file")).alias("group")).agg(
-        F.count("*").alias("n_files"), F.max("risk_score").alias("worst_score"))

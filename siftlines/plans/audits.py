@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from siftlines import session
-from siftlines.functions import catalog, lookups, summary, text
+from siftlines.functions import lookups, summary, text
 from siftlines.functions.classify import finding_row, risk_label
 from siftlines.operators import blocks, chunks, features, findings as find, overview, scan, score
 
@@ -191,7 +191,3 @@ def project_map(audit: dict[str, DataFrame], root: str = "") -> DataFrame:
     for part in parts[1:]:
         whole = whole.unionByName(part)
     return whole.orderBy("section", "first", "second", "third")
-
-
-def rule_names() -> list[str]:
-    return [r.rule_id for r in catalog.line_rules()]

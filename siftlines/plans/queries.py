@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftlines import session
-from siftlines.functions import catalog, classify, lookups, summary, text
+from siftlines.functions import catalog, classify, summary, text
 from siftlines.operators import (blocks, chunks, features, findings as find, lines, metrics, overview, scan,
                                  score, sequence)
 from siftlines.plans import audits, corpus
