@@ -95,3 +95,13 @@ def running(df: DataFrame, order: list, sums: dict[str, Column], by: str | None
     joined = summed.alias("r").join(starts.alias("s"), same)
     return joined.select("r.*", *[(F.col(f"_start_{name}") + F.col(f"_within_{name}")).alias(name) for name in sums]
                          ).drop("place", "part", *[f"{p}_{name}" for name in sums for p in ("", "_within")])
+
+
+def join_id(doc_id: Column) -> Column:
+    """An id that joins to itself when null; goes with a hash of the whole row, which tells null from empty."""
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
+
+
+def keyed(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with ``_id`` and ``_content``, by which decisions about rows are joined back."""
+    return docs.select("*", join_id(F.col(id_col)).alias("_id"), F.xxhash64(*docs.columns).alias("_content"))

@@ -1,16 +1,26 @@
 """The queries of this subpackage over the given tables, and those that SQL can express."""
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlines.llm import dedup, mixing, sharding
+import corpus_pipeline
+from siftlines.llm import common, dedup, langid, mixing, packing, sharding, simhash, tokenfile
+
+#: A vocabulary file that lies on every executor.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predictions(documents(spark, folder))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.exact_groups(documents(spark, folder))
 
@@ -19,13 +29,28 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, folder))
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder))
+
+
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, folder)).select("doc_id", "fingerprint", "component_id")
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select(
         "doc_id", "size", "source_size", "target", "taken", "copies", "first_position", "last_position")
 
 
+def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{common.folder(spark)}/{uuid.uuid4().hex}"
+    tokenfile.write(documents(spark, folder), path, TOKENIZER)
+    return tokenfile.read(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_sharding, op9_mixing)}
+    numbered = (op1_language_id, op2_exact_dedup, op4_sharding, op6_packing, op7_simhash, op9_mixing, op10_token_file)
+    return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
 
 
 ORACLE = {
