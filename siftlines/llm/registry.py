@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from siftlines.llm import common, dedup, langid, mixing, packing, sharding, simhash, tokenfile
+from siftlines.llm import common, dedup, langid, mixing, packing, quality, sharding, simhash, tokenfile
 
 #: A vocabulary file that lies on every executor.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,10 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.exact_groups(documents(spark, folder))
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scores(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, folder))
 
@@ -49,7 +53,8 @@ def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_language_id, op2_exact_dedup, op4_sharding, op6_packing, op7_simhash, op9_mixing, op10_token_file)
+    numbered = (op1_language_id, op2_exact_dedup, op3_quality, op4_sharding, op6_packing, op7_simhash, op9_mixing,
+                op10_token_file)
     return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
 
 
