@@ -5,9 +5,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftlines.llm import common, dedup, langid, mixing, packing, quality, sharding, simhash, tokenfile
+from siftlines.llm import common, dedup, langid, mixing, neighbours, packing, quality, sharding, simhash, tokenfile
 
 #: A vocabulary file that lies on every executor.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +42,11 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(documents(spark, folder)).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select(
         "doc_id", "size", "source_size", "target", "taken", "copies", "first_position", "last_position")
@@ -53,8 +59,8 @@ def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_language_id, op2_exact_dedup, op3_quality, op4_sharding, op6_packing, op7_simhash, op9_mixing,
-                op10_token_file)
+    numbered = (op1_language_id, op2_exact_dedup, op3_quality, op4_sharding, op6_packing, op7_simhash, op8_neighbours,
+                op9_mixing, op10_token_file)
     return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
 
 
