@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftlines.llm import common, dedup, langid, mixing, neighbours, packing, quality, sharding, simhash, tokenfile
+from siftlines.llm import common, dedup, langid, lm, mixing, neighbours, packing, quality, sharding, simhash, tokenfile
 
 #: A vocabulary file that lies on every executor.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,10 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, folder))
 
 
+def op5_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scores(documents(spark, folder))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
@@ -59,7 +63,7 @@ def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_language_id, op2_exact_dedup, op3_quality, op4_sharding, op6_packing, op7_simhash, op8_neighbours,
+    numbered = (op1_language_id, op2_exact_dedup, op3_quality, op4_sharding, op5_lm_scores, op6_packing, op7_simhash, op8_neighbours,
                 op9_mixing, op10_token_file)
     return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
 
