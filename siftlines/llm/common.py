@@ -97,11 +97,22 @@ def running(df: DataFrame, order: list, sums: dict[str, Column], by: str | None
                          ).drop("place", "part", *[f"{p}_{name}" for name in sums for p in ("", "_within")])
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ... so that no name clashes with one that an operator adds."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def plain_name(docs: DataFrame, column: str) -> str:
+    return f"c{docs.columns.index(column)}"
+
+
 def join_id(doc_id: Column) -> Column:
     """An id that joins to itself when null; goes with a hash of the whole row, which tells null from empty."""
     return F.coalesce(doc_id.cast("string"), F.lit(""))
 
 
 def keyed(docs: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with ``_id`` and ``_content``, by which decisions about rows are joined back."""
-    return docs.select("*", join_id(F.col(id_col)).alias("_id"), F.xxhash64(*docs.columns).alias("_content"))
+    """``docs`` with plain names and ``_id`` and ``_content``, by which decisions about rows are joined back."""
+    renamed = plain(docs)
+    return renamed.select("*", join_id(F.col(plain_name(docs, id_col))).alias("_id"),
+                          F.xxhash64(*renamed.columns).alias("_content"))

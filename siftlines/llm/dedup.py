@@ -71,9 +71,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Copies meet in a partial aggregate: a task sends one row per text, however many it has read.
     """
-    sha, row = "_sha", "_whole"
-    hashes = common.table(docs.select(text_sha256(F.col(text_col)).alias(sha)))
-    maybe, alone = split(docs.withColumn(sha, text_sha256(F.col(text_col))), sha, repeated_bits(hashes, sha))
-    rank = F.struct(F.isnull(id_col), F.col(id_col), F.xxhash64(*docs.columns))
-    first = maybe.groupBy(sha).agg(F.min_by(F.struct(*docs.columns), rank).alias(row)).select(f"{row}.*")
-    return alone.select(*docs.columns).unionByName(first)
+    rows = common.plain(docs)
+    doc_id, text = common.plain_name(docs, id_col), common.plain_name(docs, text_col)
+    hashes = common.table(rows.select(text_sha256(F.col(text)).alias("sha")))
+    maybe, alone = split(rows.withColumn("sha", text_sha256(F.col(text))), "sha", repeated_bits(hashes, "sha"))
+    rank = F.struct(F.isnull(doc_id), F.col(doc_id), F.xxhash64(*rows.columns))
+    first = maybe.groupBy("sha").agg(F.min_by(F.struct(*rows.columns), rank).alias("row")).select("row.*")
+    return alone.drop("sha").unionByName(first).toDF(*docs.columns)

@@ -149,6 +149,5 @@ def predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is clear, with all their columns."""
     dictionaries = train(docs.where(training(docs, id_col)), id_col, text_col, lang_col)
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    judged = identify(plain, dictionaries, f"c{docs.columns.index(text_col)}")
+    judged = identify(common.plain(docs), dictionaries, common.plain_name(docs, text_col))
     return judged.where("not rejected").drop("lang_pred", "score", "margin", "rejected").toDF(*docs.columns)

@@ -256,4 +256,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = near_groups(docs, id_col, text_col).where("representative").select(
         common.join_id(F.col("doc_id")).alias("_id"), F.col("content").alias("_content"))
     return common.keyed(docs, id_col).join(stay, ["_id", "_content"], "left_semi").dropDuplicates(
-        ["_id", "_content"]).select(*docs.columns)
+        ["_id", "_content"]).drop("_id", "_content").toDF(*docs.columns)
