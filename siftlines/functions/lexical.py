@@ -1,26 +1,30 @@
 """Code as plain text: blanking out strings and comments, finding names.
 
 Everything here is lexical.  Strings and comments are recognised by regular
-expressions per language, so code that only a parser could tell apart (a
-regular-expression literal holding a quote, calls inside an f-string) is read
-the simple way.
+expressions per language, so code that only a parser could tell apart (calls
+inside an f-string, a regular-expression literal after a closing bracket) is
+read the simple way.
 """
 
 from pyspark.sql import Column, functions as F
 
 from siftlines.functions import lookups
-from siftlines.functions.text import let, newlines
+from siftlines.functions.text import NO_BOUNDARY, let, newlines
 
-_DOUBLE = r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"'
-_SINGLE = r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
+# Possessive, so that a string of any length and any number of escapes is matched without recursion.
+_DOUBLE = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+_SINGLE = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 _TRIPLE = r'"""[\s\S]*?"""' + r"|'''[\s\S]*?'''"
-_TEMPLATE = r"`[^`\\]*(?:\\[\s\S][^`\\]*)*`"
+_TEMPLATE = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
 _SLASH_COMMENT = r"/\*[\s\S]*?\*/|//[^\n]*"
+# A regular-expression literal: a slash where no value can have ended, up to the next one outside a class.
+_REGEX = (r"(?<=(?:[(,=:\[!&|?{};\n]|\breturn)[ \t]{0,8})/(?![/*])"
+          r"(?:[^/\\\[\n]++|\\[^\n]|\[(?:[^\]\\\n]++|\\[^\n])*+\])++/[a-z]*+")
 
 # Alternatives that cut a text into blanked pieces (tried first) and the rest.
 PIECES = {
     "python": rf"{_TRIPLE}|{_DOUBLE}|{_SINGLE}|#[^\n]*|[^\"'#]+|[\s\S]",
-    "javascript": rf"{_SLASH_COMMENT}|{_DOUBLE}|{_SINGLE}|{_TEMPLATE}|[^\"'`/]+|[\s\S]",
+    "javascript": rf"{_SLASH_COMMENT}|{_REGEX}|{_DOUBLE}|{_SINGLE}|{_TEMPLATE}|[^\"'`/]+|[\s\S]",
     "java": rf"{_SLASH_COMMENT}|{_DOUBLE}|{_SINGLE}|[^\"'/]+|[\s\S]",
     "c": rf"{_SLASH_COMMENT}|{_DOUBLE}|{_SINGLE}|[^\"'/]+|[\s\S]",
 }
@@ -28,7 +32,7 @@ PIECES = {
 # A piece is blanked when it starts like this and is longer than its opening sign.
 BLANKED = {
     "python": r"^(?:\"[^\n]*\"|'[^\n]*'|\"\"\"|'''|#)",
-    "javascript": r"^(?:\"[^\n]*\"|'[^\n]*'|`[\s\S]*`|/\*|//)",
+    "javascript": r"^(?:\"[^\n]*\"|'[^\n]*'|`[\s\S]*`|/\*|//|/[^\n]+/)",
     "java": r"^(?:\"[^\n]*\"|'[^\n]*'|/\*|//)",
     "c": r"^(?:\"[^\n]*\"|'[^\n]*'|/\*|//)",
 }
@@ -62,7 +66,7 @@ def masked(content: Column, language: Column) -> Column:
     """Code without its strings and comments; every line keeps its number."""
     def mask(name):
         def blank(piece):
-            return F.when(piece.rlike(BLANKED[name]), F.regexp_replace(piece, r"[^\n]+", "")).otherwise(piece)
+            return F.when(piece.rlike(BLANKED[name]), F.regexp_replace(piece, NO_BOUNDARY, "")).otherwise(piece)
         return F.array_join(F.transform(F.regexp_extract_all(newlines(content), F.lit(PIECES[name]), 0), blank), "")
     return _by_language(language, mask)
 
@@ -88,6 +92,13 @@ def sinks(names: Column, language: Column) -> Column:
     return _listed(names, language, lookups.SINKS)
 
 
+# The word that opens a loop whose ``while`` comes last; that ``while`` is no branch of its own.
+_DO = r"(?m)(?:^|[;{})]|\belse)[ \t]*do\b\s*(?=[{\p{L}_(+*-])"
+
+
 def complexity(code: Column, language: Column) -> Column:
     """Number of branching constructs in masked code."""
-    return F.coalesce(_by_language(language, lambda name: F.regexp_count(code, F.lit(BRANCH[name]))), F.lit(0))
+    def count(name):
+        branches = F.regexp_count(code, F.lit(BRANCH[name]))
+        return branches if name == "python" else F.greatest(F.lit(0), branches - F.regexp_count(code, F.lit(_DO)))
+    return F.coalesce(_by_language(language, count), F.lit(0))

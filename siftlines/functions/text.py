@@ -1,5 +1,6 @@
 """String expressions with the text semantics the findings depend on."""
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -17,15 +18,21 @@ _SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
 _BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
+_CLASSES = {
+    "w": _WORD, "W": r"[^\p{L}\p{N}_]", "s": _SPACE, "S": r"[^\t-\r\x1c-\x1f\x85\p{Z}]", "d": r"\p{Nd}", "D": r"\P{Nd}",
+    "b": _BOUNDARY, "B": rf"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))",
+}
+
+
 def unicode_regex(pattern: str) -> str:
-    """Spell ``\\w``, ``\\s``, ``\\d`` and ``\\b`` out so that they cover Unicode.
+    """Spell ``\\w``, ``\\s``, ``\\d``, ``\\b`` and their opposites out so that they cover Unicode.
 
     Rule patterns are written for a dialect in which these classes are Unicode
     ones; in Java they are ASCII, and ``(?U)`` draws slightly different borders
-    (it leaves out superscript digits and adds combining marks).
+    (it leaves out superscript digits and adds combining marks).  An escaped
+    backslash before such a letter is no class.
     """
-    return (pattern.replace(r"\w", _WORD).replace(r"\s", _SPACE)
-            .replace(r"\d", r"\p{Nd}").replace(r"\b", _BOUNDARY))
+    return re.sub(r"\\(.)", lambda m: _CLASSES.get(m[1], m[0]), pattern, flags=re.DOTALL).replace("(?P<", "(?<")
 
 
 def strip(text: Column) -> Column:
@@ -67,6 +74,10 @@ def newlines(content: Column) -> Column:
 _BOUNDARIES = ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 
 
+# A run of characters none of which ends a line.
+NO_BOUNDARY = r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+"
+
+
 def _plain_boundaries(content: Column) -> Column:
     has_other = reduce(or_, [F.contains(content, F.lit(mark)) for mark in _BOUNDARIES])
     return F.when(has_other,

@@ -8,7 +8,7 @@ corpus is read once for all languages.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlines.functions import lexical, lookups
-from siftlines.functions.text import let, plain_lines, read_lines, split_lines
+from siftlines.functions.text import let, split_lines
 
 _PY_HEADER = r"^(?:async[ \t]+def|def|class)[ \t]+(\w+)"
 _JS_FUNCTION = r"^[ \t]*(?:async[ \t]+)?function[ \t]+(\w+)"
@@ -212,10 +212,14 @@ def c_functions(pairs: Column) -> Column:
                  start, step, _open_to_last)
 
 
-def lined(files: DataFrame) -> DataFrame:
-    """Files with their lines as pairs of raw and masked text."""
-    raw = read_lines(F.col("content"))
-    code = plain_lines(lexical.masked(F.col("content"), F.col("language")))
+def lined(files: DataFrame, mask_c: bool = False) -> DataFrame:
+    """Files with their lines as pairs of raw and masked text, numbered as a scan numbers them.
+
+    C files are always cut into windows, so nothing of them is masked unless asked for.
+    """
+    raw = split_lines(F.col("content"))
+    code = lexical.masked(F.col("content"), F.col("language"))
+    code = split_lines(code if mask_c else F.when(F.col("language") == "c", F.col("content")).otherwise(code))
     return files.select("path", "language", "content",
                         F.arrays_zip(raw.alias("raw"), code.alias("code")).alias("pairs"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftlines.functions import lookups, text
 from siftlines.functions.classify import category, dashboard_severity, display_severity, weakness_id
+from siftlines.operators import lines
 
 
 def found_order() -> Column:
@@ -117,17 +118,11 @@ def top_files(scores: DataFrame, limit: int = 5) -> DataFrame:
 def line_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
     """The source line of every finding, '' when the file has no such line.
 
-    Only files with findings move, and each is split into lines once.
+    Of a line only what is shown moves; no file's contents do.
     """
-    wanted = findings.groupBy(F.col("file").alias("path")).agg(F.collect_set("line").alias("numbers"))
-    held = files.select("path", "content").join(wanted, "path").select(
-        "path", "numbers", text.read_lines(F.col("content")).alias("lines"))
-    picked = held.select("path", F.explode(F.transform(
-        F.filter("numbers", lambda n: (n >= 1) & (n <= F.size("lines"))),
-        lambda n: F.struct(n.alias("line"), F.element_at("lines", n).alias("text")))).alias("row")).select(
-        F.col("path").alias("file"), "row.line",
-        text.snippet(F.col("row.text"), lookups.LOOKUP_SNIPPET_CHARS).alias("source_line"))
-    return findings.join(picked, ["file", "line"], "left").withColumn(
+    shown = lines.reader_lines(files).select(
+        F.col("path").alias("file"), "line", text.snippet(F.col("text"), lookups.LOOKUP_SNIPPET_CHARS).alias("source_line"))
+    return findings.join(shown, ["file", "line"], "left").withColumn(
         "source_line", F.coalesce("source_line", F.lit("")))
 
 

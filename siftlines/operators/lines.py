@@ -32,12 +32,12 @@ def line_counts(files: DataFrame) -> DataFrame:
         text.reader_line_count(F.col("content")).alias("reader_lines"))
 
 
-def line_windows(files: DataFrame, size: int = lookups.CHUNK_LINES) -> DataFrame:
-    """Cut every file into windows of ``size`` lines.
+def line_windows(files: DataFrame, size: int = lookups.CHUNK_LINES, *carry: str) -> DataFrame:
+    """Cut every file into windows of ``size`` lines; ``carry`` names file columns to keep.
 
     The windows are slices of the file's own line array, so nothing moves.
     """
-    split = files.select("path", text.split_lines(F.col("content")).alias("lines"))
+    split = files.select("path", *carry, text.split_lines(F.col("content")).alias("lines"))
 
     def window(start, number):
         end = F.least(start + size, F.size("lines"))
@@ -48,7 +48,7 @@ def line_windows(files: DataFrame, size: int = lookups.CHUNK_LINES) -> DataFrame
 
     # Texts are cut before the windows become rows, so no row carries its whole file.
     starts = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1, F.lit(size)))
-    return split.select("path", F.inline(F.transform(starts, window)))
+    return split.select("path", *carry, F.inline(F.transform(starts, window)))
 
 
 def row_windows(rows: DataFrame, key: str, order: Column, value: Column,

@@ -9,6 +9,7 @@ slices' borders, of which there is at most one per slice.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftlines.functions import energy, lookups
+from siftlines.operators.groups import with_totals
 
 # Length of a slice.  A run of a year has about half a million of them.
 SLICE_US = 60_000_000
@@ -91,11 +92,10 @@ def phase_shares(durations: DataFrame) -> DataFrame:
 def elapsed_series(readings: DataFrame) -> DataFrame:
     """Samples with the seconds since their run began, on two decimals.
 
-    The start is an aggregate joined back; a run with very many samples is
-    split by the adaptive skew join.
+    The start is joined back cell by cell, so a run with very many samples is
+    spread over many tasks.
     """
-    starts = readings.groupBy("run_id").agg(F.min("at_us").alias("start_us"))
-    return readings.join(starts, "run_id").withColumn(
+    return with_totals(readings, "run_id", "sample_id", {"start_us": (F.min("at_us"), F.min)}).withColumn(
         "elapsed_s", F.round((F.col("at_us") - F.col("start_us")) / 1_000_000.0, 2)).drop("start_us")
 
 

@@ -1,5 +1,7 @@
 """Rule scanning: which line of which file does which rule hit."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlines.functions import catalog, lookups, text
@@ -18,9 +20,10 @@ _GATE = """
     or contains(if(language = 'java', upper(text), text), 'AKIA')
 """
 
-# A rule table up to this many rows is turned into literal patterns.
-LITERAL_RULE_LIMIT = 2000
-
+# A rule table of up to this many bytes is sent to every executor; a larger one is shuffled to.
+BROADCAST_RULE_BYTES = 32 << 20
+# Rules one row of a prepared rule table holds, on average.
+BATCH_RULES = 64
 
 def _ignores_case(language: str) -> bool:
     return language == "java"
@@ -48,14 +51,20 @@ def _condition(rule: Rule, language: str) -> str:
 
 
 def _hits(rules: list[Rule]) -> Column:
-    """Array of the positions of all rules that hit a line, by its language."""
+    """Array of the positions of all rules that hit a line, by its language.
+
+    Alternatives of one rule on one line are one hit: the first that matches.
+    """
     branches = []
     for language in catalog.EVERY_LANGUAGE:
-        marks = ", ".join(f"if({_condition(r, language)}, {i}, null)"
-                          for i, r in enumerate(catalog.for_language(rules, language)))
+        alternatives: dict[str, list[tuple[int, Rule]]] = {}
+        for i, rule in enumerate(catalog.for_language(rules, language)):
+            alternatives.setdefault(rule.rule_id, []).append((i, rule))
+        marks = ", ".join("case " + " ".join(f"when {_condition(r, language)} then {i}" for i, r in same) + " end"
+                          for same in alternatives.values())
         if marks:
             branches.append(f"when language = '{language}' then array_compact(array({marks}))")
-    return F.expr("case " + " ".join(branches) + " end")
+    return F.expr("case " + " ".join(branches) + " end") if branches else F.array().cast("array<int>")
 
 
 def finding_columns() -> list[Column]:
@@ -75,16 +84,9 @@ def scan_line_table(lines: DataFrame, rules: list[Rule], gated: bool = False) ->
     kept = lines.where(_GATE) if gated else lines
     hits = (kept.withColumn("probe", _probe())
             .select("path", "language", "line", "text", F.explode(_hits(rules)).alias("ord")))
-    # The catalogue is code, so its size is known: at most LITERAL_RULE_LIMIT rows.
+    # These rules are code, so their number is known.
     table = F.broadcast(catalog.rules_table(lines.sparkSession, rules))
-    found = hits.join(table, ["language", "ord"]).select(*finding_columns())
-    ids = [r.rule_id for r in rules]
-    if len(set(ids)) < len(ids):
-        # Alternatives of one rule may hit the same line: one finding per rule and line.
-        found = (found.groupBy("check_id", "file", "line")
-                 .agg(F.min_by(F.struct("message", "severity", "snippet", "rule_ord"), "rule_ord").alias("first"))
-                 .select("check_id", "file", "line", "first.*"))
-    return found
+    return hits.join(table, ["language", "ord"]).select(*finding_columns())
 
 
 def scan(files: DataFrame, rules: list[Rule] | DataFrame | None = None) -> DataFrame:
@@ -94,50 +96,103 @@ def scan(files: DataFrame, rules: list[Rule] | DataFrame | None = None) -> DataF
     ``catalog.rules_table`` to which a user may have added rows; by default the
     built-in line rules.  Files of other languages give no findings.
     """
+    if isinstance(rules, DataFrame):
+        return scan_with_rule_table(files, rules)
     lines = line_ops.scan_lines(files, "language")
     if rules is None:
         return scan_line_table(lines, catalog.line_rules(), gated=True)
-    if isinstance(rules, DataFrame):
-        return scan_with_rule_table(lines, rules)
     return scan_line_table(lines, rules)
 
 
-def rule_list(rules: DataFrame, limit: int = LITERAL_RULE_LIMIT) -> list[Rule] | None:
-    """A rule table as a list, or None when it has more than ``limit`` rows."""
-    rows = rules.orderBy("language", "ord").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return [Rule(r.rule_id, r.language, r.severity, r.message, r.pattern) for r in rows]
+def _prepared(batches):
+    for batch in batches:
+        rows = [_translated(*row) for row in zip(batch["language"], batch["pattern"], batch["exclude"])]
+        batch["pattern"], batch["exclude"], batch["error"] = zip(*rows) if rows else ([], [], [])
+        yield batch
+
 
+def _translated(language, pattern, exclude):
+    """A rule's patterns for Spark's regex engine, and what is wrong with them."""
+    exclude = [] if exclude is None else list(exclude)
+    try:
+        for each in (pattern, *exclude):
+            re.compile(each)
+    except (re.error, TypeError) as problem:
+        return None, [], str(problem)
+    return java_pattern(pattern, language), [java_pattern(p, language) for p in exclude], None
 
-def scan_with_rule_table(lines: DataFrame, rules: DataFrame, literal_limit: int = LITERAL_RULE_LIMIT,
-                         salts: int | None = None) -> DataFrame:
-    """Findings of a user's rule table.
 
-    A table small enough becomes literal patterns.  A larger one is joined on
-    (language, salt): lines spread over ``salts`` keys per language (as many as
-    there are shuffle partitions, unless given) and the rules are repeated for
-    each, so that no language is one task's work.
+def prepared_rules(rules: DataFrame) -> DataFrame:
+    """A user's rules, one row per language they run on, with patterns for Spark's engine.
+
+    ``rules`` has the columns of ``catalog.rules_table``, and may have ``exclude``: patterns that must not match.
+    A shared rule runs on every language.  A rule whose pattern is no regular expression keeps
+    what is wrong with it in ``error``.
+    """
+    if "exclude" not in rules.columns:
+        rules = rules.withColumn("exclude", F.array().cast("array<string>"))
+    every = F.array(*[F.lit(x) for x in catalog.EVERY_LANGUAGE])
+    language = F.explode(F.when(F.col("language") == catalog.SHARED, every).otherwise(F.array("language")))
+    named = rules.select("rule_id", language.alias("language"), F.col("ord").cast("int").alias("ord"), "severity",
+                         "message", "pattern", "exclude")
+    return named.mapInPandas(_prepared, "rule_id string, language string, ord int, severity string, message string, "
+                                        "pattern string, exclude array<string>, error string")
+
+
+def rule_errors(rules: DataFrame) -> DataFrame:
+    """Rules of a table that cannot run: (rule_id, language, error)."""
+    return prepared_rules(rules).where("error is not null").select("rule_id", "language", "error")
+
+
+def scan_with_rule_table(files: DataFrame, rules: DataFrame, salts: int | None = None,
+                         broadcast_bytes: int = BROADCAST_RULE_BYTES) -> DataFrame:
+    """Findings of a user's rule table, whatever its number of rows.
+
+    Rules are rows of batches, all rows of one rule in the same; a file meets every batch of its language and
+    tries one rule after the other on all its lines, so a pattern is compiled once per file.  One rule gives one
+    finding per line, that of its smallest ``ord``.  A table of up to ``broadcast_bytes`` (its size is
+    measured) goes to every executor and files stay where they are; beyond it files and
+    batches meet by (language, salt).  Rules that cannot run are left out, see ``rule_errors``.
     """
-    salts = salts or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chosen = rule_list(rules, literal_limit)
-    if chosen is not None:
-        return scan_line_table(lines, chosen)
-    spread = lines.withColumn("salt", F.pmod(F.xxhash64("path", "line"), F.lit(salts)))
-    pattern = F.concat(F.when(F.col("language") == "java", F.lit("(?iu)")).otherwise(""), _unicode("pattern"))
-    repeated = (rules.withColumn("pattern", pattern)
-                .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
-    return (spread.join(repeated, ["language", "salt"])
-            .where(F.expr("rlike(text, pattern)"))
-            .select(*finding_columns()))
-
-
-def _unicode(column: str) -> Column:
-    """``text.unicode_regex`` for patterns that come from a column."""
-    result = F.col(column)
-    for plain in (r"\w", r"\s", r"\d", r"\b"):
-        result = F.replace(result, F.lit(plain), F.lit(text.unicode_regex(plain)))
-    return result
+    spark = files.sparkSession
+    usable = prepared_rules(rules).where("error is null")
+    size, number = usable.agg(
+        F.coalesce(F.sum(F.octet_length("pattern") + F.octet_length("message") + 200), F.lit(0)), F.count("*")).first()
+    batch = F.pmod(F.xxhash64("rule_id"), F.lit(number // BATCH_RULES + 1)).alias("batch")
+    rule = F.struct("rule_id", "ord", "severity", "message", "pattern", "exclude")
+    batches = usable.groupBy("language", batch).agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+    lined = files.select("path", "language", "content")
+    if size <= broadcast_bytes:
+        met = lined.join(F.broadcast(batches), "language")
+    else:
+        salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
+        met = lined.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salts))).join(
+            batches.select("*", salt), ["language", "salt"])
+    found = met.select("path", F.explode(_rule_hits(text.split_lines(F.col("content")))).alias("hit"))
+    return found.select(
+        F.col("hit.rule_id").alias("check_id"), F.col("path").alias("file"), "hit.line", "hit.message", "hit.severity",
+        text.snippet(F.col("hit.text"), lookups.SCAN_SNIPPET_CHARS).alias("snippet"), F.col("hit.ord").alias("rule_ord"))
+
+
+def _rule_hits(lines: Column) -> Column:
+    """Hits of the column ``rules`` on an array of lines, the first of each rule and line."""
+    def tried(numbered):
+        def one(rule):
+            hit = lambda x: F.rlike(x["text"], rule["pattern"]) & ~F.exists(
+                rule["exclude"], lambda p: F.rlike(x["text"], p))
+            return F.transform(F.filter(numbered, hit), lambda x: F.struct(
+                rule["rule_id"].alias("rule_id"), x["line"].alias("line"), rule["ord"].alias("ord"),
+                rule["message"].alias("message"), rule["severity"].alias("severity"), x["text"].alias("text")))
+        return F.array_sort(F.flatten(F.transform("rules", one)))
+
+    def first(hits):
+        before = lambda i: F.get(hits, i - 1)
+        return F.filter(hits, lambda h, i: (i == 0) | (before(i)["rule_id"] != h["rule_id"])
+                        | (before(i)["line"] != h["line"]))
+
+    numbered = F.transform(lines, lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
+    return text.let(text.let(numbered, tried), first)
 
 
 def first_found(primary: DataFrame, scanned: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def pointer_events(files: DataFrame) -> DataFrame:
 
     Only lines that touch a pointer leave their file.
     """
-    lined = blocks.lined(files.where("language = 'c'"))
+    lined = blocks.lined(files.where("language = 'c'"), mask_c=True)
 
     def touching(function):
         lines = F.slice("pairs", function["first"], function["last"] - function["first"] + 1)

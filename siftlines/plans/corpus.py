@@ -6,8 +6,6 @@ language follows from its id, and code lines picked by its id are appended.
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftlines.sources.files import spread
-
 LANGUAGE_ORDER = ["python", "javascript", "java", "c"]
 SUFFIX = {"python": "py", "javascript": "js", "java": "java", "c": "c"}
 
@@ -73,8 +71,7 @@ def _pick(table: dict, language: Column, index: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return spread(columns, "doc_id")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:

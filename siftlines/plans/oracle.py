@@ -4,6 +4,8 @@ Written apart from the DataFrame code: regular expressions are spelled for a
 linear-time engine without look-around, lists become unnested rows.
 """
 
+import re
+
 from siftlines.functions import catalog, lookups
 from siftlines.functions.rule_values import (RULE_FILE_C, RULE_FILE_JAVA, RULE_FILE_JAVASCRIPT,
                                              RULE_FILE_PYTHON)
@@ -30,7 +32,7 @@ def regex(pattern: str, language: str = "") -> str:
     out = out.replace(r"\b.*", f"{_NOT_W}.*")
     if out.endswith(r"\b"):
         out = out[:-2] + f"(?:{_NOT_W}|$)"
-    out = out.replace(r"\w", _W).replace(r"\s", _S).replace(r"\d", r"\p{Nd}")
+    out = re.sub(r"\\(.)", lambda m: {"w": _W, "s": _S, "d": r"\p{Nd}"}.get(m[1], m[0]), out)
     return ("(?i)" if language == "java" else "") + out
 
 
@@ -76,7 +78,7 @@ def _lines(files: str, name: str, keep: str = "path, language", content: str = "
   SELECT {keep}, string_split(regexp_replace(regexp_replace({content}, {q(_BREAKS)}, chr(10), 'g'), '\\n\\z', ''),
                               chr(10)) AS parts
   FROM {files} WHERE {content} <> ''),
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT {keep}, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS line, unnest(parts) AS text
   FROM {name}_split)"""
 
@@ -107,7 +109,7 @@ def _scan(name: str, rules, line_table: str = "lines", only=None) -> str:
         part for language in catalog.EVERY_LANGUAGE for part in _hits(rules, language, line_table, only))
     return f"""
 {name}_raw AS ({union}),
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT check_id, file, line, message, severity,
          substring({strip('text')}, 1, {lookups.SCAN_SNIPPET_CHARS}) AS snippet, rule_ord
   FROM {name}_raw)"""
@@ -225,7 +227,11 @@ def _features() -> str:
         parts = " ".join(f"WHEN {q(k)} THEN list_filter(names, lambda n: n IN ({', '.join(q(x) for x in v)}))"
                          for k, v in table.items())
         return f"CASE language {parts} END"
-    branch = " ".join(f"WHEN {q(k)} THEN len(regexp_extract_all(code, {q(v)}))" for k, v in _BRANCH.items())
+    # A loop that ends in its condition: as many as there are words that open one.
+    loops = r"(?m)(?:^|[;{})]|\belse)[ \t]*do\b\s*[{\p{L}_(+*-]"
+    less = lambda k: "" if k == "python" else f" - len(regexp_extract_all(code, {q(loops)}))"
+    branch = " ".join(f"WHEN {q(k)} THEN greatest(0, len(regexp_extract_all(code, {q(v)})){less(k)})"
+                      for k, v in _BRANCH.items())
     return f"""
 called AS (
   SELECT path, language, code, content,
@@ -495,7 +501,8 @@ prose AS (
     sql["scan_rule_file"] = (_with(*code, by_file_rule)
                              + "SELECT DISTINCT check_id, file, line, message, severity FROM matched")
     user = [catalog.Rule(i, language, s, m, p) for i, language, _, s, m, p in USER_RULES]
-    sql["scan_rule_table"] = _with(*code, _scan("found", user)) + f"SELECT {_FINDING} FROM found"
+    sql["scan_rule_table"] = _with(*code, _scan("found", user)) + f"""
+SELECT {_FINDING} FROM found QUALIFY row_number() OVER (PARTITION BY check_id, file, line ORDER BY rule_ord) = 1"""
     chosen = [r for r in file_rules if r.exclude]
     plain = [catalog.Rule(r.rule_id, r.language, r.severity, r.message, r.pattern) for r in chosen]
     guarded = f"""
@@ -525,7 +532,8 @@ hits AS (SELECT check_id, count(*) AS n FROM (SELECT DISTINCT check_id, file, li
 SELECT check_id, severity, kind, cwe, language, coalesce(n, 0) AS n_findings FROM catalogue LEFT JOIN hits USING (check_id)"""
     sql["sequence_rules"] = _sequence()
     sql["fallback_when_empty"] = _over_found(f"""
-SELECT {_FINDING} FROM found WHERE severity = 'ERROR' OR file NOT IN (SELECT file FROM found WHERE severity = 'ERROR')""")
+SELECT {_FINDING} FROM found WHERE severity = 'ERROR' OR NOT EXISTS (
+  SELECT 1 FROM found AS worst WHERE worst.file = found.file AND worst.severity = 'ERROR')""")
     sql["json_findings"] = sql["scan_all_rules"]
     sql["bulk_json_findings"] = _over_found("""
 SELECT language, check_id, path AS file, CASE WHEN severity = 'INFO' THEN 0 ELSE line END AS line,
@@ -640,7 +648,7 @@ SELECT path, count(*) AS n_chunks, CAST(sum(n_findings) AS BIGINT) AS n_findings
        count(*) FILTER (WHERE risk_score >= 4) AS n_risky, sum((end_line - start_line) * 0.5)::DOUBLE AS total_seconds,
        {_label('max(risk_score)')} AS label
 FROM chunk_scored GROUP BY path""", _windows("windows", 4), _chunk_scores("windows"))
-    part = _clean_summary("substring(string_split(text, chr(10))[1], 1, 40)")
+    part = _clean_summary("string_split(text, chr(10))[1]")
     sql["narrative"] = _over_found("""
 SELECT path, language, n_chunks, n_findings,
   substring('// Language: ' || language || chr(10) || CASE WHEN len(parts) > 0

@@ -16,6 +16,8 @@ FINDING = ["check_id", "file", "line", "message", "severity", "snippet"]
 USER_RULES = [
     ("user.token", "python", 0, "ERROR", "[CWE-798] Token in code.", r"\btoken\s*=\s*[\"'][^\"']+[\"']"),
     ("user.call", "python", 1, "INFO", "Call of print or eval.", r"\b(print|eval)\s*\("),
+    ("user.call", "python", 2, "WARNING", "Call of eval or of a loader.", r"\b(eval|\w+\.loads)\s*\("),
+    ("user.number", "shared", 9, "INFO", "Backslash and d, or a long number.", r"\\d|\d{4,}"),
     ("user.const", "javascript", 0, "INFO", "Constant.", r"\bconst\s+\w+"),
     ("user.class", "java", 0, "WARNING", "Upper or lower case class.", r"\bCLASS\s+\w+"),
     ("user.free", "c", 0, "WARNING", "Release.", r"\bfree\s*\(\s*\w+\s*\)"),
@@ -81,8 +83,7 @@ def scan_rule_file(spark, sf_dir):
 
 def scan_rule_table(spark, sf_dir):
     rules = spark.createDataFrame(USER_RULES, USER_RULES_SCHEMA)
-    code = lines.scan_lines(corpus.code_files(spark, sf_dir), "language")
-    return scan.scan_with_rule_table(code, rules, literal_limit=0).select(*FINDING)
+    return scan.scan(corpus.code_files(spark, sf_dir), rules).select(*FINDING)
 
 
 def pattern_and_not(spark, sf_dir):
@@ -302,27 +303,25 @@ def chunk_findings(spark, sf_dir):
 def chunk_remap(spark, sf_dir):
     """Scan chunk texts and address the findings in the original files."""
     files = corpus.code_files(spark, sf_dir)
-    bounds = lines.line_windows(files, 4)
-    own = bounds.join(files.select("path", "language"), "path")
-    found = scan.scan(chunks.chunk_files(own.select("path", "language", "chunk_id", "text")))
+    bounds = lines.line_windows(files, 4, "language")
+    found = scan.scan(chunks.chunk_files(bounds))
     return chunks.remap_lines(found, bounds).select("check_id", "file", "line", "original_chunk", "chunk_id")
 
 
 def chunk_rollup(spark, sf_dir):
     files = corpus.code_files(spark, sf_dir)
-    bounds = _windows(spark, sf_dir)
-    scored = chunks.chunk_scores(chunks.tag_findings(scan.scan(files), bounds), bounds.drop("text"))
+    bounds = _windows(spark, sf_dir).drop("text")
+    scored = chunks.chunk_scores(chunks.tag_findings(scan.scan(files), bounds), bounds)
     return chunks.file_rollup(scored, (F.col("end_line") - F.col("start_line")) * 0.5).withColumn(
         "label", classify.risk_label(F.col("top_score")))
 
 
 def narrative(spark, sf_dir):
     files = corpus.code_files(spark, sf_dir)
-    bounds = _windows(spark, sf_dir)
-    scored = chunks.chunk_scores(chunks.tag_findings(scan.scan(files), bounds), bounds)
-    told = scored.join(files.select("path", "language"), "path").withColumn(
-        "summary", summary.clean_summary(F.substring(F.substring_index("text", "\n", 1), 1, 40)))
-    return chunks.narratives(told)
+    # The first line of a chunk stands for its summary; the text itself goes no further.
+    bounds = lines.line_windows(files, 4, "language").withColumn(
+        "summary", summary.clean_summary(F.substring_index("text", "\n", 1))).drop("text")
+    return chunks.narratives(chunks.chunk_scores(chunks.tag_findings(scan.scan(files), bounds), bounds))
 
 
 # features ---------------------------------------------------------------------------

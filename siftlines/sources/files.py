@@ -22,17 +22,6 @@ def files_from_table(rows: DataFrame, path: Column, content: Column, language: C
     return named.where("language is not null")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of a small input over all cores.
-
-    An input of fewer splits than the session has cores (a file or two, each of
-    one row group) would be worked on by as few tasks.  Anything larger stays
-    as it is read: nothing is shuffled.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < 2 * cores else rows
-
-
 def kept_by_pruning(path: Column, root: str) -> Column:
     """True when no folder between root and the file is one a scan skips."""
     folders = F.split(text.relative_path(path, root), "/")
@@ -53,7 +42,7 @@ def read_folder(spark: SparkSession, root: str, recursive: bool = True, prune: b
     kept = named.where("language is not null")
     if prune:
         kept = kept.where(kept_by_pruning(F.col("path"), base))
-    return kept.dropDuplicates(["path"]).select("path", text.make_text(F.col("content")).alias("content"), "language")
+    return kept.select("path", text.make_text(F.col("content")).alias("content"), "language")
 
 
 def _list_folders(batches):
@@ -62,7 +51,8 @@ def _list_folders(batches):
         for folder in batch["path"]:
             try:
                 with os.scandir(folder) as entries:
-                    rows += [(e.path, e.is_dir(follow_symlinks=False)) for e in entries]
+                    rows += [(os.path.realpath(e.path) if os.path.exists(e.path) else e.path,
+                              e.is_dir(follow_symlinks=False)) for e in entries]
             except OSError:
                 continue
         yield pd.DataFrame(rows, columns=["path", "folder"])
@@ -73,7 +63,7 @@ def _read_contents(batches):
         for path in batch["path"]:
             try:
                 with open(path, "rb") as file:
-                    yield pd.DataFrame({"path": [os.path.realpath(path)], "raw": [file.read()], "error": [None]})
+                    yield pd.DataFrame({"path": [path], "raw": [file.read()], "error": [None]})
             except OSError as problem:
                 yield pd.DataFrame({"path": [path], "raw": [None], "error": [str(problem)]})
 
@@ -101,9 +91,10 @@ def read_shared_folder(spark: SparkSession, root: str, recursive: bool = True, p
         level = session.keep(level.repartition("path"))
         if level.isEmpty():
             break
-    wanted = found.withColumn("language", text.language_of(F.col("path"))).where("language is not null")
-    contents = wanted.repartition("path").select("path").mapInPandas(_read_contents, _CONTENT)
-    return contents.dropDuplicates(["path"]).select(
+    # Paths are made distinct, and so dealt out, before a file is opened.
+    wanted = found.where(text.language_of(F.col("path")).isNotNull()).select("path").distinct()
+    contents = wanted.mapInPandas(_read_contents, _CONTENT)
+    return contents.select(
         "path", text.make_text(F.col("raw")).alias("content"),
         text.language_of(F.col("path")).alias("language"), "error")
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from siftlines.operators import blocks, chunks, lines, scan
@@ -102,3 +103,16 @@ def test_narrative_without_findings_or_summaries(spark):
     assert chunks.narratives(only).collect()[0].narrative.endswith(
         "spread across the file. Functionally, the key behaviors and responsibilities encapsulated by this code include: "
         "A security check.")
+
+
+@pytest.mark.parametrize("mark", ["\x0b", "\x0c", "\x1c", "\x85", " ", "\r", "\r\n"])
+def test_scan_blocks_and_texts_number_lines_alike(files, mark):
+    code = files(("a.py", f"x = 1\ny = '{mark}'\ndef f():\n    eval(x)\n"), ("b.c", f"int a;{mark}gets(b);\n" * 9))
+    found = scan.scan(code)
+    bounds = blocks.chunk_bounds(code, 10)
+    tagged = chunks.tag_findings(found, bounds)
+    assert tagged.count() == found.count() == 10
+    texts = blocks.chunk_texts(code, 10)
+    again = chunks.remap_lines(scan.scan(chunks.chunk_files(texts)), texts)
+    key = lambda rows: {(r.file, r.check_id, r.line, r.chunk_id) for r in rows.collect()}
+    assert key(again) == key(tagged)

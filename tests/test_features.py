@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlines.functions import lexical
-from siftlines.operators import features, sequence
+from siftlines.operators import blocks, features, sequence
 
 
 def test_masking_keeps_lines(one):
@@ -31,6 +31,27 @@ def test_features(files, path, code, sources, sinks, complexity):
     assert (row.sources, row.sinks, row.complexity) == (sources, sinks, complexity)
 
 
+@pytest.mark.parametrize("path, code, branches", [
+    ("a.c", "do {} while(x); for(;;){} do x++; while (x < 3);\nif(a) {}\nelse do { y(); } while (z);\nwhile (q) { }", 3),
+    ("a.java", "class A { void f() { do { } while(x);\n for(int i=0;i<2;i++) { } if(a) { } } }", 2),
+    ("a.js", "do {\n} while (x);\nwhile (y) { a.do(z); double(); }\nconst o = { do: 1 };", 1)])
+def test_loops_that_end_in_their_condition(files, path, code, branches):
+    assert features.features(files((path, code))).collect()[0].complexity == branches
+
+
+@pytest.mark.parametrize("quote", ['"', "'", "`"])
+def test_very_many_escapes(one, quote):
+    code = "a(" + quote + "\\u0041" * 100_000 + quote + ");\nb()"
+    assert one(lexical.masked(F.col("c"), F.lit("javascript")), c=code) == "a();\nb()"
+
+
+def test_regex_literals_are_masked(one, files):
+    mask = lambda c: one(lexical.masked(F.col("c"), F.lit("javascript")), c=c)
+    assert mask("x = /[{\"]/g.test(s); y = a / b / c; return /[/{]\\/\"/;") == "x = .test(s); y = a / b / c; return ;"
+    code = "function f(){ return /[{]/; }\nfunction g(){ }"
+    assert [r.name for r in blocks.code_blocks(files(("a.js", code))).collect()] == ["f", "g"]
+
+
 def test_script_calls(spark):
     pages = spark.createDataFrame([("p", "<script>a(1);</script><p>b(2)</p><script src=x>c.d('e(')</script>")],
                                   "path string, html string")

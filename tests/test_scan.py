@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlines.functions import catalog
-from siftlines.operators import lines, scan
+from siftlines.operators import scan
 from tests.rule_lines import CASES, RULE_FILE_CASES
 
 SUFFIX = {"python": "py", "javascript": "js", "java": "java", "c": "c"}
@@ -101,14 +101,36 @@ def test_unsupported_language_gives_nothing(files):
     assert scan.scan(files(("a.txt", "eval(x)"), ("b", "eval(x)"))).count() == 0
 
 
-def test_rule_table_as_literals_and_as_join(spark, files):
+def test_rule_table_equals_literals_on_every_path(spark, files):
     rows = [("a.py", "token = 'x'\neval(x)"), ("b.java", "CLASS X {}\nclass y"), ("c.c", "free(p);")]
     table = catalog.rules_table(spark, catalog.line_rules())
-    code = lines.scan_lines(files(*rows), "language")
-    literal = hits(scan.scan_with_rule_table(code, table))
-    joined = hits(scan.scan_with_rule_table(code, table, literal_limit=0, salts=3))
-    assert literal == joined == expected(rows, catalog.line_rules())
-    assert scan.rule_list(table, limit=10) is None
+    code = files(*rows)
+    assert hits(scan.scan(code, table)) == expected(rows, catalog.line_rules())
+    assert hits(scan.scan_with_rule_table(code, table, salts=3, broadcast_bytes=0)) == expected(rows, catalog.line_rules())
+
+
+@pytest.mark.parametrize("extra", [0, 2500])
+def test_rule_table_of_any_size_means_the_same(spark, files, extra):
+    rules = [("r", "python", 5, "INFO", "m2", r"b\w"), ("r", "python", 2, "INFO", "m1", r"a\w"),
+             ("s", "shared", 9, "INFO", "all", r"\bx\b"), ("t", "python", 1, "INFO", "data", r"\\data|\d\D\S\W"),
+             ("bad", "java", 0, "INFO", "broken", r"(unclosed"), ("named", "c", 0, "INFO", "named", r"(?P<n>q+)")]
+    rules += [(f"no{i}", "shared", 100 + i, "INFO", "", f"never{i}") for i in range(extra)]
+    table = spark.createDataFrame(rules, "rule_id string, language string, ord int, severity string, message string, pattern string")
+    code = files(("a.py", "ab bc\nbc x\n\\data"), ("b.java", "x"), ("c.c", "qq"), ("d.py", "\u0663ab-"))
+    want = {("r", "a.py", 1, "m1", 2), ("r", "a.py", 2, "m2", 5), ("r", "a.py", 3, "m1", 2), ("s", "a.py", 2, "all", 9), ("t", "a.py", 3, "data", 1),
+            ("s", "b.java", 1, "all", 9), ("named", "c.c", 1, "named", 0), ("r", "d.py", 1, "m1", 2), ("t", "d.py", 1, "data", 1)}
+    for limit in (0, 1 << 30):
+        found = scan.scan_with_rule_table(code, table, broadcast_bytes=limit).collect()
+        assert {(r.check_id, r.file, r.line, r.message, r.rule_ord) for r in found} == want and len(found) == len(want)
+    assert [(r.rule_id, r.language) for r in scan.rule_errors(table).collect()] == [("bad", "java")]
+
+
+def test_alternatives_of_a_listed_rule_are_one_finding(files):
+    rules = [catalog.Rule("r", "python", "INFO", "m1", "a"), catalog.Rule("r", "python", "INFO", "m2", "b"),
+             catalog.Rule("s", "shared", "INFO", "m", "b")]
+    found = scan.scan(files(("a.py", "ab\nb")), rules).collect()
+    assert {(r.check_id, r.line, r.message) for r in found} == {("r", 1, "m1"), ("r", 2, "m2"), ("s", 1, "m"), ("s", 2, "m")}
+    assert len(found) == 4
 
 
 def test_added_rule_row(spark, files):
