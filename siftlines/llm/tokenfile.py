@@ -11,8 +11,8 @@ Null texts are empty and hold only the end id; null ids come first; rows with th
 in the order of their texts' hashes; an empty table gives files without pages and an empty result.
 """
 
+import os
 from collections.abc import Iterator
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -29,8 +29,8 @@ BLOCK = 4096
 PERCENTILE = 90
 #: A page ends with the document that reaches so many ids.
 PAGE_IDS = 1 << 16
-#: Words whose ids a task remembers at a time.
-REMEMBERED = 1 << 19
+#: Words whose ids a task remembers, twice over.
+REMEMBERED = 1 << 18
 
 
 def encode_block(values: np.ndarray) -> bytes:
@@ -72,23 +72,33 @@ def decode_page(data: bytes, block_starts: list[int]) -> np.ndarray:
 def encoder(path: str):
     """Ids of many texts at once.
 
-    White space separates tokens and leaves none, so a text is the sequence of its words, and
-    each different word is encoded once as long as it is remembered.
+    White space separates tokens and leaves none, so a text is the sequence of its words, and each different word is
+    encoded once as long as it is remembered: since the last or the last but one time that ``REMEMBERED`` were.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core's work
     tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, tuple[int, ...]] = {}
+    recent: dict[bytes, bytes] = {}
+    before: dict[bytes, bytes] = {}
+    end = np.array([END_ID], "<u4").tobytes()
 
     def encode(texts: list[str | None]) -> list[np.ndarray]:
-        if len(known) > REMEMBERED:
-            known.clear()
+        nonlocal recent, before
+        if len(recent) > REMEMBERED:
+            recent, before = {}, recent
         split = [(text or "").encode("utf-8", "replace").split() for text in texts]
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
-        for at in range(0, len(new), 10_000):
-            some = new[at:at + 10_000]
-            found = tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            known.update(zip(some, (tuple(e.ids) for e in found)))
-        look = known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(look, words)), (END_ID,)), np.uint32) for words in split]
+        unknown = []
+        for word in {w for words in split for w in words if w not in recent}:
+            ids = before.get(word)
+            if ids is None:
+                unknown.append(word)
+            else:
+                recent[word] = ids
+        for at in range(0, len(unknown), 2000):
+            some = unknown[at:at + 2000]
+            found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            recent.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in found)))
+        look = recent.__getitem__
+        return [np.frombuffer(b"".join(map(look, words)) + end, "<u4") for words in split]
 
     return encode
 
@@ -116,8 +126,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
                 for name, value in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
                     names.append(name)
                     ids.append(value)
@@ -142,7 +152,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page in batch.to_pylist():
+            for page in (batch.slice(at, 1).to_pylist()[0] for at in range(batch.num_rows)):
                 lengths = np.array(page["n_tokens"], np.int64)
                 ends = np.cumsum(lengths)
                 raw = decode_page(page["blocks"], page["block_starts"]).tobytes()
