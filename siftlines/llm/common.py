@@ -1,7 +1,11 @@
 """What several operators share: durable tables, folds, running sums in a global order, joins with hot keys."""
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from siftlines import session
 #: A maximal run of anything but these six bytes is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of text that a task turns into arrays at a time.
+SLICE_BYTES = 4 << 20
 
 
 def table(df: DataFrame) -> DataFrame:
@@ -97,6 +103,17 @@ def running(df: DataFrame, order: list, sums: dict[str, Column], by: str | None
                          ).drop("place", "part", *[f"{p}_{name}" for name in sums for p in ("", "_within")])
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, in order, with about ``most`` bytes of text each; a longer text is a part by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def plain(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns named c0, c1, ... so that no name clashes with one that an operator adds."""
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

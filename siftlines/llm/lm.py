@@ -67,11 +67,10 @@ def sequence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            hashes, code, _, _ = sequence(batch.column(0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(np.bincount(code, minlength=len(hashes)))], ["word", "n"])
+    for part in (part for batch in batches for part in common.slices(batch, 0)):
+        hashes, code, _, _ = sequence(part.column(0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hashes.view(np.int64)), pa.array(np.bincount(code, minlength=len(hashes)))], ["word", "n"])
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -184,8 +183,8 @@ def _trainer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, classes, words = shared.value
         by_class, by_word = Trainer(classes), Trainer(words)
-        for batch in batches:
-            hashes, code, _, place = sequence(batch.column(0))
+        for part in (part for batch in batches for part in common.slices(batch, 0)):
+            hashes, code, _, place = sequence(part.column(0))
             at = vocabulary.find(hashes)[1][code]
             mixed = features(hashes, code, place)
             of_class = np.where(at < 0, CLASSES - 1, at // WIDTH)
@@ -221,7 +220,7 @@ def _scorer(shared, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, classes, words = shared.value
         below = np.log10(vocabulary.tokens + 1.0 * (vocabulary.words + 1))
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, 2)):
             n = batch.num_rows
             hashes, code, document, place = sequence(batch.column(2))
             count, at = vocabulary.find(hashes)

@@ -74,8 +74,8 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     sums = np.zeros(BUCKETS * DIMENSIONS)
     seen = np.zeros(BUCKETS)
-    for batch in batches:
-        owner, words, shapes, _, _ = tokens(batch.column(0))
+    for part in (part for batch in batches for part in common.slices(batch, 0)):
+        owner, words, shapes, _, _ = tokens(part.column(0))
         for ids in (words, shapes):
             seen += np.bincount(ids, minlength=BUCKETS)
             for step in range(1, REACH + 1):
@@ -146,10 +146,10 @@ def features(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = pooled(batch.column(1), shared.value)
+        for part in (part for batch in batches for part in common.slices(batch, 1)):
+            rows = pooled(part.column(1), shared.value)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1)), SIZE).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "features"])
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "features"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, features array<float>")
