@@ -87,6 +87,11 @@ def finding_row(line: Column, severity: Column, message: Column, chunk: Column,
         category(message), _pad(tag, 24), F.lit(" — "), short_message(message), tail)
 
 
+def with_snippet(row: Column, source_line: Column, indent: str) -> Column:
+    """A row of a findings table with the source line below it, if there is one."""
+    return F.when(source_line != "", F.concat(row, F.lit(f"\n{indent}{'':>14s}|-- "), source_line)).otherwise(row)
+
+
 def chunk_row(line: Column, severity: Column, message: Column) -> Column:
     """One line of a chunk's findings: the message is cut hard at 70 characters."""
     weakness = weakness_id(message)

@@ -93,7 +93,7 @@ def sinks(names: Column, language: Column) -> Column:
 
 
 # The word that opens a loop whose ``while`` comes last; that ``while`` is no branch of its own.
-_DO = r"(?m)(?:^|[;{})]|\belse)[ \t]*do\b\s*(?=[{\p{L}_(+*-])"
+_DO = r"(?:^|[;{})\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]|\belse)[ \t]*do\b\s*(?=[{\p{L}_(+*-])"
 
 
 def complexity(code: Column, language: Column) -> Column:

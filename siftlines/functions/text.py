@@ -144,5 +144,12 @@ def top_folder(path: Column) -> Column:
 
 
 def make_text(raw: Column) -> Column:
-    """Decode UTF-8 bytes and drop the ones that are not valid."""
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\ufffd"), F.lit(""))
+    """Decode UTF-8 bytes and drop the ones that are not valid; a replacement sign that is there stays.
+
+    In a text with invalid bytes a sign that is there is set aside as two noncharacters, which text does not hold.
+    """
+    plain = raw.cast("string")
+    apart = F.replace(plain, F.lit("\ufffd"), F.lit("\U0010ffff\U0010fffe"))
+    cleaned = F.replace(F.replace(F.make_valid_utf8(apart), F.lit("\ufffd"), F.lit("")),
+                        F.lit("\U0010ffff\U0010fffe"), F.lit("\ufffd"))
+    return F.when(F.is_valid_utf8(plain), plain).otherwise(cleaned)

@@ -77,12 +77,13 @@ def _joined(items: Column, limit: int, mark: str) -> Column:
     return F.array_join(F.slice(items, 1, limit), mark)
 
 
-def narratives(chunks: DataFrame) -> DataFrame:
+def narratives(chunks: DataFrame, openings: DataFrame | None = None) -> DataFrame:
     """Whole-file narrative from chunks(path, language, chunk_id, name, summary,
     risk_score, n_findings).
 
     A file's chunks are parts of one value, so a list of them is bounded by it.
-    ``module_prompt`` is what a summariser may be given to replace the opening.
+    ``module_prompt`` is what a summariser may be given to write an opening; ``openings`` has what it
+    wrote (path, opening).  An opening that speaks of vulnerabilities where none were found is replaced.
     """
     part = F.struct("chunk_id", usable(F.col("summary")).alias("text"))
     risky = F.struct("chunk_id", F.col("name").alias("text"))
@@ -95,16 +96,29 @@ def narratives(chunks: DataFrame) -> DataFrame:
         "risky": F.transform("risky", lambda p: p["text"])})
     calm = F.filter("parts", lambda p: ~F.lower(p).contains("vulner") & ~F.lower(p).contains("security"))
     behaviours = let(calm, lambda c: F.when(F.size(c) > 0, c).otherwise(F.col("parts")))
+    if openings is None:
+        texts = texts.withColumn("opening", F.lit(None).cast("string"))
+    else:
+        texts = texts.join(openings.select("path", "opening"), "path", "left")
     return texts.withColumn("behaviours", behaviours).select(
         "path", "language", "n_chunks", "n_findings", _module_prompt().alias("module_prompt"),
         _narrative().alias("narrative"))
 
 
 # fixed values: the sentences of a narrative and of the prompt for its opening
+def _opening() -> Column:
+    own = F.col("opening")
+    wrong = F.lower(own).contains("vulnerabilities") & (F.col("n_findings") == 0)
+    chosen = (F.when(own.isNull(), F.concat(F.lit("This module implements functional logic in "), F.col("language")))
+              .when(wrong, F.concat(F.lit("This module provides core logic and functionality for the "),
+                                    F.col("language"), F.lit(" application"))).otherwise(own))
+    return F.concat(chosen, F.when(F.endswith(chosen, F.lit(".")), "").otherwise("."))
+
+
 def _narrative() -> Column:
     found = F.col("n_findings")
     return F.btrim(F.concat(
-        F.lit("This module implements functional logic in "), F.col("language"), F.lit(". "),
+        _opening(), F.lit(" "),
         F.lit("During the chunked analysis, the file was partitioned into "),
         F.col("n_chunks").cast("string"), F.lit(" logical components. "),
         F.when(found == 0, "Static analysis verified that this code is structurally sound and secure, "

@@ -2,10 +2,14 @@
 
 Prose hardly ever hits a rule, so each document becomes a source file: its
 language follows from its id, and code lines picked by its id are appended.
+Among them is one for every rule, after a line end of one kind or another.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siftlines.functions import catalog
+from siftlines.plans.rule_lines import CASES, RULE_FILE_CASES
+
 LANGUAGE_ORDER = ["python", "javascript", "java", "c"]
 SUFFIX = {"python": "py", "javascript": "js", "java": "java", "c": "c"}
 
@@ -62,6 +66,28 @@ GUARDED = {
 }
 
 
+def _planted() -> dict[str, list[str]]:
+    """For each language a line that every one of its rules hits, and a clean one."""
+    rules = [*catalog.line_rules(), *(r for r in catalog.rule_file_rules() if r.rule_id in RULE_FILE_CASES)]
+    return {language: list(dict.fromkeys(
+        {**CASES, **RULE_FILE_CASES}[r.rule_id][0] for r in catalog.for_language(rules, language))) + EXTRA[language]
+        for language in LANGUAGE_ORDER}
+
+
+# Lines for the readers of code: what is no bracket, what is no branch.
+EXTRA = {
+    "python": ["nothing = 1"],
+    "javascript": ["nothing = 1;", "open = /[{(]/g;", "do { i++; } while (i < 3);"],
+    "java": ["int nothing = 1;", "do { i++; } while (i < 3);"],
+    "c": ["int nothing = 1;", "do { i++; } while (i < 3);"],
+}
+
+PLANTED = _planted()
+
+# Line ends before the planted line; only the first ends a line for a reader.
+ENDS = ["\n", "\x0c", "\x85", "\u2028"]
+
+
 def _pick(table: dict, language: Column, index: Column) -> Column:
     chosen = F.lit(None).cast("string")
     for name, entries in table.items():
@@ -80,11 +106,18 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     language = F.element_at(F.array(*[F.lit(x) for x in LANGUAGE_ORDER]), (F.col("doc_id") % 4 + 1).cast("int"))
     suffix = F.element_at(F.array(*[F.lit(SUFFIX[x]) for x in LANGUAGE_ORDER]), (F.col("doc_id") % 4 + 1).cast("int"))
     digit = lambda step: F.floor(F.col("doc_id") / step) % 5
-    return docs.select(
+    end = F.element_at(F.array(*[F.lit(x) for x in ENDS]), (F.floor(F.col("doc_id") / 8) % 4 + 1).cast("int"))
+    planted = F.lit(None).cast("string")
+    for name, entries in PLANTED.items():
+        number = F.floor(F.col("doc_id") / 4) % len(entries)
+        planted = F.when(language == name, F.element_at(
+            F.array(*[F.lit(e) for e in entries]), (number + 1).cast("int"))).otherwise(planted)
+    # A row of one element: what is worked out here is a value to all that follows, not an expression to repeat.
+    return docs.select(F.explode(F.array(F.struct(
         F.concat("source", F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), suffix).alias("path"),
-        F.concat_ws("\n", "text", _pick(LINES, language, digit(4)), _pick(LINES, language, digit(20)),
+        F.concat_ws("\n", "text", _pick(LINES, language, digit(4)), F.concat(_pick(LINES, language, digit(20)), end, planted),
                     _pick(BLOCKS, language, digit(100))).alias("content"),
-        language.alias("language"))
+        language.alias("language")))).alias("file")).select("file.*")
 
 
 def guarded_files(spark: SparkSession, sf_dir: str) -> DataFrame:

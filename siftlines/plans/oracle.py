@@ -55,6 +55,9 @@ def _pick(table: dict, digit: str) -> str:
 
 def _code_files() -> str:
     names = ", ".join(q(x) for x in corpus.LANGUAGE_ORDER)
+    planted = "CASE language " + " ".join(
+        f"WHEN {q(language)} THEN ([{', '.join(q(e) for e in entries)}])[(doc_id // 4) % {len(entries)} + 1]"
+        for language, entries in corpus.PLANTED.items()) + " END"
     ends = ", ".join(q(corpus.SUFFIX[x]) for x in corpus.LANGUAGE_ORDER)
     return f"""
 docs AS (
@@ -64,18 +67,20 @@ code_files AS (
   SELECT source || '/f' || doc_id || '.' || ext AS path, language,
          text || chr(10) || {_pick(corpus.LINES, '(doc_id // 4) % 5')}
               || chr(10) || {_pick(corpus.LINES, '(doc_id // 20) % 5')}
+              || ([{", ".join(f"chr({ord(e)})" for e in corpus.ENDS)}])[(doc_id // 8) % 4 + 1] || {planted}
               || chr(10) || {_pick(corpus.BLOCKS, '(doc_id // 100) % 5')} AS content
   FROM docs)"""
 
 
+_NO_BREAK = r"[^\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]+"
 _BREAKS = r"\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
-def _lines(files: str, name: str, keep: str = "path, language", content: str = "content") -> str:
+def _lines(files: str, name: str, keep: str = "path, language", content: str = "content", breaks: str = _BREAKS) -> str:
     """CTE ``name`` with one row per line of ``files``."""
     return f"""
 {name}_split AS (
-  SELECT {keep}, string_split(regexp_replace(regexp_replace({content}, {q(_BREAKS)}, chr(10), 'g'), '\\n\\z', ''),
+  SELECT {keep}, string_split(regexp_replace(regexp_replace({content}, {q(breaks)}, chr(10), 'g'), '\\n\\z', ''),
                               chr(10)) AS parts
   FROM {files} WHERE {content} <> ''),
 {name} AS MATERIALIZED (
@@ -192,10 +197,14 @@ _SINGLE = r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
 _TEMPLATE = r"`[^`\\]*(?:\\[\s\S][^`\\]*)*`"
 _TRIPLE = r'"""[\s\S]*?"""' + r"|'''[\s\S]*?'''"
 _SLASHED = r"/\*[\s\S]*?\*/|//[^\n]*"
+_BEFORE = r"[(,=:\[!&|?{};\n]"
 _PIECES = {
     "python": (rf"{_TRIPLE}|{_DOUBLE}|{_SINGLE}|#[^\n]*|[^\"'#]+|[\s\S]",
                r"^(?:\"[^\n]*\"|'[^\n]*'|\"\"\"|'''|#)"),
-    "javascript": (rf"{_SLASHED}|{_DOUBLE}|{_SINGLE}|{_TEMPLATE}|[^\"'`/]+|[\s\S]",
+    # No look-behind here: a literal is a piece together with the sign before it.
+    "javascript": (rf"{_SLASHED}|{_BEFORE}[ \t]*/(?:[^/*\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])"
+                   rf"(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])*/[a-z]*"
+                   rf"|{_DOUBLE}|{_SINGLE}|{_TEMPLATE}|[^\"'`/(,=:\[!&|?{{}};\n]+|[\s\S]",
                    r"^(?:\"[^\n]*\"|'[^\n]*'|`[\s\S]*`|/\*|//)"),
     "java": (rf"{_SLASHED}|{_DOUBLE}|{_SINGLE}|[^\"'/]+|[\s\S]", r"^(?:\"[^\n]*\"|'[^\n]*'|/\*|//)"),
     "c": (rf"{_SLASHED}|{_DOUBLE}|{_SINGLE}|[^\"'/]+|[\s\S]", r"^(?:\"[^\n]*\"|'[^\n]*'|/\*|//)"),
@@ -205,7 +214,8 @@ _PIECES = {
 def _masked(files: str = "code_files") -> str:
     branches = " ".join(
         f"WHEN {q(language)} THEN array_to_string(list_transform(regexp_extract_all(content, {q(pieces)}), "
-        f"lambda p: CASE WHEN regexp_matches(p, {q(blank)}) THEN regexp_replace(p, '[^\\n]+', '', 'g') ELSE p END), '')"
+        f"lambda p: CASE WHEN regexp_matches(p, '^[(,=:\\[!&|?{{}};\\n][ \\t]*/.') THEN regexp_replace(p, '/.*', '') "
+        f"WHEN regexp_matches(p, {q(blank)}) THEN regexp_replace(p, {q(_NO_BREAK)}, '', 'g') ELSE p END), '')"
         for language, (pieces, blank) in _PIECES.items())
     return f"""
 masked AS (
@@ -228,7 +238,7 @@ def _features() -> str:
                          for k, v in table.items())
         return f"CASE language {parts} END"
     # A loop that ends in its condition: as many as there are words that open one.
-    loops = r"(?m)(?:^|[;{})]|\belse)[ \t]*do\b\s*[{\p{L}_(+*-]"
+    loops = r"(?:^|[;{})\n\x0b\x0c\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]|\belse)[ \t]*do\b\s*[{\p{L}_(+*-]"
     less = lambda k: "" if k == "python" else f" - len(regexp_extract_all(code, {q(loops)}))"
     branch = " ".join(f"WHEN {q(k)} THEN greatest(0, len(regexp_extract_all(code, {q(v)})){less(k)})"
                       for k, v in _BRANCH.items())
@@ -248,12 +258,13 @@ features AS (
 def _code_lines() -> str:
     return """
 code_split AS (
-  SELECT path, language, string_split(content, chr(10)) AS raws, string_split(code, chr(10)) AS codes FROM masked),
+  SELECT path, language, string_split(regexp_replace(content, BREAKS, chr(10), 'g'), chr(10)) AS raws,
+         string_split(regexp_replace(code, BREAKS, chr(10), 'g'), chr(10)) AS codes FROM masked),
 code_lines AS (
   SELECT path, language, line, raw, code FROM (
     SELECT path, language, CAST(unnest(range(1, len(raws) + 1)) AS INTEGER) AS line,
            unnest(raws) AS raw, unnest(codes) AS code FROM code_split)
-  WHERE regexp_matches(code, '[^ \\t]'))"""
+  WHERE regexp_matches(code, '[^ \\t]'))""".replace("BREAKS", q(_BREAKS))
 
 
 def _depths(language: str, opening: str, closing: str, name: str) -> str:
@@ -426,11 +437,123 @@ def _distinct(source: str, order: str, columns: str) -> str:
             f"FROM {source}) WHERE n = 1")
 
 
+_NARRATIVE = """
+SELECT path, language, n_chunks, n_findings,
+  substring('// Language: ' || language || chr(10) || CASE WHEN len(parts) > 0
+    THEN '// Implements the following features: ' || array_to_string(parts[1:4], '; ') || '.' || chr(10)
+         || 'function get_module_features() {}' || chr(10)
+    ELSE '// General application module.' || chr(10) || 'function execute_module() {}' || chr(10) END, 1, 1000) AS module_prompt,
+  trim('This module implements functional logic in ' || language || '. During the chunked analysis, the file was partitioned into '
+    || n_chunks || ' logical components. ' || CASE WHEN n_findings = 0
+    THEN 'Static analysis verified that this code is structurally sound and secure, with no vulnerabilities detected across its components. '
+    ELSE 'A total of ' || n_findings || ' security vulnerabilities were detected. ' || CASE WHEN len(risky) > 0
+      THEN 'Urgent security attention is required in the more vulnerable segments: ' || array_to_string(risky[1:3], ', ') || '. '
+      ELSE 'The vulnerabilities are primarily minor warnings or info-level findings spread across the file. ' END END
+    || CASE WHEN len(parts) > 0
+      THEN 'Functionally, the key behaviors and responsibilities encapsulated by this code include: '
+           || array_to_string((CASE WHEN len(calm) > 0 THEN calm ELSE parts END)[1:3], '; ') || '.' ELSE '' END) AS narrative
+FROM (SELECT *, list_filter(parts, lambda p: NOT contains(lower(p), 'vulner') AND NOT contains(lower(p), 'security')) AS calm
+      FROM told)"""
+
+
+def _told(part: str) -> str:
+    return f"""
+parts AS (
+  SELECT path, language, chunk_id, name, n_findings, risk_score,
+         replace(rtrim({strip('s')}, '.'), chr(10), ' ') AS part, {strip('s')} AS whole
+  FROM (SELECT *, {part} AS s FROM chunk_scored)),
+told AS (
+  SELECT path, language, count(*) AS n_chunks, CAST(sum(n_findings) AS BIGINT) AS n_findings,
+         coalesce(list(part ORDER BY chunk_id) FILTER (WHERE whole <> '' AND whole <> 'Summary unavailable.'), []) AS parts,
+         coalesce(list(name ORDER BY chunk_id) FILTER (WHERE risk_score >= 4), []) AS risky
+  FROM parts GROUP BY path, language)"""
+
+
+_TAG = f"CASE WHEN {_weakness('message')} = 'N/A' THEN '' ELSE ' (' || {_weakness('message')} || ')' END"
+
+
+def _row(indent: str, tail: str) -> str:
+    """A row of a findings table."""
+    return f"""'{indent}Line ' || lpad(CAST(line AS VARCHAR), CAST(greatest(length(CAST(line AS VARCHAR)), 4) AS INTEGER), ' ') || '  [' ||
+       rpad({_display('severity')}, CAST(greatest(6, length({_display('severity')})) AS INTEGER), ' ') || ']  ' || {_category('message')} ||
+       rpad({_TAG}, CAST(greatest(24, length({_TAG})) AS INTEGER), ' ') || ' — ' || {_short('message')} || {tail}"""
+
+
+_CHUNK_TEXTS = """
+chunk_texts AS MATERIALIZED (
+  SELECT b.path, any_value(l.language) AS language, chunk_id, string_agg(l.text, chr(10) ORDER BY l.line) AS text
+  FROM bounds b JOIN lines l ON l.path = b.path AND l.line > b.start_line AND l.line <= b.end_line
+  GROUP BY b.path, chunk_id),
+chunk_files AS (SELECT path || '#' || chunk_id AS path, language, text AS content FROM chunk_texts)"""
+
+
+def _audit() -> list[str]:
+    """CTEs ``final`` and ``results`` of a folder audit in which files of over 20 lines are big."""
+    return [*_found(), *_bounds(60), "\nwhole_bounds AS (SELECT *, '' AS text FROM bounds)", _chunk_scores("whole_bounds"),
+            _told("'Summary unavailable.'"), f"\nnarrated AS ({_NARRATIVE})", _features(), f"""
+sizes AS (SELECT path, {_NEWLINES} AS line_count FROM code_files),
+final AS MATERIALIZED (
+  SELECT check_id, file, line, message, severity, snippet, rule_ord
+  FROM found JOIN sizes ON path = file
+  QUALIFY line_count <= 20 OR row_number() OVER (PARTITION BY file, line, message ORDER BY rule_ord) = 1)""",
+            _density("final"), """
+results AS MATERIALIZED (
+  SELECT f.path AS file, f.language, line_count, line_count > 20 AS big_file, d.n_findings, d.risk_score,
+         array_to_string(sources, ',') AS sources, array_to_string(sinks, ',') AS sinks, complexity,
+         CASE WHEN line_count > 20 THEN narrative ELSE 'Summary unavailable.' END AS summary
+  FROM features f JOIN density d ON d.file = f.path JOIN sizes z ON z.path = f.path LEFT JOIN narrated t ON t.path = f.path)"""]
+
+
 def _file_results() -> str:
-    return (_with(*_found(), _masked(), _features(), _density()) + f"""
-SELECT f.path AS file, f.language, {_NEWLINES} AS line_count, {_NEWLINES} > 20 AS big_file, n_findings, risk_score,
-       CAST(len(sources) AS INTEGER) AS n_sources, CAST(len(sinks) AS INTEGER) AS n_sinks, complexity
-FROM features f JOIN density d ON d.file = f.path""")
+    return _with(*_audit()) + "SELECT * FROM results"
+
+
+def _project_map() -> str:
+    bar, rule, top = "=" * 65, "─" * 63, -2**40
+    heading = lambda n, title: (
+        f"SELECT {n}, '', {top}, '', chr(10) || '  {rule}' || chr(10) || '  {title}' || chr(10) || '  {rule}'")
+    shown = _display("severity")
+    rows = [
+        f"SELECT 0 AS section, '' AS first, 0::BIGINT AS second, '' AS third, "
+        f"'{bar}' || chr(10) || '  PROJECT-LEVEL SECURITY MAP' || chr(10) || '  Directory : ' AS text",
+        "SELECT 0, '', 1, '', '  Files     : ' || count(*) FROM results", f"SELECT 0, '', 2, '', '{bar}'",
+        heading(1, "PROJECT OVERVIEW"),
+        "SELECT 1, '', 0, '', 'Project contains ' || count(*) || ' source file(s) across ' || count(DISTINCT folder) "
+        "|| ' component(s):' FROM entries",
+        "SELECT 2, folder, 0, '', chr(10) || '  [' || folder || ']  (' || count(*) || ' file(s))' FROM entries GROUP BY folder",
+        "SELECT 2, folder, 1, file, '    * ' || CASE WHEN length(entry) > 72 THEN substring(entry, 1, 69) || '...' "
+        "ELSE entry END FROM entries",
+        heading(3, "SECURITY STATS"), "SELECT 3, '', 0, '', '  Total Issues : ' || count(*) FROM final",
+        *[f"SELECT 3, '', {n}, '', '    {label} Vulnerability{space} : ' || count(*) FILTER (WHERE {shown} = '{label.upper()}') FROM final"
+          for n, label, space in ((1, "High", "  "), (2, "Medium", ""), (3, "Low", "   "))],
+        heading(4, "TOP RISKIEST FILES"),
+        f"SELECT 4, '', CAST(trunc(-risk_score * 10) AS BIGINT), file, '  [' || rpad({_label('risk_score')}, 8, ' ') || '] ' || "
+        "printf('%4.1f', risk_score) || '/10  ' || file || '  (' || n_findings || ' finding(s))' "
+        "FROM (SELECT * FROM results ORDER BY risk_score DESC, file LIMIT 5)",
+        heading(5, "MOST COMMON VULNERABILITY TYPES"),
+        "SELECT 5, '', rank, '', '  ' || rank || '. ' || rpad(category, CAST(greatest(28, length(category)) AS INTEGER), ' ') "
+        "|| ' — ' || n_findings || ' occurrence(s)' FROM ranked WHERE rank <= 10",
+        heading(6, "CROSS-FILE VULNERABILITY PATTERNS"),
+        "SELECT 6, '', -n_files, check_id, '  ' || check_id FROM crossing",
+        "SELECT DISTINCT 6, '', -n_files, check_id || chr(9) || file, '     → ' || file FROM crossing JOIN final USING (check_id)",
+        heading(7, "PER-FILE AI SUMMARIES"),
+        f"SELECT 7, file, -3, '', chr(10) || '  ' || file || '  [' || {_label('risk_score')} || '  ' || printf('%.1f', risk_score) "
+        "|| '/10]' || CASE WHEN big_file THEN '  [BIG-FILE]' ELSE '' END FROM results",
+        "SELECT 7, file, -2, '', '  ' || summary FROM results",
+        "SELECT 7, file, -1, '', '    Vulnerabilities (' || n_findings || '):' FROM results WHERE n_findings > 0",
+        f"SELECT 7, file, line, printf('%05d', rule_ord), {_row('    ', chr(39) * 2)} FROM final",
+        f"SELECT 9, '', 0, '', chr(10) || '{bar}' || chr(10)",
+    ]
+    return _with(*_audit(), f"""
+entries AS (
+  SELECT string_split(file, '/')[1] AS folder, file, string_split(file, '/')[-1] || ' — ' || summary AS entry FROM results),
+ranked AS (
+  SELECT row_number() OVER (ORDER BY count(*) DESC, min((file, rule_ord, line))) AS rank,
+         {_category('message')} AS category, count(*) AS n_findings
+  FROM final GROUP BY {_category('message')}),
+crossing AS (
+  SELECT check_id, count(DISTINCT file) AS n_files FROM final GROUP BY check_id HAVING count(DISTINCT file) >= 2
+  ORDER BY n_files DESC, min((file, rule_ord, line)) LIMIT 10)""") + "\nUNION ALL ".join(rows)
 
 
 def _merged_results() -> str:
@@ -592,15 +715,11 @@ ORDER BY risk_score DESC, file LIMIT 5""", _SCORED)
     sql["finding_snippets"] = _over_found(f"""
 SELECT check_id, file, f.line, coalesce(substring({strip('l.text')}, 1, 100), '') AS source_line
 FROM (SELECT check_id, file, line + CASE WHEN severity = 'INFO' THEN 500 ELSE 0 END AS line FROM found) f
-LEFT JOIN lines l ON l.path = f.file AND l.line = f.line""")
-    tag = f"CASE WHEN {_weakness('message')} = 'N/A' THEN '' ELSE ' (' || {_weakness('message')} || ')' END"
+LEFT JOIN reader_lines l ON l.path = f.file AND l.line = f.line""", _lines("code_files", "reader_lines", breaks=r"\r\n?"))
+    tail = "CASE WHEN severity = 'ERROR' THEN '  (chunk: part_' || line || ')' ELSE '' END"
     sql["finding_rows"] = _over_found(f"""
-SELECT file, line, check_id,
-       '  Line ' || lpad(CAST(line AS VARCHAR), CAST(greatest(length(CAST(line AS VARCHAR)), 4) AS INTEGER), ' ') || '  [' ||
-       rpad({_display('severity')}, CAST(greatest(6, length({_display('severity')})) AS INTEGER), ' ') || ']  ' || {_category('message')} ||
-       rpad({tag}, CAST(greatest(24, length({tag})) AS INTEGER), ' ') || ' — ' || {_short('message')} ||
-       CASE WHEN severity = 'ERROR' THEN '  (chunk: part_' || line || ')' ELSE '' END AS row,
-       '[' || {_display('severity')} || '] Line ' || line || ' -- ' || {_category('message')} || {tag} || ': ' ||
+SELECT file, line, check_id, {_row('  ', tail)} AS row,
+       '[' || {_display('severity')} || '] Line ' || line || ' -- ' || {_category('message')} || {_TAG} || ': ' ||
        substring(message, 1, 70) AS chunk_row
 FROM found""")
 
@@ -649,32 +768,7 @@ SELECT path, count(*) AS n_chunks, CAST(sum(n_findings) AS BIGINT) AS n_findings
        {_label('max(risk_score)')} AS label
 FROM chunk_scored GROUP BY path""", _windows("windows", 4), _chunk_scores("windows"))
     part = _clean_summary("string_split(text, chr(10))[1]")
-    sql["narrative"] = _over_found("""
-SELECT path, language, n_chunks, n_findings,
-  substring('// Language: ' || language || chr(10) || CASE WHEN len(parts) > 0
-    THEN '// Implements the following features: ' || array_to_string(parts[1:4], '; ') || '.' || chr(10)
-         || 'function get_module_features() {}' || chr(10)
-    ELSE '// General application module.' || chr(10) || 'function execute_module() {}' || chr(10) END, 1, 1000) AS module_prompt,
-  trim('This module implements functional logic in ' || language || '. During the chunked analysis, the file was partitioned into '
-    || n_chunks || ' logical components. ' || CASE WHEN n_findings = 0
-    THEN 'Static analysis verified that this code is structurally sound and secure, with no vulnerabilities detected across its components. '
-    ELSE 'A total of ' || n_findings || ' security vulnerabilities were detected. ' || CASE WHEN len(risky) > 0
-      THEN 'Urgent security attention is required in the more vulnerable segments: ' || array_to_string(risky[1:3], ', ') || '. '
-      ELSE 'The vulnerabilities are primarily minor warnings or info-level findings spread across the file. ' END END
-    || CASE WHEN len(parts) > 0
-      THEN 'Functionally, the key behaviors and responsibilities encapsulated by this code include: '
-           || array_to_string((CASE WHEN len(calm) > 0 THEN calm ELSE parts END)[1:3], '; ') || '.' ELSE '' END) AS narrative
-FROM (SELECT *, list_filter(parts, lambda p: NOT contains(lower(p), 'vulner') AND NOT contains(lower(p), 'security')) AS calm
-      FROM told)""", _windows("windows", 4), _chunk_scores("windows"), f"""
-parts AS (
-  SELECT path, language, chunk_id, name, n_findings, risk_score,
-         replace(rtrim({strip('s')}, '.'), chr(10), ' ') AS part, {strip('s')} AS whole
-  FROM (SELECT *, {part} AS s FROM chunk_scored)),
-told AS (
-  SELECT path, language, count(*) AS n_chunks, CAST(sum(n_findings) AS BIGINT) AS n_findings,
-         coalesce(list(part ORDER BY chunk_id) FILTER (WHERE whole <> '' AND whole <> 'Summary unavailable.'), []) AS parts,
-         coalesce(list(name ORDER BY chunk_id) FILTER (WHERE risk_score >= 4), []) AS risky
-  FROM parts GROUP BY path, language)""")
+    sql["narrative"] = _over_found(_NARRATIVE, _windows("windows", 4), _chunk_scores("windows"), _told(part))
 
     listed = lambda c: f"array_to_string({c}, ',') AS {c}"
     featured = _with(_code_files(), _masked(), _features())
@@ -696,9 +790,50 @@ SELECT path, CASE WHEN notes IS NULL THEN {start}
 FROM features LEFT JOIN notes ON path = file"""
 
     sql["file_results"] = _file_results()
+    sql["nested_results"] = _with(*_audit(), """
+listed AS (SELECT file, string_agg(check_id || ':' || line, ',' ORDER BY rule_ord, line, check_id) AS findings FROM final GROUP BY file)""") + """
+SELECT file, language, line_count, big_file, risk_score, summary, sources, complexity, coalesce(findings, '') AS findings
+FROM results LEFT JOIN listed USING (file)"""
+    sql["byte_files"] = _over_found("""
+SELECT path, n AS n_findings, CASE WHEN broken THEN NULL ELSE CAST(length(content) AS INTEGER) END AS n_chars,
+       CASE WHEN broken THEN 'no such file' END AS error
+FROM (SELECT *, CAST(regexp_extract(path, '/f([0-9]+)', 1) AS BIGINT) % 5 = 0 AS broken FROM code_files)
+LEFT JOIN (SELECT file, count(*) AS n FROM found GROUP BY file) ON file = path AND NOT broken""")
+    sql["folder_listing"] = _with(_code_files(), """
+tree AS (
+  SELECT CASE WHEN number % 7 = 0 THEN string_split(path, '/')[-1]
+              ELSE (['', 'dist/', 'src/'])[number % 3 + 1] || path END AS path, language, CAST(length(content) AS INTEGER) AS n_chars
+  FROM (SELECT *, CAST(regexp_extract(path, '/f([0-9]+)', 1) AS BIGINT) AS number FROM code_files))""") + """
+SELECT mode, path, language, n_chars FROM tree, (VALUES ('pruned'), ('all'), ('flat')) AS t(mode)
+WHERE mode = 'all' OR (mode = 'pruned' AND path NOT LIKE 'dist/%') OR (mode = 'flat' AND path NOT LIKE '%/%')"""
+    sql["chunk_order"] = _over_found(f"""
+SELECT c.path, c.chunk_id, c.name, c.start_line, c.end_line, c.n_findings, c.risk_score, complexity,
+       array_to_string(sinks, ',') AS sinks, coalesce(lines, '') AS lines
+FROM chunk_scored c JOIN features f ON f.path = c.path || '#' || c.chunk_id
+LEFT JOIN (SELECT file, chunk_id, string_agg(CAST(line AS VARCHAR), ',' ORDER BY rule_ord, line, check_id) AS lines
+           FROM tagged GROUP BY file, chunk_id) t ON t.file = c.path AND t.chunk_id = c.chunk_id""",
+        *_bounds(10), _TAGGED, "\nwhole_bounds AS (SELECT *, '' AS text FROM bounds)", _chunk_scores("whole_bounds"), _CHUNK_TEXTS,
+        _masked("chunk_files").replace("masked AS", "chunk_masked AS"), _features().replace("FROM masked", "FROM chunk_masked"))
+    sql["chunk_text"] = _with(*code, *_bounds(10), _CHUNK_TEXTS) + "SELECT path, chunk_id, text FROM chunk_texts"
     sql["merged_results"] = _merged_results()
     sql["large_file_findings"] = _over_found(
         _distinct("tagged", "chunk_id, rule_ord, line", _FINDING + ", original_chunk, chunk_id"), *_bounds(10), _TAGGED)
+    distinct = f"""
+apart AS ({_distinct("tagged", "chunk_id, rule_ord, line", _FINDING + ", original_chunk, chunk_id, rule_ord")})"""
+    row = _row("  ", "CASE WHEN original_chunk <> '' THEN '  (chunk: ' || original_chunk || ')' ELSE '' END")
+    sql["large_file_table"] = _over_found(f"""
+SELECT file, line, rule_ord, row || CASE WHEN shown <> '' THEN chr(10) || '{' ' * 16}|-- ' || shown ELSE '' END AS row
+FROM (SELECT a.file, a.line, rule_ord, {row.replace("line", "a.line")} AS row,
+             coalesce(substring({strip('l.text')}, 1, 100), '') AS shown
+      FROM apart a LEFT JOIN reader_lines l ON l.path = a.file AND l.line = a.line)""",
+        *_bounds(10), _TAGGED, distinct, _lines("code_files", "reader_lines", breaks=r"\r\n?"))
+    sql["large_file_totals"] = _over_found(f"""
+SELECT c.path, c.n_chunks, coalesce(n, 0) AS n_findings, top_score, n_risky, {_label('top_score')} AS label
+FROM (SELECT path, count(*) AS n_chunks, max(risk_score) AS top_score, count(*) FILTER (WHERE risk_score >= 4) AS n_risky
+      FROM chunk_scored GROUP BY path) c
+LEFT JOIN (SELECT file, count(*) AS n FROM apart GROUP BY file) a ON a.file = c.path""",
+        *_bounds(10), _TAGGED, distinct, "\nwhole_bounds AS (SELECT *, '' AS text FROM bounds)", _chunk_scores("whole_bounds"))
+    sql["project_map"] = _project_map()
     sql["single_file_results"] = _with(*_found(), _masked(), _features(), _SCORED) + f"""
 SELECT path, coalesce(n_findings, 0) AS n_findings, {risk} AS risk_score, {_label(risk)} AS label, complexity
 FROM features LEFT JOIN scored ON path = file"""

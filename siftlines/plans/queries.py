@@ -35,7 +35,7 @@ def _found(spark, sf_dir) -> DataFrame:
 
 def _kept(spark, sf_dir) -> DataFrame:
     """Findings for a query that reads them more than once: the corpus is scanned once."""
-    return session.keep(_found(spark, sf_dir))
+    return session.cached(_found(spark, sf_dir))
 
 
 def _primary(found: DataFrame) -> DataFrame:
@@ -115,13 +115,13 @@ def sequence_rules(spark, sf_dir):
 
 
 def fallback_when_empty(spark, sf_dir):
-    primary = session.keep(_primary(_found(spark, sf_dir)))
+    primary = _primary(_found(spark, sf_dir))
     return scan.with_fallback(corpus.code_files(spark, sf_dir), primary).select(*FINDING)
 
 
 def json_findings(spark, sf_dir):
     noisy = scanner_json.to_scanner_json(_found(spark, sf_dir)).select(
-        F.concat(F.lit("scan started\n"), "raw", F.lit("\ndone")).alias("raw"))
+        F.concat(F.lit("scan started\n"), "raw", F.lit("\ndone")).alias("raw"), "ord")
     return scanner_json.findings(noisy).select(*FINDING)
 
 
@@ -222,7 +222,7 @@ def top_secret_documents(spark, sf_dir):
 
 def finding_snippets(spark, sf_dir):
     files = corpus.code_files(spark, sf_dir)
-    found = _kept(spark, sf_dir).withColumn("line", F.col("line") + F.when(F.col("severity") == "INFO", 500).otherwise(0))
+    found = _found(spark, sf_dir).withColumn("line", F.col("line") + F.when(F.col("severity") == "INFO", 500).otherwise(0))
     return find.line_snippets(found, files).select("check_id", "file", "line", "source_line")
 
 
@@ -349,30 +349,97 @@ def prompt_text(spark, sf_dir):
 
 def file_results(spark, sf_dir):
     files = corpus.code_files(spark, sf_dir)
-    return audits.folder_audit(files, big_lines=20)["results"].select(
+    return audits.folder_audit(files, big_lines=20, keep=session.Run(spark).keep)["results"].select(
         "file", "language", "line_count", "big_file", "n_findings", "risk_score",
-        F.size("sources").alias("n_sources"), F.size("sinks").alias("n_sinks"), "complexity")
+        F.array_join("sources", ",").alias("sources"), F.array_join("sinks", ",").alias("sinks"), "complexity", "summary")
+
+
+def nested_results(spark, sf_dir):
+    """The result set as JSON text, read back: one row per file with its findings inside."""
+    audit = audits.folder_audit(corpus.code_files(spark, sf_dir), big_lines=20, keep=session.Run(spark).keep)
+    raw = audits.nested_results(audit).select(F.to_json(F.struct("*")).alias("raw"))
+    return reports.parse_results(raw).select(
+        "file", "language", "line_count", "big_file", "risk_score", "summary",
+        F.array_join("features.sources", ",").alias("sources"), "features.complexity",
+        F.array_join(F.transform("findings", lambda f: F.concat(f["check_id"], F.lit(":"), f["line"].cast("string"))), ","
+                     ).alias("findings"))
+
+
+def folder_listing(spark, sf_dir):
+    """The corpus written as a tree of files and read back: with pruning, without, and one level only."""
+    number = F.regexp_extract("path", r"/f(\d+)\.", 1).cast("long")
+    place = F.element_at(F.array(F.lit(""), F.lit("dist/"), F.lit("src/")), (number % 3 + 1).cast("int"))
+    files = corpus.code_files(spark, sf_dir).select(
+        F.when(number % 7 == 0, text.base_name(F.col("path"))).otherwise(F.concat(place, "path")).alias("path"), "content")
+    root = f"{session.Run(spark).folder}/tree".removeprefix("file://").replace("file:/", "/")
+    file_source.write_shared_folder(files, root)
+    read = {"pruned": file_source.read_shared_folder(spark, root).drop("error"),
+            "all": file_source.read_folder(spark, root, prune=False),
+            "flat": file_source.read_shared_folder(spark, root, recursive=False).drop("error")}
+    listed = [rows.select(F.lit(mode).alias("mode"), text.relative_path(F.col("path"), root).alias("path"), "language",
+                          F.char_length("content").alias("n_chars")) for mode, rows in read.items()]
+    return listed[0].unionByName(listed[1]).unionByName(listed[2])
+
+
+def byte_files(spark, sf_dir):
+    """Files as bytes, some of them broken: invalid bytes are dropped, files without bytes keep an error."""
+    files = corpus.code_files(spark, sf_dir)
+    number = F.regexp_extract("path", r"/f(\d+)\.", 1).cast("long")
+    broken = F.concat(F.lit(b"\xff\xc3"), F.col("content").cast("binary"), F.lit(b"\x80"))
+    raw = files.select("path", F.when(number % 5 != 0, F.when(number % 2 == 0, broken).otherwise(
+        F.col("content").cast("binary"))).alias("raw"), F.when(number % 5 == 0, F.lit("no such file")).alias("error"))
+    decoded = file_source.decoded_files(raw)
+    readable = file_source.good(decoded)
+    return scan.scan(readable).groupBy(F.col("file").alias("path")).agg(F.count("*").alias("n_findings")).join(
+        decoded.select("path", F.char_length("content").alias("n_chars"), "error"), "path", "right")
+
+
+def chunk_order(spark, sf_dir):
+    """Chunks of every file with what is known of each, in order."""
+    chunks_ = audits.large_file_audit(corpus.code_files(spark, sf_dir), size=10, keep=session.Run(spark).keep)["chunks"]
+    return chunks_.select(
+        "path", "chunk_id", "name", "start_line", "end_line", "n_findings", "risk_score", "complexity",
+        F.array_join("sinks", ",").alias("sinks"),
+        F.coalesce(F.array_join(F.transform("findings", lambda f: f["line"].cast("string")), ","), F.lit("")).alias("lines"))
+
+
+def chunk_text(spark, sf_dir):
+    """Texts of chunks: blocks, or windows of ten lines."""
+    return blocks.chunk_texts(corpus.code_files(spark, sf_dir), 10).select("path", "chunk_id", "text")
 
 
 def merged_results(spark, sf_dir):
     """As file_results, but another scanner's findings come first."""
     files = corpus.code_files(spark, sf_dir)
-    audit = audits.folder_audit(files, primary=session.keep(_primary(scan.scan(files))), big_lines=20)
+    audit = audits.folder_audit(files, primary=_primary(_kept(spark, sf_dir)), big_lines=20,
+                                keep=session.Run(spark).keep)
     return audit["results"].select("file", "big_file", "n_findings", "risk_score")
 
 
 def project_map(spark, sf_dir):
-    return audits.project_map(audits.folder_audit(corpus.code_files(spark, sf_dir), big_lines=20)).select(
+    return audits.project_map(audits.folder_audit(
+        corpus.code_files(spark, sf_dir), big_lines=20, keep=session.Run(spark).keep)).select(
         "section", "first", "second", "third", "text")
 
 
 def large_file_findings(spark, sf_dir):
-    return audits.large_file_audit(corpus.code_files(spark, sf_dir), size=10)["findings"].select(
+    return audits.large_file_audit(corpus.code_files(spark, sf_dir), size=10, keep=session.Run(spark).keep)["findings"].select(
         *FINDING, "original_chunk", "chunk_id")
 
 
+def large_file_table(spark, sf_dir):
+    """Rows of the findings table, each with its source line."""
+    return audits.large_file_audit(corpus.code_files(spark, sf_dir), size=10, keep=session.Run(spark).keep)["table"].select(
+        "file", "line", "rule_ord", "row")
+
+
+def large_file_totals(spark, sf_dir):
+    return audits.large_file_audit(corpus.code_files(spark, sf_dir), size=10, keep=session.Run(spark).keep)["totals"].select(
+        "path", "n_chunks", "n_findings", "top_score", "n_risky", "label")
+
+
 def single_file_results(spark, sf_dir):
-    return audits.single_file_audit(corpus.code_files(spark, sf_dir))["files"].select(
+    return audits.single_file_audit(corpus.code_files(spark, sf_dir), keep=session.cached)["files"].select(
         "path", "n_findings", "risk_score", "label", "complexity")
 
 
@@ -447,7 +514,7 @@ def all_queries() -> dict:
         group_overview, group_totals, summary_cleanup,
         block_chunks, chunk_bounds, chunk_findings, chunk_remap, chunk_rollup, narrative,
         call_features, complexity, feature_json, prompt_text,
-        file_results, merged_results, project_map, large_file_findings, single_file_results,
+        file_results, nested_results, byte_files, folder_listing, merged_results, chunk_order, chunk_text, project_map, large_file_findings, large_file_table, large_file_totals, single_file_results,
         metric_rollup, modelled_energy, counter_delta, counter_totals, phase_durations, elapsed_series,
         scalability_points, report_validity, stream_rollup,
     ]

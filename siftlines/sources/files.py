@@ -45,6 +45,13 @@ def read_folder(spark: SparkSession, root: str, recursive: bool = True, prune: b
     return kept.select("path", text.make_text(F.col("content")).alias("content"), "language")
 
 
+def decoded_files(raw: DataFrame) -> DataFrame:
+    """files(path, content, language, error) of raw(path, raw, error), without files of other kinds."""
+    return raw.select(
+        "path", text.make_text(F.col("raw")).alias("content"),
+        text.language_of(F.col("path")).alias("language"), "error").where("language is not null")
+
+
 def _list_folders(batches):
     for batch in batches:
         rows = []
@@ -77,6 +84,7 @@ def read_shared_folder(spark: SparkSession, root: str, recursive: bool = True, p
     """
     level = spark.createDataFrame([(os.path.realpath(root),)], "path string")
     found = None
+    run = session.Run(spark)  # a few rows per folder
     while True:
         listed = level.mapInPandas(_list_folders, _LISTING)
         name = F.element_at(F.split("path", "/"), -1)
@@ -87,16 +95,34 @@ def read_shared_folder(spark: SparkSession, root: str, recursive: bool = True, p
         level = listed.where("folder").select("path")
         if prune:
             level = level.where(~name.startswith(".") & ~name.isin(*lookups.SKIPPED_FOLDERS))
-        # Kept, so that the next level does not list this one again.
-        level = session.keep(level.repartition("path"))
+        # Written, so that the next level does not list this one again.
+        level = run.keep(level.repartition("path"))
         if level.isEmpty():
             break
     # Paths are made distinct, and so dealt out, before a file is opened.
     wanted = found.where(text.language_of(F.col("path")).isNotNull()).select("path").distinct()
     contents = wanted.mapInPandas(_read_contents, _CONTENT)
-    return contents.select(
-        "path", text.make_text(F.col("raw")).alias("content"),
-        text.language_of(F.col("path")).alias("language"), "error")
+    return decoded_files(contents)
+
+
+def _written(root):
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                target = os.path.join(root, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                part = f"{target}.{os.getpid()}.part"
+                with open(part, "w", encoding="utf-8", errors="replace", newline="") as file:
+                    file.write(content)
+                os.replace(part, target)  # a task that is run again leaves the same file
+            yield pd.DataFrame({"n": [len(batch)]})
+    return write
+
+
+def write_shared_folder(files: DataFrame, root: str) -> int:
+    """Write files(path, content), paths relative, below a folder every executor can open; their number."""
+    written = files.select("path", "content").mapInPandas(_written(root), "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def good(files: DataFrame) -> DataFrame:

@@ -10,6 +10,11 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.FILE_RESULT).option("multiLine", True).json(path)
 
 
+def parse_results(rows: DataFrame, column: str = "raw") -> DataFrame:
+    """File results from JSON strings, one each."""
+    return rows.select(F.from_json(F.col(column), schema.FILE_RESULT).alias("r")).select("r.*")
+
+
 def parse_reports(rows: DataFrame, column: str = "raw") -> DataFrame:
     """Resource reports from JSON strings; one without a wall time is no report."""
     parsed = rows.select(F.from_json(F.col(column), schema.REPORT).alias("r")).select("r.*")

@@ -7,7 +7,8 @@ end in this data model, so there is no watermark to drop them by.
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from siftlines import session
 from siftlines.functions import energy
@@ -19,26 +20,30 @@ def stream_rollup(readings: DataFrame) -> DataFrame:
     return readings.groupBy("run_id").agg(*metrics.rollup_columns())
 
 
-def run_available(spark: SparkSession, readings: DataFrame) -> DataFrame:
+def run_available(spark: SparkSession, readings: DataFrame, folder: str | None = None) -> DataFrame:
     """Work off what the stream holds now and return the reports.
 
-    Every batch writes the complete result to its own folder, so a batch that
-    is run again after a failure replaces what it had written.
+    ``folder``, on shared storage, keeps the state and the results; given again, the stream goes on where it was.
+    Every batch writes the runs it has changed to its own folder, so a batch that is run again after
+    a failure replaces what it had written; the last batch of a run holds its result.
     """
-    folder = f"{session.checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}"
-    written = []
+    folder = folder or f"{session.checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}"
+    rolled = stream_rollup(readings)
+    columns = rolled.schema
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
-        written.append(number)
+        batch.write.mode("overwrite").parquet(f"{folder}/results/batch={number}")
 
-    query = (stream_rollup(readings).writeStream.outputMode("complete")
-             .option("checkpointLocation", f"{folder}/state")
+    query = (rolled.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state")
              .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
-    if not written:
-        return metrics.report_columns(spark.createDataFrame([], stream_rollup(readings).schema))
-    return metrics.report_columns(spark.read.parquet(f"{folder}/batch-{max(written)}"))
+    kept = T.StructType([*columns.fields, T.StructField("batch", T.LongType())])
+    try:
+        changes = spark.read.schema(kept).parquet(f"{folder}/results")
+    except AnalysisException:  # no batch has been written yet
+        changes = spark.createDataFrame([], kept)
+    last = changes.groupBy("run_id").agg(F.max_by(F.struct(*columns.names), "batch").alias("last"))
+    return metrics.report_columns(last.select("last.*"))
 
 
 def events_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet") -> DataFrame:

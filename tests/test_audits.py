@@ -2,6 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from siftlines import session
 from siftlines.plans import audits
 
 BIG = "def f():\n  eval(a)\n" + "x = 1\n" * 250 + "os.system(c)\n"
@@ -27,16 +28,62 @@ def test_folder_audit(files, spark):
     assert nested["e.py"].error == "gone" and nested["s/a.py"].features.sinks == ["eval"]
 
     report = audits.project_map(audit).collect()
-    assert [r.text for r in report if r.section in (0, 1, 3)] == [
-        "Files     : 3", "Project contains 3 source file(s) across 2 component(s):", "  Total Issues : 4",
-        "    High Vulnerability   : 3", "    Medium Vulnerability : 0", "    Low Vulnerability    : 1"]
-    assert [r.text for r in report if r.section == 4][0] == "  [CRITICAL] 10.0/10  s/a.py  (2 finding(s))"
-    assert [r.text for r in report if r.section == 5][0] == "  1. Code Injection               — 2 occurrence(s)"
-    assert [r.text for r in report if r.section == 6] == ["  fallback.py.code-eval", "     → s/a.py", "     → s/b.py"]
-    assert [r.text for r in report if r.section == 8] == ["  e.py — gone"]
+    lines = "\n".join(r.text for r in report).split("\n")
+    after = lambda title, n: lines[lines.index(title) + 1:][:n]
+    assert lines[:6] == ["=" * 65, "  PROJECT-LEVEL SECURITY MAP", "  Directory : ", "  Files     : 4", "=" * 65, ""]
+    assert after("  PROJECT OVERVIEW", 6) == [
+        "  " + "─" * 63, "Project contains 3 source file(s) across 2 component(s):", "", "  [root]  (1 file(s))",
+        "    * c.js — Summary unavailable.", ""]
+    assert after("  SECURITY STATS", 5) == [
+        "  " + "─" * 63, "  Total Issues : 4", "    High Vulnerability   : 3", "    Medium Vulnerability : 0",
+        "    Low Vulnerability    : 1"]
+    assert after("  TOP RISKIEST FILES", 2)[1] == "  [CRITICAL] 10.0/10  s/a.py  (2 finding(s))"
+    assert after("  MOST COMMON VULNERABILITY TYPES", 2)[1] == "  1. Code Injection               — 2 occurrence(s)"
+    assert after("  CROSS-FILE VULNERABILITY PATTERNS", 4)[1:] == ["  fallback.py.code-eval", "     → s/a.py", "     → s/b.py"]
+    assert after("  s/a.py  [CRITICAL  10.0/10]", 2) == ["  Summary unavailable.", "    Vulnerabilities (2):"]
+    assert after("  FILES WITH ERRORS (skipped)", 4) == ["  e.py — gone", "", "=" * 65, ""]
     assert [r.section for r in report] == sorted(r.section for r in report)
 
 
+def test_report_of_nothing(files, spark):
+    bad = spark.createDataFrame([("e.py", None, "python", "gone")], "path string, content string, language string, error string")
+    text = [r.text for r in audits.project_map(audits.folder_audit(bad)).collect()]
+    assert text[1:4] == ["  Files     : 1", "=" * 65, "\n  [!] No files could be analyzed."]
+    assert not any("Issues" in t for t in text)
+    blank = spark.createDataFrame([("a.py", " ")], "path string, summary string")
+    text = [r.text for r in audits.project_map(audits.folder_audit(files(("a.py", "x = 1")), summaries=blank)).collect()]
+    assert "No summaries could be generated." in text
+
+
+def test_building_an_audit_starts_no_job(files, spark):
+    spark.sparkContext.setJobGroup("building", "")
+    code = files(("a.py", BIG))
+    for keep in (session.lazily, session.cached):
+        audits.project_map(audits.folder_audit(code, keep=keep))
+        audits.large_file_audit(code, keep=keep)
+        audits.single_file_audit(code, keep=keep)
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not started
+
+
+def test_a_run_gives_the_same_and_leaves_nothing(files, spark, tmp_path):
+    code = files(("s/a.py", "eval(x)\nprint(y)"), ("s/b.py", BIG))
+    lazy = audits.project_map(audits.folder_audit(code)).collect()
+    with session.Run(spark, str(tmp_path)) as run:
+        assert audits.project_map(audits.folder_audit(code, keep=run.keep)).collect() == lazy
+        assert list(tmp_path.iterdir())
+    assert not list(tmp_path.iterdir())
+
+
+def test_openings(files, spark):
+    told = spark.createDataFrame([("b.py", "Runs commands"), ("c.py", "It has vulnerabilities.")], "path string, opening string")
+    code = files(("b.py", BIG), ("c.py", "x = 1\n" * 300))
+    got = {r.path: r.narrative for r in audits.large_file_audit(code, openings=told)["narratives"].collect()}
+    assert got["b.py"].startswith("Runs commands. During the chunked analysis")
+    assert got["c.py"].startswith("This module provides core logic and functionality for the python application. During")
+
+
 def test_primary_findings_come_first_and_chunks_add_to_big_files(files, spark):
     code = files(("a.py", "eval(x)"), ("b.py", BIG), ("c.py", "eval(x)"))
     primary = spark.createDataFrame(
@@ -63,6 +110,13 @@ def test_large_file_audit(files):
         ("Buffer Overflow", 61), ("Code Injection", 1)]
     assert audit["narratives"].count() == 2
     assert [r.line for r in audit["findings"].where("file = 'c.c'").collect()] == list(range(1, 62))
+    chunk = audit["chunks"].collect()[0]
+    assert (chunk.sources, chunk.sinks, chunk.complexity) == ([], ["eval"], 0)
+    assert [(f.line, f.original_chunk) for f in chunk.findings] == [(2, "f")]
+    assert chunk.prompt.startswith("/* sinks=eval | sources=none") and chunk.prompt.endswith("def f():\n  eval(a)")
+    assert audit["table"].collect()[0].row.split("\n")[1] == " " * 16 + "|-- eval(a)"
+    twice = audits.large_file_audit(files(("d.py", "def f(): eval(a)\n")))["totals"].collect()
+    assert [r.n_findings for r in twice] == [1]
 
 
 def test_single_file_audit(files):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftlines.functions import catalog
 from siftlines.operators import scan
-from tests.rule_lines import CASES, RULE_FILE_CASES
+from siftlines.plans.rule_lines import CASES, RULE_FILE_CASES
 
 SUFFIX = {"python": "py", "javascript": "js", "java": "java", "c": "c"}
 
