@@ -12,6 +12,8 @@ in the order of their texts' hashes; an empty table gives files without pages an
 """
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -32,6 +34,15 @@ PAGE_IDS = 1 << 16
 #: Words whose ids a task remembers, twice over.
 REMEMBERED = 1 << 18
 
+#: Letters of ASCII (small) and of Latin-1.
+_LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+LETTERS = re.compile(_LETTERS)
+#: The sign that stands for a byte in a byte-level vocabulary: itself if it can be printed, else one past Latin-1.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+SIGNS = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTED)}
+#: Plain letters, then ASCII marks other than the apostrophe: two tokens or more, cut between them.
+MARKED = re.compile(rb"(" + _LETTERS + rb")([!-&(-/:-@\[-`{-~]+)")
+
 
 def encode_block(values: np.ndarray) -> bytes:
     """One block: 4 header words (count, minimum, width, exceptions), packed differences, exceptions."""
@@ -72,11 +83,14 @@ def decode_page(data: bytes, block_starts: list[int]) -> np.ndarray:
 def encoder(path: str):
     """Ids of many texts at once.
 
-    White space separates tokens and leaves none, so a text is the sequence of its words, and each different word is
-    encoded once as long as it is remembered: since the last or the last but one time that ``REMEMBERED`` were.
+    White space separates tokens and leaves none, so a text is the sequence of its words; the case of A-Z is lost; and
+    marks after plain letters are tokens of their own.  So each different word, and each different half of such a marked
+    word, is encoded once as long as it is remembered: since the last or the last but one time that ``REMEMBERED`` were.
+    A word of plain letters is one piece for the vocabulary's merges, which are asked for it without the steps before.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core's work
     tokenizer = Tokenizer.from_file(path)
+    merge = tokenizer.model.tokenize
     recent: dict[bytes, bytes] = {}
     before: dict[bytes, bytes] = {}
     end = np.array([END_ID], "<u4").tobytes()
@@ -85,18 +99,29 @@ def encoder(path: str):
         nonlocal recent, before
         if len(recent) > REMEMBERED:
             recent, before = {}, recent
-        split = [(text or "").encode("utf-8", "replace").split() for text in texts]
-        unknown = []
-        for word in {w for words in split for w in words if w not in recent}:
-            ids = before.get(word)
-            if ids is None:
-                unknown.append(word)
+        split = [(text or "").encode("utf-8", "replace").lower().split() for text in texts]
+        new, letters, cut = set(), set(), []
+        for word in set().union(*split).difference(recent):
+            if word in before:
+                recent[word] = before[word]
+            elif halves := MARKED.fullmatch(word):
+                cut.append((word, *halves.groups()))
+            else:
+                (letters if LETTERS.fullmatch(word) else new).add(word)
+        for half in {half for _, *halves in cut for half in halves if half not in recent}:
+            if half in before:
+                recent[half] = before[half]
             else:
-                recent[word] = ids
+                (letters if LETTERS.fullmatch(half) else new).add(half)
+        unknown = list(new)
         for at in range(0, len(unknown), 2000):
             some = unknown[at:at + 2000]
             found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            recent.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in found)))
+            recent.update((word, array("I", e.ids).tobytes()) for word, e in zip(some, found))
+        for word in letters:
+            recent[word] = array("I", [token.id for token in merge(
+                word.decode().lower().encode().decode("latin-1").translate(SIGNS))]).tobytes()
+        recent.update((word, recent[stem] + recent[marks]) for word, stem, marks in cut)
         look = recent.__getitem__
         return [np.frombuffer(b"".join(map(look, words)) + end, "<u4") for words in split]
 
