@@ -1,7 +1,8 @@
-"""The three audits: a folder, a large file, a single file, as lazy DataFrames.
+"""The three audits: a folder, a large file, a single file.
 
-Building an audit starts no job.  What it reads several times goes through ``keep``, by default nothing; with
-``session.Run.keep`` it is written once.
+What an audit reads several times goes through ``keep``: by default it is written once as Parquet below the shared checkpoint
+folder.  With the ``keep`` of a ``session.Run`` of the caller's it can be removed afterwards; with
+``session.lazily`` building an audit starts no job, and shared parts are worked out again for each output.
 """
 
 from collections.abc import Callable
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from siftlines.functions import lookups, summary, text
 from siftlines.functions.classify import finding_row, risk_label, with_snippet
 from siftlines.operators import blocks, chunks, features, findings as find, overview, scan, score
-from siftlines.session import lazily
+from siftlines.session import Run
 
 Keep = Callable[[DataFrame], DataFrame]
 FINDING = ["check_id", "file", "line", "message", "severity", "snippet"]
@@ -26,8 +27,9 @@ def _with_summaries(rows: DataFrame, summaries: DataFrame | None, *keys: str) ->
 
 
 def chunk_results(files: DataFrame, found: DataFrame, summaries: DataFrame | None = None,
-                  size: int = lookups.CHUNK_LINES, keep: Keep = lazily) -> tuple[DataFrame, DataFrame, DataFrame]:
+                  size: int = lookups.CHUNK_LINES, keep: Keep | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bounds, tagged findings, chunk results) of files and their line findings."""
+    keep = keep or Run(files.sparkSession).keep
     # A few numbers per chunk, read several times: with a run the files are not read again.
     bounds = keep(blocks.chunk_bounds(files, size, "language"))
     tagged = chunks.tag_findings(found, bounds)
@@ -54,9 +56,10 @@ def chunk_details(files: DataFrame, tagged: DataFrame, size: int = lookups.CHUNK
 
 
 def large_file_audit(files: DataFrame, summaries: DataFrame | None = None, size: int = lookups.CHUNK_LINES,
-                     openings: DataFrame | None = None, keep: Keep = lazily) -> dict[str, DataFrame]:
+                     openings: DataFrame | None = None, keep: Keep | None = None) -> dict[str, DataFrame]:
     """Chunk by chunk: chunk results, distinct findings by line and as table rows, categories,
     one narrative and one total row per file."""
+    keep = keep or Run(files.sparkSession).keep
     bounds, tagged, scored = chunk_results(files, keep(scan.scan(files)), summaries, size, keep)
     scored = keep(scored)
     distinct = find.distinct_findings(tagged, "chunk_id", "rule_ord", "line")
@@ -76,8 +79,9 @@ def large_file_audit(files: DataFrame, summaries: DataFrame | None = None, size:
     }
 
 
-def single_file_audit(files: DataFrame, primary: DataFrame | None = None, keep: Keep = lazily) -> dict[str, DataFrame]:
+def single_file_audit(files: DataFrame, primary: DataFrame | None = None, keep: Keep | None = None) -> dict[str, DataFrame]:
     """Severity-first score, features and prompt of every file."""
+    keep = keep or Run(files.sparkSession).keep
     found = keep(scan.scan(files) if primary is None else scan.with_fallback(files, primary))
     scores = score.severity_scores(found, "file").select(F.col("file").alias("path"), "n_findings", "risk_score")
     described = features.features(files).join(scores, "path", "left").withColumns({
@@ -110,12 +114,13 @@ def prompts(files: DataFrame, found: DataFrame, named: bool = False) -> DataFram
 
 def folder_audit(files: DataFrame, primary: DataFrame | None = None, summaries: DataFrame | None = None,
                  chunk_summaries: DataFrame | None = None, big_lines: int = lookups.BIG_FILE_LINES,
-                 openings: DataFrame | None = None, keep: Keep = lazily) -> dict[str, DataFrame]:
+                 openings: DataFrame | None = None, keep: Keep | None = None) -> dict[str, DataFrame]:
     """Findings, one result row per file, and the errors of a whole corpus.
 
     Files of more than ``big_lines`` lines go through chunks: their chunks' findings are
     merged in and their summary is the narrative.
     """
+    keep = keep or Run(files.sparkSession).keep
     has_errors = "error" in files.columns
     readable = files.where("error is null") if has_errors else files
     readable = readable.where(F.col("language").isNotNull()).select("path", "content", "language")

@@ -349,14 +349,14 @@ def prompt_text(spark, sf_dir):
 
 def file_results(spark, sf_dir):
     files = corpus.code_files(spark, sf_dir)
-    return audits.folder_audit(files, big_lines=20, keep=session.Run(spark).keep)["results"].select(
+    return audits.folder_audit(files, big_lines=20)["results"].select(
         "file", "language", "line_count", "big_file", "n_findings", "risk_score",
         F.array_join("sources", ",").alias("sources"), F.array_join("sinks", ",").alias("sinks"), "complexity", "summary")
 
 
 def nested_results(spark, sf_dir):
     """The result set as JSON text, read back: one row per file with its findings inside."""
-    audit = audits.folder_audit(corpus.code_files(spark, sf_dir), big_lines=20, keep=session.Run(spark).keep)
+    audit = audits.folder_audit(corpus.code_files(spark, sf_dir), big_lines=20)
     raw = audits.nested_results(audit).select(F.to_json(F.struct("*")).alias("raw"))
     return reports.parse_results(raw).select(
         "file", "language", "line_count", "big_file", "risk_score", "summary",
@@ -396,7 +396,7 @@ def byte_files(spark, sf_dir):
 
 def chunk_order(spark, sf_dir):
     """Chunks of every file with what is known of each, in order."""
-    chunks_ = audits.large_file_audit(corpus.code_files(spark, sf_dir), size=10, keep=session.Run(spark).keep)["chunks"]
+    chunks_ = audits.large_file_audit(corpus.code_files(spark, sf_dir), size=10)["chunks"]
     return chunks_.select(
         "path", "chunk_id", "name", "start_line", "end_line", "n_findings", "risk_score", "complexity",
         F.array_join("sinks", ",").alias("sinks"),
@@ -411,35 +411,34 @@ def chunk_text(spark, sf_dir):
 def merged_results(spark, sf_dir):
     """As file_results, but another scanner's findings come first."""
     files = corpus.code_files(spark, sf_dir)
-    audit = audits.folder_audit(files, primary=_primary(_kept(spark, sf_dir)), big_lines=20,
-                                keep=session.Run(spark).keep)
+    audit = audits.folder_audit(files, primary=_primary(_kept(spark, sf_dir)), big_lines=20)
     return audit["results"].select("file", "big_file", "n_findings", "risk_score")
 
 
 def project_map(spark, sf_dir):
     return audits.project_map(audits.folder_audit(
-        corpus.code_files(spark, sf_dir), big_lines=20, keep=session.Run(spark).keep)).select(
+        corpus.code_files(spark, sf_dir), big_lines=20)).select(
         "section", "first", "second", "third", "text")
 
 
 def large_file_findings(spark, sf_dir):
-    return audits.large_file_audit(corpus.code_files(spark, sf_dir), size=10, keep=session.Run(spark).keep)["findings"].select(
+    return audits.large_file_audit(corpus.code_files(spark, sf_dir), size=10)["findings"].select(
         *FINDING, "original_chunk", "chunk_id")
 
 
 def large_file_table(spark, sf_dir):
     """Rows of the findings table, each with its source line."""
-    return audits.large_file_audit(corpus.code_files(spark, sf_dir), size=10, keep=session.Run(spark).keep)["table"].select(
+    return audits.large_file_audit(corpus.code_files(spark, sf_dir), size=10)["table"].select(
         "file", "line", "rule_ord", "row")
 
 
 def large_file_totals(spark, sf_dir):
-    return audits.large_file_audit(corpus.code_files(spark, sf_dir), size=10, keep=session.Run(spark).keep)["totals"].select(
+    return audits.large_file_audit(corpus.code_files(spark, sf_dir), size=10)["totals"].select(
         "path", "n_chunks", "n_findings", "top_score", "n_risky", "label")
 
 
 def single_file_results(spark, sf_dir):
-    return audits.single_file_audit(corpus.code_files(spark, sf_dir), keep=session.cached)["files"].select(
+    return audits.single_file_audit(corpus.code_files(spark, sf_dir))["files"].select(
         "path", "n_findings", "risk_score", "label", "complexity")
 
 

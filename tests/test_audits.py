@@ -58,10 +58,9 @@ def test_report_of_nothing(files, spark):
 def test_building_an_audit_starts_no_job(files, spark):
     spark.sparkContext.setJobGroup("building", "")
     code = files(("a.py", BIG))
-    for keep in (session.lazily, session.cached):
-        audits.project_map(audits.folder_audit(code, keep=keep))
-        audits.large_file_audit(code, keep=keep)
-        audits.single_file_audit(code, keep=keep)
+    audits.folder_audit(code, keep=session.lazily)
+    audits.large_file_audit(code, keep=session.lazily)
+    audits.single_file_audit(code, keep=session.lazily)
     started = spark.sparkContext.statusTracker().getJobIdsForGroup("building")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert not started
@@ -69,9 +68,9 @@ def test_building_an_audit_starts_no_job(files, spark):
 
 def test_a_run_gives_the_same_and_leaves_nothing(files, spark, tmp_path):
     code = files(("s/a.py", "eval(x)\nprint(y)"), ("s/b.py", BIG))
-    lazy = audits.project_map(audits.folder_audit(code)).collect()
+    lazy = audits.folder_audit(code, keep=session.lazily)["results"].orderBy("file").collect()
     with session.Run(spark, str(tmp_path)) as run:
-        assert audits.project_map(audits.folder_audit(code, keep=run.keep)).collect() == lazy
+        assert audits.folder_audit(code, keep=run.keep)["results"].orderBy("file").collect() == lazy
         assert list(tmp_path.iterdir())
     assert not list(tmp_path.iterdir())
 

@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from siftlines.functions import text
 from siftlines.operators import features, findings as find
 from siftlines.sources import files as file_source, reports, scanner_json
 
@@ -108,3 +109,53 @@ def test_sinks(spark, files, tmp_path):
     reports.write_text(text, str(tmp_path / "t"))
     parts = sorted(p for p in os.listdir(tmp_path / "t") if p.startswith("part-"))
     assert "".join((tmp_path / "t" / p).read_text() for p in parts).splitlines() == [f"line {i}" for i in range(100)]
+
+
+@pytest.mark.parametrize("path, normal", [
+    ("./p/../a.py", "/repo/a.py"), ("/x//y/./z.py", "/x/y/z.py"), ("../../a.py", "/a.py"), ("a/b/../../c.py", "/repo/c.py")])
+def test_bulk_paths_are_resolved(spark, path, normal):
+    raw = spark.createDataFrame([(json.dumps({"results": [{"check_id": "r", "path": path}]}),)], "raw string")
+    assert scanner_json.bulk_findings(raw, "/repo").collect()[0].file == normal
+
+
+def test_results_one_a_line_keep_their_order(spark, tmp_path):
+    (tmp_path / "out.jsonl").write_text("\n".join(
+        json.dumps({"check_id": f"r{i}", "path": "a.py", "start": {"line": 9 - i}, "extra": {"message": "m"}}) for i in range(5)))
+    found = scanner_json.findings(scanner_json.read_result_lines(spark, str(tmp_path / "out.jsonl")))
+    assert [r.check_id for r in found.orderBy("rule_ord").collect()] == [f"r{i}" for i in range(5)]
+    assert {r.rule_ord for r in found.collect()} == set(range(5))
+
+
+def test_bytes_to_text(spark):
+    raw = spark.createDataFrame([(b"a\xffb",), ("a�b".encode(),), ("�".encode() + b"\xc3",), (b"",), (None,)], "raw binary")
+    assert [r.t for r in raw.select(text.make_text(F.col("raw")).alias("t")).collect()] == ["ab", "a�b", "�", "", None]
+
+
+def test_tree_is_written_and_read(files, spark, tmp_path):
+    code = files(("a.py", "x = 1\r\n"), ("d/b.c", "int é;"), ("node_modules/c.js", "1"))
+    assert file_source.write_shared_folder(code, str(tmp_path)) == 3
+    read = file_source.read_shared_folder(spark, str(tmp_path))
+    assert {(r.path.removeprefix(f"{tmp_path}/"), r.content) for r in read.collect()} == {("a.py", "x = 1\r\n"), ("d/b.c", "int é;")}
+    assert file_source.read_folder(spark, str(tmp_path), prune=False).count() == 3
+
+
+def test_contents_never_move(files, spark, tmp_path):
+    """No exchange holds a file's contents, its lines or a chunk's text."""
+    from siftlines.operators import blocks, chunks, findings, lines, overview, scan
+    from siftlines.plans import audits
+    file_source.write_shared_folder(files(("a.py", "eval(x)")), str(tmp_path))
+    code = file_source.read_folder(spark, str(tmp_path))
+    found = scan.scan(code)
+    bounds = blocks.chunk_bounds(code, 10, "language")
+    plans = [code, found, findings.line_snippets(found, code), chunks.tag_findings(found, bounds),
+             chunks.remap_lines(scan.scan(chunks.chunk_files(lines.line_windows(code, 4, "language"))), bounds),
+             audits.prompts(code, found), audits.folder_audit(code)["results"], audits.large_file_audit(code)["chunks"]]
+    for plan in plans:
+        executed = plan._jdf.queryExecution().executedPlan()
+        todo = [executed.inputPlan() if "AdaptiveSparkPlan" in executed.nodeName() else executed]
+        while todo:
+            node = todo.pop()
+            if "Exchange" in node.nodeName():
+                names = {node.output().apply(i).name() for i in range(node.output().size())}
+                assert not {"content", "text", "pairs", "lines"} & names, names
+            todo += [node.children().apply(i) for i in range(node.children().size())]
