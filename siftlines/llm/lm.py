@@ -32,7 +32,7 @@ WIDTH = 64
 ROWS = 1 << 14
 #: Most words whose counts are broadcast.
 FREQUENT = 1 << 18
-STEP_TOKENS = 2048
+STEP_TOKENS = 8192
 SCORE_TOKENS = 1 << 14
 RATE = 0.15
 FEATURES = 3
@@ -165,15 +165,19 @@ class Trainer:
     def step(self, prior: np.ndarray, rows: np.ndarray, truth: np.ndarray) -> None:
         slope = softmax(prior, self.weights, rows)
         slope[np.arange(len(truth)), truth] -= 1
-        flat = rows.reshape(-1)
+        flat = rows.reshape(-1).astype(np.uint16)  # sorted by digits, not by comparing
         order = np.argsort(flat, kind="stable")
         ordered = flat[order]
         first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         sums = np.add.reduceat(slope[order % len(truth)], first, axis=0)
         touched = ordered[first]
-        squares = self.squares[touched] + sums * sums
+        squares = sums * sums
+        squares += self.squares[touched]
         self.squares[touched] = squares
-        self.weights[touched] -= RATE * sums / np.sqrt(squares)
+        np.sqrt(squares, out=squares)
+        sums *= RATE
+        sums /= squares
+        self.weights[touched] -= sums
         self.used[touched] += np.diff(np.r_[first, len(flat)])
 
 
