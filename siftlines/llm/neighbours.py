@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by inner product: inverted lists scanned with adaptive dimensions.
 
 Spherical k-means on a bounded sample (``SAMPLE``) gives the lists' centres; every vector goes into the list of its nearest centre.  A
-query probes the ``probes_of`` lists that look best by centre and largest norm.  Within a list, vectors and
+query probes the lists that look best by centre and largest norm.  How many is measured on each table: ``TRIED`` queries
+are compared with every vector, and so many lists are probed that a share ``RECALL`` of their true neighbours is in them,
+``probes_of`` at least.  Within a list, vectors and
 queries are rotated by one random rotation and compared a block of columns at a time.  After d of D columns their
 squared distance so far times D / d estimates the whole one within a factor of (1 + EPSILON / sqrt(d))^2, and a candidate is
 abandoned if even the lower end is farther than the k-th best known row (a distance and an inner product
@@ -30,7 +32,10 @@ from siftlines.llm import common
 K = 20
 SAMPLE = 20_000
 MOST_LISTS = 4096
-#: Of n lists so many are probed for a query: FACTOR * n ** POWER, chosen for a recall of 0.9 on vectors that hardly cluster.
+#: Queries that are compared with every vector, and the share of their neighbours that the probed lists have to hold.
+TRIED = 256
+RECALL = 0.95
+#: Of n lists so many are probed at least: FACTOR * n ** POWER.
 FACTOR = 1.9
 POWER = 0.765
 BLOCK_ROWS = 4096
@@ -104,6 +109,47 @@ def survivors(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray
             return left[near], right[near]
 
 
+def _compare(width: int, k: int, tried: np.ndarray, ids: np.ndarray):
+    """The k best other rows of a task for each tried query, and the lists they are in."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, lists = np.empty((len(tried), 0)), np.empty((len(tried), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                product = tried @ matrix(some.column(1), width).T
+                product[ids[:, None] == some.column(0).to_numpy()] = -np.inf
+                score = np.concatenate([score, product], axis=1)
+                lists = np.concatenate([lists, np.broadcast_to(some.column(2).to_numpy(), product.shape)], axis=1)
+                if score.shape[1] > k:
+                    best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                    score, lists = np.take_along_axis(score, best, axis=1), np.take_along_axis(lists, best, axis=1)
+        query, place = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(query, pa.int32()), pa.array(score[query, place]), pa.array(lists[query, place], pa.int32())],
+            ["query", "score", "list"])
+
+    return compare
+
+
+def _probes(placed: DataFrame, asked: DataFrame, looks, width: int, k: int, recall: float) -> int:
+    """How many of the best looking lists hold the share ``recall`` of the true neighbours of the tried queries."""
+    tried = asked.orderBy(F.xxhash64("key", F.lit(3)), "key").limit(TRIED).collect()
+    if not tried:
+        return 1
+    x, ids = np.array([r["vector"] for r in tried]), np.array([r["vec_id"] for r in tried])
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "list")
+    near = placed.select("vec_id", "vector", "list").mapInArrow(
+        _compare(width, k, x, ids), "query int, score double, list int").withColumn(
+        "place", F.row_number().over(best)).where(F.col("place") <= k).select("query", "list").toPandas()
+    if near.empty:
+        return 1
+    order = np.argsort(-looks(x), axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
+    needed = np.sort(rank[near["query"].to_numpy(), near["list"].to_numpy()]) + 1
+    return int(needed[int(np.ceil(recall * len(needed))) - 1])
+
+
 def _scan(width: int, k: int):
     def scan(rows: pa.Table, queries: pa.Table) -> pa.Table:
         x, ids = matrix(rows["vector"], width), rows["vec_id"].to_numpy()
@@ -129,7 +175,7 @@ def _scan(width: int, k: int):
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding",
-            k: int = K, factor: float = FACTOR) -> DataFrame:
+            k: int = K, factor: float = FACTOR, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` holds for, its k nearest other rows."""
     spark = vectors.sparkSession
     vector = F.col("vector")
@@ -162,17 +208,17 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     placed = common.table(listed.where(right).select("vec_id", "vector").mapInArrow(
         assign, "vec_id long, vector array<double>, list int, norm double"))
     asked = common.table(rows.where(F.col("is_query") & right).groupBy("key").agg(
-        F.first("vector").alias("vector"), F.count("*").alias("n")))
+        F.first("vector").alias("vector"), F.count("*").alias("n"), F.min("vec_id").alias("vec_id")))
     of_list = {r["list"]: r for r in placed.groupBy("list").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).collect()}
     norms = np.array([of_list[i]["norm"] if i in of_list else 0.0 for i in range(len(middle))])
-    n_probes = probes_of(len(middle), factor)
+    looks = lambda x: x @ middle.T * norms
+    n_probes = max(probes_of(len(middle), factor), _probes(placed, asked, looks, width, k, recall))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                looks = matrix(some.column(1), width) @ middle.T * norms
-                lists = np.argsort(-looks, axis=1, kind="stable")[:, :n_probes]
+                lists = np.argsort(-looks(matrix(some.column(1), width)), axis=1, kind="stable")[:, :n_probes]
                 again = pa.array(np.repeat(np.arange(some.num_rows), n_probes))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0).take(again), some.column(1).take(again), pa.array(lists.reshape(-1), pa.int32())],

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -378,6 +379,21 @@ def test_neighbours(spark, n):
     assert hits >= 0.9 * len(found) * min(20, n - 1)
 
 
+def test_neighbours_that_do_not_cluster(spark):
+    n, width = 3000, 512
+    vectors = np.random.default_rng(4).normal(size=(n, width))
+    table = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(vectors)}))
+    found = defaultdict(set)
+    for r in neighbours.nearest(table, F.col("vec_id") % 10 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    assert len(found) == n // 10
+    products = vectors[::10] @ vectors.T
+    products[np.arange(n // 10), np.arange(0, n, 10)] = -np.inf
+    best = np.argsort(-products, axis=1)[:, :20]
+    recall = np.mean([len(found[10 * i] & set(row.tolist())) / 20 for i, row in enumerate(best)])
+    assert recall >= 0.92
+
+
 def test_empty_tables(spark, nothing, tmp_path):
     for result in (dedup.exact_groups(nothing), dedup.exact_dedup(nothing), mixing.mix(nothing), mixing.curriculum(nothing),
                    sharding.shard_rows(nothing), simhash.near_groups(nothing), simhash.near_dedup(nothing),
