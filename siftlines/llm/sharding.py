@@ -4,7 +4,9 @@ Documents start in a shard by hash of their id.  All documents of a group that s
 interchangeable, so the state is one row per group and cell, at most ``SHARDS * SALTS`` per group
 however many copies it has.  In each round a group votes for the shard that holds most of it, cells elsewhere ask
 to move there, and requests are granted, small groups first, within a quota per pair of shards: swaps that leave sizes
-as they are, and the room that a shard's exact share leaves for linked rows.  At the end rows are numbered within
+as they are, and the room that a shard's exact share leaves for linked rows.  Once the first ``ROUNDS`` rounds are over, groups
+whose choice is full fill the shards that hold most of them and still have room, as many as they need, until no
+request is granted (``MOST_ROUNDS`` is a guard).  At the end rows are numbered within
 their shard, linked ones first, and what exceeds the share goes to the shards that are short: counts differ by one at
 most, and only rows without copies move for that.
 
@@ -20,6 +22,7 @@ from siftlines.llm import common
 SHARDS = 24
 SALTS = 64
 ROUNDS = 4
+MOST_ROUNDS = 64
 #: Requests of a size class are granted in so many slices.
 SLICES = 16
 
@@ -31,11 +34,38 @@ def _moves(cells: DataFrame, shards: int) -> DataFrame:
         F.max(F.struct("held", F.xxhash64("linked", "shard").alias("lot"), "shard")).alias("vote"))
     wish = cells.join(vote.select("linked", F.col("vote.shard").alias("wish"), F.col("vote.held").alias("held")),
                       "linked")
+    return _sliced(wish)
+
+
+def _sliced(wish: DataFrame) -> DataFrame:
     spread = F.when(F.col("held") >= SLICES, F.col("cell")).otherwise(F.lit(0))
     return wish.withColumn("slice", F.floor(F.log2("held")).cast("int") * SLICES
                            + F.pmod(F.xxhash64("linked", spread), F.lit(SLICES)).cast("int"))
 
 
+def _next_moves(cells: DataFrame, room: list[int]) -> DataFrame:
+    """Requests as in ``_moves``, for the shards with room that hold most of a group, until what lies in shards below fits."""
+    rooms = F.broadcast(_values(cells.sparkSession, list(enumerate(room)), "shard, room"))
+    held = cells.groupBy("linked", "shard").agg(F.sum("n").alias("held")).join(rooms, "shard")
+    order = Window.partitionBy("linked").orderBy(F.desc("held"), F.xxhash64("linked", "shard"))
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = held.select(
+        "linked", "shard", "held", "room", F.row_number().over(order).alias("rank"),
+        F.coalesce(F.sum("room").over(earlier), F.lit(0)).alias("upto"),
+        F.coalesce(F.sum("held").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("below"))
+    target = (F.col("room") > 0) & (F.col("upto") < F.col("below"))
+    aims = ranked.groupBy("linked").agg(
+        F.max(F.when(target, F.col("rank"))).alias("last"), F.max("held").alias("held"),
+        F.max(F.when(target, F.col("upto") + F.col("room"))).alias("total"),
+        F.sort_array(F.collect_list(F.when(target, F.struct("upto", "shard")))).alias("aims"))
+    ranks = ranked.select("linked", "shard", "rank")
+    wish = cells.join(aims, "linked").join(ranks, ["linked", "shard"])
+    drawn = F.pmod(F.xxhash64("cell", "linked"), F.col("total"))
+    aim = F.element_at(F.filter("aims", lambda x: x["upto"] <= drawn), -1)["shard"]
+    asks = F.col("last").isNotNull() & (F.col("rank") > F.col("last"))
+    return _sliced(wish.select("linked", "cell", "n", "shard", F.when(asks, aim).otherwise(F.col("shard")).alias("wish"), "held"))
+
+
 def _quotas(asked: dict[tuple, int], sizes: list[int], capacity: int) -> dict[tuple, int]:
     """How many rows may move from s to t: as many as move back, and a share of t's room."""
     swaps = {(s, t): min(n, asked.get((t, s), 0)) for (s, t), n in asked.items()}
@@ -57,20 +87,32 @@ def propagate(cells: DataFrame, capacity: int, shards: int, rounds: int = ROUNDS
     spark = cells.sparkSession
     held = dict(cells.groupBy("shard").agg(F.sum("n")).collect())
     sizes = [held.get(s, 0) for s in range(shards)]
-    for _ in range(rounds):
-        wish = common.table(_moves(cells, shards))
+    full, first = set(), rounds  # shards that grant nothing any more; rounds of first choices that are left
+    for _ in range(rounds + MOST_ROUNDS):
+        room = [0 if s in full else max(0, capacity - n) for s, n in enumerate(sizes)]
+        if first <= 0 and not any(room):
+            break
+        wish = common.table(_moves(cells, shards) if first > 0 else _next_moves(cells, room))
         flows = wish.where("shard <> wish").groupBy("shard", "wish", "slice").agg(F.sum("n").alias("n"))
         upto = Window.partitionBy("shard", "wish").orderBy("slice")
         flows = common.table(flows.withColumn("upto", F.sum("n").over(upto)))
         asked = {(r["shard"], r["wish"]): r["n"] for r in flows.groupBy("shard", "wish").agg(F.sum("n").alias("n")).collect()}
         if not asked:
-            break
+            if first <= 0:
+                break
+            first = 0
+            continue
         quotas = _quotas(asked, sizes, capacity)
         allowed = _values(spark, [(s, t, q) for (s, t), q in quotas.items()], "shard, wish, quota")
         granted = (flows.join(F.broadcast(allowed), ["shard", "wish"]).where("upto <= quota")
                    .groupBy("shard", "wish").agg(F.max("slice").alias("last"), F.max("upto").alias("n"))).collect()
+        first -= 1
+        if first < 0:
+            full |= {t for _, t in asked} - {r["wish"] for r in granted}
+        elif not granted:
+            first = 0
         if not granted:
-            break
+            continue
         for r in granted:
             sizes[r["shard"]] -= r["n"]
             sizes[r["wish"]] += r["n"]

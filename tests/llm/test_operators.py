@@ -379,6 +379,16 @@ def test_neighbours(spark, n):
     assert hits >= 0.9 * len(found) * min(20, n - 1)
 
 
+def test_a_group_larger_than_a_shard_fills_few(spark):
+    texts = ["the same text again and again"] * 8000 + [f"pair {i // 2}" for i in range(2000)] + [f"single {i}" for i in range(14000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard_rows(docs).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == 24000
+    assert set(Counter(r.shard for r in rows).values()) == {1000}
+    hot = sorted(Counter(r.shard for r in rows if r.doc_id < 8000).values(), reverse=True)
+    assert sum(hot[:10]) >= 0.95 * 8000
+
+
 def test_neighbours_that_do_not_cluster(spark):
     n, width = 3000, 512
     vectors = np.random.default_rng(4).normal(size=(n, width))
