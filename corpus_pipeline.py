@@ -21,7 +21,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the row with the smallest id."""
+    """Of each group of near copies, the row with the smallest id.
+
+    Near is what op7's contract says: fingerprints that differ in 4 of 64 bits at most.  Most pairs whose 4-word shingles are
+    0.95 alike or less differ in more and stay; the README has the shares.
+    """
     return simhash.near_dedup(docs)
 
 

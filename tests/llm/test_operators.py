@@ -379,6 +379,27 @@ def test_neighbours(spark, n):
     assert hits >= 0.9 * len(found) * min(20, n - 1)
 
 
+def near_copy(random, similarity: float) -> tuple[str, str]:
+    """400 words, and as many with words replaced until their 4-word shingles are no more alike than ``similarity``."""
+    words = [f"w{i}" for i in random.integers(0, 5000, 400)]
+    shingles = lambda x: {tuple(x[i:i + 4]) for i in range(len(x) - 3)}
+    other, whole = list(words), shingles(words)
+    while len(whole & shingles(other)) > similarity * len(whole | shingles(other)):
+        other[random.integers(0, 400)] = f"w{random.integers(0, 5000)}"
+    return " ".join(words), " ".join(other)
+
+
+def test_near_copies_of_known_similarity(spark):
+    random, rows = np.random.default_rng(8), []
+    for similarity in (0.8, 0.9, 0.95):
+        rows += [(2 * i, *near_copy(random, similarity), similarity) for i in range(len(rows), len(rows) + 200)]
+    docs = [(i + j, text) for i, *pair, _ in rows for j, text in enumerate(pair)]
+    kept = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    caught = {s: np.mean([i + 1 not in kept for i, _, _, t in rows if t == s]) for s in (0.8, 0.9, 0.95)}
+    assert all(i in kept for i, *_ in rows)
+    assert caught[0.8] < 0.1 and caught[0.8] <= caught[0.9] <= caught[0.95]  # README gives the shares
+
+
 def test_a_group_larger_than_a_shard_fills_few(spark):
     texts = ["the same text again and again"] * 8000 + [f"pair {i // 2}" for i in range(2000)] + [f"single {i}" for i in range(14000)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
