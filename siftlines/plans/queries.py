@@ -67,6 +67,11 @@ def _windows(spark, sf_dir, size: int = 4) -> DataFrame:
 # scans ------------------------------------------------------------------------
 
 def scan_secrets(spark, sf_dir):
+    """Hits of the JavaScript and the Java rule on hard-coded secrets, as the query's SQL has them.
+
+    Python's two rules do not apply to these files.  The shared rule on AWS keys does and is not run here, because the SQL does not
+    have it; ``scan_all_rules`` runs every rule, over other files.
+    """
     rules = [r for r in catalog.line_rules() if r.rule_id in
              ("fallback.js.secrets-hardcoded", "fallback.java.secrets-password")]
     return scan.scan(corpus.prose_files(spark, sf_dir), rules).select(*FINDING)
@@ -215,7 +220,7 @@ def top_risky_files(spark, sf_dir):
 
 
 def top_secret_documents(spark, sf_dir):
-    """Documents as they are, by severity-first score of the secrets found in them."""
+    """Documents as they are, by severity-first score of the secrets that ``scan_secrets`` finds in them, by its two rules only."""
     scored = score.severity_scores(scan_secrets(spark, sf_dir), "file").select("file", "n_findings", "risk_score")
     return find.top_files(scored, 5)
 
@@ -270,10 +275,12 @@ def conversation_windows(spark, sf_dir):
 
 
 def group_overview(spark, sf_dir):
+    """An entry for each document by its first line, which stands in for a summary in the query's SQL; later lines are not read."""
     return overview.entries(_doc_results(spark, sf_dir))
 
 
 def group_totals(spark, sf_dir):
+    """Documents with something in their first line, and their sources, as in the query's SQL; later lines are not read."""
     return overview.totals(_doc_results(spark, sf_dir))
 
 
