@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftlines.llm import common, dedup, langid, lm, mixing, neighbours, packing, quality, sharding, simhash, tokenfile
+from siftlines.llm import (common, dedup, hardneg, langid, lexical, lm, mixing, neighbours, packing, quality, sharding, simhash,
+                           tokenfile, vectordups)
 
 #: A vocabulary file that lies on every executor.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -62,9 +63,23 @@ def op10_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.read(spark, path)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hardneg.mine(vectors, F.col("vec_id") % 100 == 0, label)
+
+
+def op12_vector_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return vectordups.near_groups(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     numbered = (op1_language_id, op2_exact_dedup, op3_quality, op4_sharding, op5_lm_scores, op6_packing, op7_simhash, op8_neighbours,
-                op9_mixing, op10_token_file)
+                op9_mixing, op10_token_file, op11_hard_negatives, op12_vector_dups, op13_lexical_search)
     return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
 
 
@@ -124,6 +139,63 @@ ORACLE = {
                CASE WHEN copies > 0 THEN 2 * late / (1 + slope + sqrt(greatest(0.0,
                    (1 + slope) * (1 + slope) - 4 * slope * late))) END AS last_position
         FROM shares""",
+    "op11_hard_negatives": r"""
+        WITH usable AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_inner_product(a.x, b.x)::BIGINT AS score
+            FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER best)::INT AS rank, vec_id AS negative_id, positive_score,
+               score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER best <= 5""",
+    "op12_vector_dups": r"""
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.93),
+        reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+        least AS (SELECT a, min(b) AS b FROM reached GROUP BY a),
+        counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
+               vec_id = least(vec_id, coalesce(least.b, vec_id)) AS kept
+        FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN counted ON vec_id = counted.a""",
+    "op13_lexical_search": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents),
+        postings AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+        lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM postings GROUP BY doc_id),
+        totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM postings, totals GROUP BY term, n_docs),
+        scores AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (doc_id), totals
+            GROUP BY item_id, doc_id)
+        SELECT item_id, (row_number() OVER best)::INT AS rank, doc_id, score FROM scores WHERE score > 0
+        WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+        QUALIFY row_number() OVER best <= 50""",
 }
 
 
