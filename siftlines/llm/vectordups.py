@@ -161,8 +161,8 @@ def _compare(tau: float):
 def _mapped(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     """``rows`` with the values of ``column`` replaced by their parents where they have one; values may be hot."""
     groups = common.table(rows.groupBy(column).agg(F.count("*").alias("_n")).join(
-        parents.select(F.col("id").alias(column), "parent"), column, "left").select(
-        column, "_n", F.coalesce("parent", column).alias("_to")))
+        parents.select(F.col("id").alias(column), F.col("parent").alias("_up")), column, "left").select(
+        column, "_n", F.coalesce("_up", column).alias("_to")))
     return common.with_group(rows, groups, column, "_n").drop(column, "_n").withColumnRenamed("_to", column)
 
 
