@@ -5,6 +5,9 @@ the bracket depth and the block that is open; nothing is shuffled, and the
 corpus is read once for all languages.
 """
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftlines.functions import lexical, lookups
@@ -58,50 +61,68 @@ def _empty() -> Column:
     return F.array().cast(_BLOCKS)
 
 
-def _fold(pairs: Column, describe, relevant, start: dict, step, finish) -> Column:
-    """Fold ``step`` over the relevant ones of a file's filled lines.
-
-    ``describe(code, raw)`` gives the fields of a line, to which its number and
-    the number of the filled line above it are added.  The state is ``start``
-    plus ``out``, the blocks found.  ``finish(state, last)`` gets the last filled
-    line and gives the blocks still open.
+class Machine(NamedTuple):
+    """How the blocks of a language are found.
 
-    A fold copies its state at every step, so the lines are taken in about as
-    many slices as a slice has lines, and the blocks of a slice are put aside
-    at its end.
+    ``describe(code, raw)`` gives the fields of a line, ``relevant(item)`` says whether a line matters, ``step`` takes the state
+    over such a line, and ``finish(state, last)`` gets the last filled line and gives the blocks with those still open.
+    The state is ``start`` plus ``out``, the blocks found.
     """
+    describe: Callable
+    relevant: Callable
+    start: dict
+    step: Callable
+    finish: Callable
+
+
+def relevant_items(pairs: Column, machine: Machine) -> Column:
+    """Struct of ``items``, the lines that matter with their number and that of the filled line above (0: none), and ``last``,
+    the number of the last filled line (0: none)."""
     def item(filled):
         def build(x, at):
             above = F.when(at > 0, F.get(filled, at - 1)["line"]).otherwise(0)
-            return F.struct(x["line"].alias("line"), above.alias("above"), *describe(x["code"], x["raw"]))
+            return F.struct(x["line"].alias("line"), above.alias("above"), *machine.describe(x["code"], x["raw"]))
         return build
 
-    def in_slices(items, last):
-        length = F.ceil(F.sqrt(F.size(items))).cast("int")
-        starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), length)).otherwise(
-            F.array().cast("array<int>"))
-
-        def put_aside(whole):
-            return lambda state: F.struct(
-                _state(**{name: state[name] for name in start}, out=_empty()).alias("state"),
-                F.concat(whole["found"], F.array(state["out"])).alias("found"))
-
-        return F.aggregate(
-            starts, F.struct(_state(**start, out=_empty()).alias("state"),
-                             F.array().cast(f"array<{_BLOCKS}>").alias("found")),
-            lambda whole, at: let(F.aggregate(F.slice(items, at, length), whole["state"], step), put_aside(whole)),
-            lambda whole: F.concat(F.flatten(whole["found"]), finish(whole["state"], last)))
-
     def over(filled):
         last = F.coalesce(F.get(filled, F.size(filled) - 1)["line"], F.lit(0))
-        return let(F.filter(F.transform(filled, item(filled)), relevant), lambda items: in_slices(items, last))
+        return F.struct(F.filter(F.transform(filled, item(filled)), machine.relevant).alias("items"), last.alias("last"))
 
     numbered = F.transform(pairs, lambda p, at: F.struct(
         (at + 1).alias("line"), p["code"].alias("code"), p["raw"].alias("raw")))
     return let(F.filter(numbered, lambda x: x["code"].rlike(r"[^ \t]")), over)
 
 
-def _python(pairs: Column) -> Column:
+def fold_items(items: Column, machine: Machine, start: dict, finish) -> Column:
+    """``finish(found, state)`` after the items: the blocks put aside so far, and the state with those after them.
+
+    A fold copies its state at every step, so the lines are taken in about as
+    many slices as a slice has lines, and the blocks of a slice are put aside
+    at its end.
+    """
+    length = F.ceil(F.sqrt(F.size(items))).cast("int")
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), length)).otherwise(
+        F.array().cast("array<int>"))
+
+    def put_aside(whole):
+        return lambda state: F.struct(
+            _state(**{name: state[name] for name in start}, out=_empty()).alias("state"),
+            F.concat(whole["found"], F.array(state["out"])).alias("found"))
+
+    return F.aggregate(
+        starts, F.struct(_state(**start, out=_empty()).alias("state"),
+                         F.array().cast(f"array<{_BLOCKS}>").alias("found")),
+        lambda whole, at: let(F.aggregate(F.slice(items, at, length), whole["state"], machine.step), put_aside(whole)),
+        lambda whole: finish(F.flatten(whole["found"]), whole["state"]))
+
+
+def _fold(pairs: Column, machine: Machine) -> Column:
+    """Fold over the relevant ones of a file's filled lines."""
+    return let(relevant_items(pairs, machine), lambda x: fold_items(
+        x["items"], machine, machine.start, lambda found, state: F.concat(found, machine.finish(state, x["last"]))))
+
+
+def _python() -> Machine:
     """Top-level functions and classes, decorators included."""
     def describe(c, raw):
         header = F.when(c.startswith("def") | c.startswith("class") | c.startswith("async"),
@@ -121,7 +142,7 @@ def _python(pairs: Column) -> Column:
             out=F.when(opens, closed(s, x["above"])).otherwise(s["out"]))
 
     start = dict(name=_none(), first=F.lit(0), decorated=F.lit(False))
-    return _fold(pairs, describe, lambda x: x["top"], start, step, closed)
+    return Machine(describe, lambda x: x["top"], start, step, closed)
 
 
 def _brackets(code: Column, opening: str, closing: str) -> list[Column]:
@@ -138,7 +159,7 @@ def _open_to_last(s: Column, last: Column) -> Column:
     return _append(s["out"], s["name"].isNotNull(), _block(s["name"], s["first"], last))
 
 
-def _javascript(pairs: Column) -> Column:
+def _javascript() -> Machine:
     """Top-level functions, classes and routes."""
     def describe(c, raw):
         argument = F.regexp_extract(raw, _JS_ROUTE_ARG, 1)
@@ -162,11 +183,11 @@ def _javascript(pairs: Column) -> Column:
                       out=_append(kept, ended, _block(name, first, x["line"])))
 
     start = dict(depth=F.lit(0), name=_none(), first=F.lit(0), body=F.lit(False))
-    return _fold(pairs, describe, lambda x: (x["opened"] + x["closed"] > 0) | x["name"].isNotNull(),
-                 start, step, _open_to_last)
+    return Machine(describe, lambda x: (x["opened"] + x["closed"] > 0) | x["name"].isNotNull(),
+                   start, step, _open_to_last)
 
 
-def _java(pairs: Column) -> Column:
+def _java() -> Machine:
     """Methods at any depth, but none inside another method."""
     def describe(c, raw):
         kind, name = F.regexp_extract(c, _JAVA_METHOD, 1), F.regexp_extract(c, _JAVA_METHOD, 2)
@@ -191,12 +212,12 @@ def _java(pairs: Column) -> Column:
 
     start = dict(depth=F.lit(0), name=_none(), first=F.lit(0), level=F.lit(0), noted=_none("int"),
                    noted_to=_none("int"))
-    return _fold(pairs, describe,
-                 lambda x: (x["opened"] + x["closed"] > 0) | x["name"].isNotNull() | x["annotation"],
-                 start, step, _open_to_last)
+    return Machine(describe,
+                   lambda x: (x["opened"] + x["closed"] > 0) | x["name"].isNotNull() | x["annotation"],
+                   start, step, _open_to_last)
 
 
-def c_functions(pairs: Column) -> Column:
+def _c() -> Machine:
     """Line ranges of C functions: from a brace opened at depth 0 to its end."""
     def step(s, x):
         before, after = s["depth"], s["depth"] + x["opened"] - x["closed"]
@@ -208,8 +229,17 @@ def c_functions(pairs: Column) -> Column:
                       out=_append(s["out"], ended, _block(name, first, x["line"])))
 
     start = dict(depth=F.lit(0), name=_none(), first=F.lit(0))
-    return _fold(pairs, lambda c, raw: _brackets(c, "{", "}"), lambda x: x["opened"] + x["closed"] > 0,
-                 start, step, _open_to_last)
+    return Machine(lambda c, raw: _brackets(c, "{", "}"), lambda x: x["opened"] + x["closed"] > 0,
+                   start, step, _open_to_last)
+
+
+def machines() -> dict[str, Machine]:
+    """How blocks are found, by language; files of others have none."""
+    return {"python": _python(), "javascript": _javascript(), "java": _java()}
+
+
+def c_functions(pairs: Column) -> Column:
+    return _fold(pairs, _c())
 
 
 def lined(files: DataFrame, mask_c: bool = False) -> DataFrame:
@@ -225,8 +255,9 @@ def lined(files: DataFrame, mask_c: bool = False) -> DataFrame:
 
 
 def _blocks(language: Column, pairs: Column) -> Column:
-    found = (F.when(language == "python", _python(pairs)).when(language == "javascript", _javascript(pairs))
-             .when(language == "java", _java(pairs)).otherwise(F.array().cast(_BLOCKS)))
+    found = F.array().cast(_BLOCKS)
+    for name, machine in reversed(machines().items()):
+        found = F.when(language == name, _fold(pairs, machine)).otherwise(found)
     return F.transform(found, lambda b, i: F.struct(
         i.alias("chunk_id"), b["name"].alias("name"), (b["first"] - 1).alias("start_line"), b["last"].alias("end_line")))
 

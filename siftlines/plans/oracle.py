@@ -758,6 +758,7 @@ SELECT conv_id, turn, {_clean_summary(f"{opening} || text || ' '")} AS summary F
                            + "SELECT path, chunk_id, name, start_line, end_line FROM blocks")
     sql["chunk_bounds"] = (_with(*code, *_bounds(10))
                            + "SELECT path, chunk_id, name, start_line, end_line FROM bounds")
+    sql["segment_chunks"] = sql["chunk_bounds"]
     sql["chunk_findings"] = _over_found(
         "SELECT check_id, file, line, original_chunk, chunk_id FROM tagged", *_bounds(10), _TAGGED)
     sql["chunk_remap"] = _over_found(

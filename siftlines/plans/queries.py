@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from siftlines import session
 from siftlines.functions import catalog, classify, summary, text
 from siftlines.operators import (blocks, chunks, features, findings as find, lines, metrics, overview, scan,
-                                 score, sequence)
+                                 score, segments, sequence)
 from siftlines.plans import audits, corpus
 from siftlines.sources import files as file_source, reports, scanner_json
 from siftlines.streaming import rollup
@@ -301,6 +301,11 @@ def chunk_bounds(spark, sf_dir):
     return blocks.chunk_bounds(corpus.code_files(spark, sf_dir), 10)
 
 
+def segment_chunks(spark, sf_dir):
+    """As chunk_bounds, with every file in pieces of a few lines that are folded apart and chained."""
+    return segments.segment_chunks(segments.cut(corpus.code_files(spark, sf_dir), 8), 10)
+
+
 def chunk_findings(spark, sf_dir):
     files = corpus.code_files(spark, sf_dir)
     return chunks.tag_findings(scan.scan(files), blocks.chunk_bounds(files, 10)).select(
@@ -518,7 +523,7 @@ def all_queries() -> dict:
         cross_file_rules, top_risky_files, top_secret_documents, finding_snippets, finding_rows,
         line_counts, language_map, pruned_paths, line_windows, conversation_windows,
         group_overview, group_totals, summary_cleanup,
-        block_chunks, chunk_bounds, chunk_findings, chunk_remap, chunk_rollup, narrative,
+        block_chunks, chunk_bounds, segment_chunks, chunk_findings, chunk_remap, chunk_rollup, narrative,
         call_features, complexity, feature_json, prompt_text,
         file_results, nested_results, byte_files, folder_listing, merged_results, chunk_order, chunk_text, project_map, large_file_findings, large_file_table, large_file_totals, single_file_results,
         metric_rollup, modelled_energy, counter_delta, counter_totals, phase_durations, elapsed_series,

@@ -3,11 +3,15 @@
 import os
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftlines import session
 from siftlines.functions import lookups, text
 
+# Bytes of a piece of a file that is read in pieces.
+SEGMENT_BYTES = 32 << 20
+
 _LISTING = "path string, folder boolean"
 _CONTENT = "path string, raw binary, error string"
 
@@ -45,6 +49,46 @@ def read_folder(spark: SparkSession, root: str, recursive: bool = True, prune: b
     return kept.select("path", text.make_text(F.col("content")).alias("content"), "language")
 
 
+def _joined_lines(most: int):
+    """Lines of a byte range of a file, in order, as pieces of about ``most`` bytes."""
+    def join(batches):
+        at, held, size = None, [], 0
+
+        def piece():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at[0]]), pa.array([at[1] + at[2]], pa.int64()), pa.array([b"".join(held)], pa.binary())],
+                ["path", "seg", "raw"])
+
+        for batch in batches:
+            for path, block, line in zip(*(column.to_pylist() for column in batch.columns)):
+                if at is not None and (at[:2] != (path, block) or size >= most):
+                    yield piece()
+                    at, held, size = (path, block, at[2] + size) if at[:2] == (path, block) else None, [], 0
+                at = at or (path, block, 0)
+                held += [line, b"\n"]
+                size += len(line) + 1
+        if held:
+            yield piece()
+
+    return join
+
+
+def read_segments(spark: SparkSession, root: str, prune: bool = True, most: int = SEGMENT_BYTES) -> DataFrame:
+    """segments(path, language, seg, content) below a folder, for files too large for one row.
+
+    Byte ranges of a file (``spark.sql.files.maxPartitionBytes``) are read by different tasks; their lines are put
+    together to pieces of about ``most`` bytes where they were read.  ``seg`` rises along a file.  Names as in ``read_folder``.
+    """
+    reader = spark.read.option("lineSep", "\n").option("pathGlobFilter", _NAMES).option("recursiveFileLookup", True)
+    name = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", r"^[a-z0-9]+:/(//)?", "/"), F.lit("+"), F.lit("%2B")))
+    lines = reader.text(root).select(
+        name.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    pieces = lines.mapInArrow(_joined_lines(most), "path string, seg long, raw binary")
+    named = pieces.select("path", text.language_of(F.col("path")).alias("language"), "seg", text.make_text(F.col("raw")).alias("content"))
+    kept = named.where("language is not null")
+    return kept.where(kept_by_pruning(F.col("path"), root.split("://")[-1].replace("file:", ""))) if prune else kept
+
+
 def decoded_files(raw: DataFrame) -> DataFrame:
     """files(path, content, language, error) of raw(path, raw, error), without files of other kinds."""
     return raw.select(
