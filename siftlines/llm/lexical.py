@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siftlines.llm import common
 
@@ -132,8 +133,7 @@ def _search(docs: DataFrame, asked: list[list[bytes]], k: int, first_docs: int)
     """(item, rank, doc_id, score) of the items with these terms, which are numbered in order."""
     spark = docs.sparkSession
     numbers = {term: i for i, term in enumerate(sorted({t for some in asked for t in some}))}
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}[kind]
+    kind, arrow = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
     counted = common.table(docs.mapInArrow(
         _postings(numbers, arrow), f"doc_id {kind}, n long, terms array<int>, tfs array<long>"))
     n_docs, n_terms = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siftlines.llm import common
 
@@ -91,7 +92,10 @@ def frequent_from(counts: DataFrame, most: int = FREQUENT) -> int:
 
 
 class Vocabulary:
-    """The frequent words, the totals, and which words the model has a place for."""
+    """The frequent words, the totals, and which words the model has a place for.
+
+    Tasks get its ``parts``, plain arrays and numbers: a broadcast names the class of an object and does not hold it.
+    """
 
     def __init__(self, counts: DataFrame):
         totals = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).first()
@@ -115,6 +119,15 @@ class Vocabulary:
             self.class_prior = (np.log(of_class / of_class.sum()) + np.r_[empty, 0.0]).astype(np.float32)
             self.word_prior = np.log(within / np.maximum(within.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
+    def parts(self) -> dict:
+        return dict(vars(self))
+
+    @classmethod
+    def of(cls, parts: dict) -> "Vocabulary":
+        found = cls.__new__(cls)
+        vars(found).update(parts)
+        return found
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count (zero if not frequent) and place (-1 if outside the model) of each hash."""
         if not len(self.hashes):
@@ -193,7 +206,8 @@ def _trainer(shared):
     names = ["row", "used", *[f"d{i}" for i in range(WIDTH)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, classes, words = shared.value
+        parts, classes, words = shared.value
+        vocabulary = Vocabulary.of(parts)
         by_class, by_word = Trainer(classes), Trainer(words)
         for part in (part for batch in batches for part in common.slices(batch, 0)):
             hashes, code, _, place = sequence(part.column(0))
@@ -220,7 +234,7 @@ def _trainer(shared):
 def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Weights for classes and for words, ROWS x CLASSES and ROWS x WIDTH."""
     weights = np.zeros((2 * ROWS, WIDTH), np.float32)
-    run, schema = _trainer(docs.sparkSession.sparkContext.broadcast((vocabulary, weights[:ROWS], weights[ROWS:])))
+    run, schema = _trainer(docs.sparkSession.sparkContext.broadcast((vocabulary.parts(), weights[:ROWS], weights[ROWS:])))
     changes = docs.select(text_col).mapInArrow(run, schema).groupBy("row").agg(
         *[(F.sum(f"d{i}") / F.sum("used")).cast("float").alias(f"d{i}") for i in range(WIDTH)])
     found = changes.toPandas()
@@ -230,7 +244,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> tu
 
 def _scorer(shared, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, classes, words = shared.value
+        parts, classes, words = shared.value
+        vocabulary = Vocabulary.of(parts)
         below = np.log10(vocabulary.tokens + 1.0 * (vocabulary.words + 1))
         for batch in (part for whole in batches for part in common.slices(whole, 2)):
             n = batch.num_rows
@@ -279,8 +294,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     classes, words = train(taught, vocabulary, text_col)
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     field = slim.schema["doc_id"].dataType
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[field.simpleString()]
-    run = _scorer(docs.sparkSession.sparkContext.broadcast((vocabulary, classes, words)), kind)
+    kind = to_arrow_type(field)
+    run = _scorer(docs.sparkSession.sparkContext.broadcast((vocabulary.parts(), classes, words)), kind)
     parts = common.table(slim.mapInArrow(
         run, f"row long, doc_id {field.simpleString()}, word long, n long, known long, base double, score double"))
     below = F.lit(float(np.log10(vocabulary.tokens + 1.0 * (vocabulary.words + 1))))

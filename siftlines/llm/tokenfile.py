@@ -11,6 +11,7 @@ Null texts are empty and hold only the end id; null ids come first; rows with th
 in the order of their texts' hashes; an empty table gives files without pages and an empty result.
 """
 
+import json
 import os
 import re
 from array import array
@@ -44,6 +45,24 @@ SIGNS = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in
 MARKED = re.compile(rb"(" + _LETTERS + rb")([!-&(-/:-@\[-`{-~]+)")
 
 
+#: How a vocabulary has to prepare texts for its words to be encoded apart.
+WORDWISE = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+
+
+def wordwise(vocabulary: dict) -> bool:
+    """Whether words can be encoded apart: ``WORDWISE``, plain merges, and no added token that is changed or holds white space."""
+    model, added = vocabulary["model"], vocabulary["added_tokens"]
+    return ((vocabulary["normalizer"], vocabulary["pre_tokenizer"]) == WORDWISE and model["type"] == "BPE"
+            and model["end_of_word_suffix"] == "</w>" and not model["dropout"]
+            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added))
+
+
 def encode_block(values: np.ndarray) -> bytes:
     """One block: 4 header words (count, minimum, width, exceptions), packed differences, exceptions."""
     least = int(values.min())
@@ -87,9 +106,19 @@ def encoder(path: str):
     marks after plain letters are tokens of their own.  So each different word, and each different half of such a marked
     word, is encoded once as long as it is remembered: since the last or the last but one time that ``REMEMBERED`` were.
     A word of plain letters is one piece for the vocabulary's merges, which are asked for it without the steps before.
+
+    All this holds for ``WORDWISE`` vocabularies; another one's texts go through the library as they are.  So does a text that spells a
+    special token in letters that are not all small: the library looks for those before it changes the case.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core's work
     tokenizer = Tokenizer.from_file(path)
+    whole = lambda text: np.array(
+        [*tokenizer.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
+    if not wordwise(json.loads(tokenizer.to_str())):
+        return lambda texts: [whole((text or "").encode("utf-8", "replace").decode()) for text in texts]
+    signs = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    special = re.compile("|".join(map(re.escape, signs)) or "(?!)", re.IGNORECASE)
+    hint = os.path.commonprefix(signs)[:1].encode()  # a byte looked for first; empty: all texts are looked through
     merge = tokenizer.model.tokenize
     recent: dict[bytes, bytes] = {}
     before: dict[bytes, bytes] = {}
@@ -99,7 +128,9 @@ def encoder(path: str):
         nonlocal recent, before
         if len(recent) > REMEMBERED:
             recent, before = {}, recent
-        split = [(text or "").encode("utf-8", "replace").lower().split() for text in texts]
+        texts = [(text or "").encode("utf-8", "replace") for text in texts]
+        odd = {i for i, text in enumerate(texts) if hint in text and special.search(text.decode())}
+        split = [[] if i in odd else text.lower().split() for i, text in enumerate(texts)]
         new, letters, cut = set(), set(), []
         for word in set().union(*split).difference(recent):
             if word in before:
@@ -123,7 +154,8 @@ def encoder(path: str):
                 word.decode().lower().encode().decode("latin-1").translate(SIGNS))]).tobytes()
         recent.update((word, recent[stem] + recent[marks]) for word, stem, marks in cut)
         look = recent.__getitem__
-        return [np.frombuffer(b"".join(map(look, words)) + end, "<u4") for words in split]
+        return [whole(texts[i].decode()) if i in odd else np.frombuffer(b"".join(map(look, words)) + end, "<u4")
+                for i, words in enumerate(split)]
 
     return encode
 

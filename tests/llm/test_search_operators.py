@@ -208,3 +208,41 @@ def test_lexical_search(spark, small, monkeypatch):
         how = dict(item_terms=20, first_docs=5, k=7)
     found = lexical.search(spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame(items, "item_id long, text string"), **how)
     assert Counter((r.item_id, r["rank"], r.doc_id, r.score) for r in found.collect()) == lexical_results(rows, items, how.get("k", lexical.K))
+
+
+def test_special_tokens_in_any_case_and_other_vocabularies(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from siftlines.llm import tokenfile
+    from siftlines.llm.registry import TOKENIZER
+    texts = ["a <|endoftext|> b", "a <|ENDOFTEXT|> b", "x<|EndOfText|>Y", "<|startoftext|>", "< | >", "<|endoftext", None, "It's ÄRGER, 12!"]
+    for path in (TOKENIZER, str(tmp_path / "other.json")):
+        spec = json.load(open(TOKENIZER))
+        if path != TOKENIZER:  # words can no longer be told apart
+            spec["normalizer"] = {"type": "NFC"}
+            json.dump(spec, open(path, "w"))
+        assert tokenfile.wordwise(spec) == (path == TOKENIZER)
+        library = Tokenizer.from_file(path)
+        expected = [[*library.encode(t or "", add_special_tokens=False).ids, tokenfile.END_ID] for t in texts]
+        assert [x.tolist() for x in tokenfile.encoder(path)(texts)] == expected
+
+
+@pytest.mark.parametrize("kind", ["smallint", "date"])
+def test_ids_of_any_type(spark, kind):
+    from siftlines.llm import lm
+    docs = spark.range(1, 40).select((F.col("id").cast("smallint") if kind == "smallint" else F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int"))).alias("doc_id"),
+                                     F.concat(F.lit("one two "), F.col("id").cast("string")).alias("text"))
+    assert lm.scores(docs).count() == 39
+    items = spark.createDataFrame([(1, "two 17")], "item_id long, text string")
+    assert lexical.search(docs, items).where("rank = 1").select("doc_id").first()[0] == docs.where("text = 'one two 17'").first()[0]
+
+
+def test_what_tasks_get_does_not_name_the_package():
+    import pickle
+
+    from siftlines.llm import lm
+    parts = lm.Vocabulary.of({"hashes": np.array([1], np.uint64), "n": np.array([2]), "place": np.array([0])}).parts()
+    assert b"siftlines" not in pickle.dumps(parts)
+    assert lm.Vocabulary.of(parts).find(np.array([1, 5], np.uint64))[0].tolist() == [2, 0]
