@@ -32,7 +32,16 @@ def unicode_regex(pattern: str) -> str:
     (it leaves out superscript digits and adds combining marks).  An escaped
     backslash before such a letter is no class.
     """
-    return re.sub(r"\\(.)", lambda m: _CLASSES.get(m[1], m[0]), pattern, flags=re.DOTALL).replace("(?P<", "(?<")
+    def spelled(m):
+        if m[1] == "b":  # next to a letter of the pattern only the other side is open, and the letter is quicker to look for
+            after, before = pattern[m.end():m.end() + 2], pattern[max(m.start() - 2, 0):m.start()]
+            if re.match(r"[A-Za-z0-9_](?![?*{])", after):
+                return f"(?={after[0]})(?<!{_WORD})"
+            if re.search(r"(?<!\\)[A-Za-z0-9_]\Z", before):
+                return f"(?!{_WORD})"
+        return _CLASSES.get(m[1], m[0])
+
+    return re.sub(r"\\(.)", spelled, pattern, flags=re.DOTALL).replace("(?P<", "(?<")
 
 
 def strip(text: Column) -> Column:

@@ -11,6 +11,10 @@ from siftlines.functions.classify import category, dashboard_severity, display_s
 from siftlines.operators import lines
 
 
+# Bits of the map of lines that are looked up: 16 MB when full, whatever the number of findings.
+MARK_BITS = 1 << 26
+
+
 def found_order() -> Column:
     return F.struct("file", "rule_ord", "line")
 
@@ -115,13 +119,32 @@ def top_files(scores: DataFrame, limit: int = 5) -> DataFrame:
     return scores.orderBy(F.desc("risk_score"), "file").limit(limit)
 
 
+def _mark(file: Column, line: Column) -> Column:
+    """The bit of a (file, line) in a map of ``MARK_BITS`` bits."""
+    return F.pmod(F.xxhash64(file, line.cast("long")), F.lit(MARK_BITS))
+
+
+def wanted_lines(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """lines(file, line, text) that findings point to, and a few more: those whose bit another line has set.
+
+    The bits are at most ``MARK_BITS`` / 64 words, so they are broadcast; a line is tested in the task that cut it
+    from its file and goes no further if its bit is not set.
+    """
+    slot = F.col("slot")
+    marks = (findings.select(_mark(F.col("file"), F.col("line")).alias("slot"))
+             .groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")))
+    cut = lines.reader_lines(files).select(F.col("path").alias("file"), "line", "text", _mark(F.col("path"), F.col("line")).alias("slot"))
+    return (cut.join(F.broadcast(marks), F.shiftright(slot, 6) == F.col("word"))
+            .where("shiftright(bits, cast(slot & 63 as int)) & 1 = 1").select("file", "line", "text"))
+
+
 def line_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
     """The source line of every finding, '' when the file has no such line.
 
-    Of a line only what is shown moves; no file's contents do.
+    Lines that no finding points to stay where they are, and of the others only what is shown moves.  ``findings`` is read twice.
     """
-    shown = lines.reader_lines(files).select(
-        F.col("path").alias("file"), "line", text.snippet(F.col("text"), lookups.LOOKUP_SNIPPET_CHARS).alias("source_line"))
+    shown = wanted_lines(findings, files).select(
+        "file", "line", text.snippet(F.col("text"), lookups.LOOKUP_SNIPPET_CHARS).alias("source_line"))
     return findings.join(shown, ["file", "line"], "left").withColumn(
         "source_line", F.coalesce("source_line", F.lit("")))
 

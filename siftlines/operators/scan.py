@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftlines import session
 from siftlines.functions import catalog, lookups, text
 from siftlines.functions.catalog import Rule
 from siftlines.operators import lines as line_ops
@@ -24,6 +25,10 @@ _GATE = """
 BROADCAST_RULE_BYTES = 32 << 20
 # Rules one row of a prepared rule table holds, on average.
 BATCH_RULES = 64
+# Characters of a run of the rule index; its runs are counted on one line in so many.
+GRAM = 3
+SAMPLE_EVERY = 16
+
 
 def _ignores_case(language: str) -> bool:
     return language == "java"
@@ -107,8 +112,9 @@ def scan(files: DataFrame, rules: list[Rule] | DataFrame | None = None) -> DataF
 def _prepared(batches):
     for batch in batches:
         rows = [_translated(*row) for row in zip(batch["language"], batch["pattern"], batch["exclude"])]
+        batch["literals"] = [[] if row[2] else required_literals(pattern) for row, pattern in zip(rows, batch["pattern"])]
         batch["pattern"], batch["exclude"], batch["error"] = zip(*rows) if rows else ([], [], [])
-        yield batch
+        yield batch[["rule_id", "language", "ord", "severity", "message", "pattern", "exclude", "literals", "error"]]
 
 
 def _translated(language, pattern, exclude):
@@ -136,7 +142,8 @@ def prepared_rules(rules: DataFrame) -> DataFrame:
     named = rules.select("rule_id", language.alias("language"), F.col("ord").cast("int").alias("ord"), "severity",
                          "message", "pattern", "exclude")
     return named.mapInPandas(_prepared, "rule_id string, language string, ord int, severity string, message string, "
-                                        "pattern string, exclude array<string>, error string")
+                                        "pattern string, exclude array<string>, literals array<array<string>>, error string"
+                             ).select("rule_id", "language", "ord", "severity", "message", "pattern", "exclude", "literals", "error")
 
 
 def rule_errors(rules: DataFrame) -> DataFrame:
@@ -175,12 +182,17 @@ def scan_with_rule_table(files: DataFrame, rules: DataFrame, salts: int | None =
         text.snippet(F.col("hit.text"), lookups.SCAN_SNIPPET_CHARS).alias("snippet"), F.col("hit.ord").alias("rule_ord"))
 
 
+def _matches(line: Column, pattern: Column) -> Column:
+    """``rlike`` for patterns in a column: this function compiles one only when it differs from the last."""
+    return F.regexp_instr(line, pattern) > 0
+
+
 def _rule_hits(lines: Column) -> Column:
     """Hits of the column ``rules`` on an array of lines, the first of each rule and line."""
     def tried(numbered):
         def one(rule):
-            hit = lambda x: F.rlike(x["text"], rule["pattern"]) & ~F.exists(
-                rule["exclude"], lambda p: F.rlike(x["text"], p))
+            hit = lambda x: _matches(x["text"], rule["pattern"]) & ~F.exists(
+                rule["exclude"], lambda p: _matches(x["text"], p))
             return F.transform(F.filter(numbered, hit), lambda x: F.struct(
                 rule["rule_id"].alias("rule_id"), x["line"].alias("line"), rule["ord"].alias("ord"),
                 rule["message"].alias("message"), rule["severity"].alias("severity"), x["text"].alias("text")))
@@ -195,6 +207,102 @@ def _rule_hits(lines: Column) -> Column:
     return text.let(text.let(numbered, tried), first)
 
 
+def _literals(parsed, whole: list, run: str = "") -> str:
+    """Collects in ``whole`` what every match holds, as lists of alternatives; gives the run of characters that is still going on."""
+    def end(run):
+        if len(run) >= GRAM:
+            whole.append([run])
+        return ""
+
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            run = run + chr(value).lower() if value < 128 else end(run)
+        elif name == "SUBPATTERN":
+            run = _literals(value[-1], whole, run)
+        elif name in ("AT", "ASSERT_NOT", "ASSERT"):
+            continue  # takes up no characters
+        else:
+            run = end(run)
+            if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                end(_literals(value[2], whole))
+            elif name == "ATOMIC_GROUP":
+                end(_literals(value, whole))
+            elif name == "BRANCH":
+                each = []
+                for branch in value[1]:
+                    own: list = []
+                    rest = _literals(branch, own)
+                    each.append(max([alternatives for alternatives in own + ([[rest]] if len(rest) >= GRAM else [])],
+                                    key=lambda a: min(map(len, a)), default=None))
+                if all(each):
+                    whole.append([literal for alternatives in each for literal in alternatives])
+    return run
+
+
+def required_literals(pattern: str) -> list[list[str]]:
+    """Texts of at least ``GRAM`` ASCII characters, in small letters: of each list every match of the pattern holds one."""
+    whole: list[list[str]] = []
+    rest = _literals(re._parser.parse(pattern), whole)
+    return whole + ([[rest]] if len(rest) >= GRAM else [])
+
+
+def _grams(folded: Column) -> Column:
+    """The different runs of ``GRAM`` characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), 1))
+
+
+def _folded(line: Column) -> Column:
+    return F.lower(F.translate(line, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def _index(rules: DataFrame, lines: DataFrame) -> DataFrame:
+    """(language, gram, rule): under which runs of a line each rule with literals is tried."""
+    # A rule's lists of alternatives, and the runs of each alternative.
+    lists = rules.select("language", "rule", F.posexplode("rule.literals").alias("nth", "alternatives"))
+    runs = lists.select("language", "rule", "nth", F.posexplode("alternatives").alias("branch", "literal")).select(
+        "language", "rule", "nth", "branch", F.explode(_grams(F.col("literal"))).alias("gram"))
+    some = lines.where(F.pmod(F.xxhash64("path", "line"), F.lit(SAMPLE_EVERY)) == 0)
+    counts = some.select("language", F.explode(_grams(_folded(F.col("text")))).alias("gram")).join(
+        runs.select("language", "gram").distinct(), ["language", "gram"]).groupBy("language", "gram").agg(F.count("*").alias("n"))
+    counted = runs.join(counts, ["language", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("language", "rule", "nth", "branch").agg(F.min(F.struct("n", "gram")).alias("best"))
+    of_list = rarest.groupBy("language", "rule", "nth").agg(F.sum("best.n").alias("n"), F.collect_set("best.gram").alias("grams"))
+    chosen = of_list.groupBy("language", "rule").agg(F.min_by("grams", F.struct("n", "nth")).alias("grams"))
+    return chosen.select("language", F.explode("grams").alias("gram"), "rule")
+
+
+def scan_with_rule_index(files: DataFrame, rules: DataFrame, keep=None) -> DataFrame:
+    """Findings of a rule table, those of ``scan_with_rule_table``, for tables of thousands of rules.
+
+    Every match of most rules holds some literal text.  Of its runs of ``GRAM`` characters the rarest (counted on one line in
+    ``SAMPLE_EVERY``; which it is changes no finding) is the rule's entry in an inverted index; a rule of alternatives has one for
+    each.  The runs of every line meet the index, and a rule is tried only on lines that hold its run.  The planner broadcasts the index
+    if it is small enough.  Rules without such a text go the way of ``scan_with_rule_table``.
+    """
+    keep = keep or session.Run(files.sparkSession).keep
+    rule = F.struct("rule_id", "ord", "severity", "message", "pattern", "exclude", "literals").alias("rule")
+    usable = keep(prepared_rules(rules).where("error is null").select("language", rule))
+    lines = line_ops.scan_lines(files, "language")
+    index = keep(_index(usable.where(F.size("rule.literals") > 0), lines))
+    folded = lines.withColumn("folded", _folded(F.col("text")))
+    met = folded.select("path", "language", "line", "text", "folded", F.explode(_grams(F.col("folded"))).alias("gram")).join(
+        index, ["language", "gram"])
+    whole = F.forall("rule.literals", lambda each: F.exists(each, lambda literal: F.contains(F.col("folded"), literal)))
+    # In the order of rules, so that a task compiles each of their patterns once.
+    met = met.where(whole).drop("folded", "gram").sortWithinPartitions("rule.pattern")
+    hit = _matches(F.col("text"), F.col("rule.pattern")) & ~F.exists("rule.exclude", lambda p: _matches(F.col("text"), p))
+    first = F.min_by(F.struct("rule.severity", "rule.message", "text"), F.col("rule.ord"))
+    found = met.where(hit).groupBy(F.col("rule.rule_id").alias("check_id"), F.col("path").alias("file"), "line").agg(
+        first.alias("f"), F.min("rule.ord").alias("rule_ord")).select(
+        "check_id", "file", "line", "f.message", "f.severity",
+        text.snippet(F.col("f.text"), lookups.SCAN_SNIPPET_CHARS).alias("snippet"), "rule_ord")
+    # All rows of one rule go the same way, so that the smallest ``ord`` is found.
+    plain = rules.join(usable.where(F.size("rule.literals") == 0).select("rule.rule_id").distinct(), "rule_id", "left_semi")
+    return found.join(plain.select(F.col("rule_id").alias("check_id")).distinct(), "check_id", "left_anti").unionByName(
+        scan_with_rule_table(files, plain))
+
+
 def first_found(primary: DataFrame, scanned: DataFrame) -> DataFrame:
     """Findings of another scanner, plus ``scanned`` for every file it found nothing in."""
     rest = scanned.join(primary.select("file").distinct(), "file", "left_anti")

@@ -96,13 +96,20 @@ def _pick(table: dict, language: Column, index: Column) -> Column:
     return chosen
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+#: Partitions that documents are dealt to before anything is made of them; None: as they lie.  Of a table with one row group
+#: only one task reads, so a caller that has more cores says so here or with ``partitions``; real tables have row groups enough.
+PARTITIONS: int | None = None
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    wanted = partitions or PARTITIONS
+    return docs.repartition(wanted) if wanted else docs
+
+
+def code_files(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """files(path, content, language) with code in every file."""
-    docs = documents(spark, sf_dir)
+    docs = documents(spark, sf_dir, partitions)
     language = F.element_at(F.array(*[F.lit(x) for x in LANGUAGE_ORDER]), (F.col("doc_id") % 4 + 1).cast("int"))
     suffix = F.element_at(F.array(*[F.lit(SUFFIX[x]) for x in LANGUAGE_ORDER]), (F.col("doc_id") % 4 + 1).cast("int"))
     digit = lambda step: F.floor(F.col("doc_id") / step) % 5

@@ -91,6 +91,22 @@ def scan_rule_table(spark, sf_dir):
     return scan.scan(corpus.code_files(spark, sf_dir), rules).select(*FINDING)
 
 
+def _word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every word of the benchmark items, beside the user's rules."""
+    word = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]{4,}"), 0)).alias("word")
+    words = _read(spark, sf_dir, "benchmark").select(word).distinct()
+    rules = words.select(F.concat(F.lit("word."), "word").alias("rule_id"), F.lit("shared").alias("language"), F.lit(20).alias("ord"),
+                         F.lit("INFO").alias("severity"), F.concat(F.lit("Word "), "word", F.lit(".")).alias("message"),
+                         F.concat(F.lit(r"\b"), "word", F.lit(r"\b")).alias("pattern"))
+    return rules.unionByName(spark.createDataFrame(USER_RULES, USER_RULES_SCHEMA))
+
+
+def scan_many_rules(spark, sf_dir):
+    """Hits of a rule table with a rule for each of many words."""
+    return scan.scan_with_rule_index(corpus.code_files(spark, sf_dir), _word_rules(spark, sf_dir)).select(
+        "check_id", "file", "line", "severity")
+
+
 def pattern_and_not(spark, sf_dir):
     files = corpus.guarded_files(spark, sf_dir)
     chosen = [r for r in catalog.rule_file_rules() if r.exclude]
@@ -227,7 +243,7 @@ def top_secret_documents(spark, sf_dir):
 
 def finding_snippets(spark, sf_dir):
     files = corpus.code_files(spark, sf_dir)
-    found = _found(spark, sf_dir).withColumn("line", F.col("line") + F.when(F.col("severity") == "INFO", 500).otherwise(0))
+    found = _kept(spark, sf_dir).withColumn("line", F.col("line") + F.when(F.col("severity") == "INFO", 500).otherwise(0))
     return find.line_snippets(found, files).select("check_id", "file", "line", "source_line")
 
 
@@ -516,7 +532,7 @@ def stream_rollup(spark, sf_dir):
 
 def all_queries() -> dict:
     named = [
-        scan_secrets, scan_all_rules, scan_rule_file, scan_rule_table, pattern_and_not, scan_html_lines,
+        scan_secrets, scan_all_rules, scan_rule_file, scan_rule_table, scan_many_rules, pattern_and_not, scan_html_lines,
         rule_coverage, sequence_rules, fallback_when_empty, json_findings, bulk_json_findings,
         classify_messages, classify_lines, category_join, dedup_findings, new_findings,
         risk_severity_first, risk_density, severity_counts, dashboard_counts, category_counts, top_categories,

@@ -122,6 +122,15 @@ def test_line_snippets(files, found):
     assert got == {0: "", 2: "two " + "x" * 96, 3: "three", 4: ""}
 
 
+def test_only_lines_with_findings_leave_their_files(files, found):
+    code = files(*[(f"f{i}", "\n".join(f"line {j}" for j in range(500))) for i in range(20)])
+    pointed = found(*[row(file=f"f{i}", line=7 * i + 1) for i in range(0, 20, 2)])
+    kept = find.wanted_lines(pointed, code)
+    assert 10 <= kept.count() <= 12  # of 10,000
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_finding_row(one):
     got = one(classify.finding_row(F.lit(17), F.lit("ERROR"), F.lit("[CWE-89] " + "y" * 70), F.lit("go"), "  "))
     cwe = " (CWE-89)"

@@ -145,3 +145,31 @@ def test_fallback_only_for_files_without_findings(spark, files):
                                     "check_id string, file string, line int, message string, severity string, snippet string")
     assert hits(scan.with_fallback(code, primary)) == {
         ("other", "a.py", 9), ("fallback.py.code-eval", "b.py", 1)}
+
+
+def test_required_literals():
+    needs = scan.required_literals
+    assert needs(r"\beval\s*\(") == [["eval"]]
+    assert needs(r"(print|eval)\s*\(") == [["print", "eval"]]
+    assert needs(r"a(?:bcd)+Defx") == [["bcd"], ["defx"]]
+    assert needs(r"(?i)PassWord\s*=") == [["password"]]
+    assert needs(r"x?abc(?!def)ghi") == [["abcghi"]]
+    assert needs(r"(ab|cde)x") == [] and needs(r"\d{4}|abcd") == [] and needs("(abcd)?") == [] and needs("[abc]{3}") == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rule_index_finds_what_the_table_finds(spark, files, seed):
+    import random
+    pick = random.Random(seed)
+    words = ["eval", "Token", "print", "kelvin", "straße", "sub", "İx", "passé", "obj", "load"]
+    patterns = [r"\b{}\s*\(", r"(?:{}|{})\.x", r"{}=\d+", r"\d{{2}}", r"[{}]{{2}}", r"({})+{}", r"(?i){}", "(", r"{}(?!\()"]
+    rules = [(f"r{i}", pick.choice(["python", "java", "shared"]), j, pick.choice(["INFO", "ERROR"]), f"m{i}{j}", pick.choice(patterns).format(
+        *pick.sample(words, 2)), pick.choice([None, ["kelvin"], []])) for i in range(60) for j in range(pick.randint(1, 2))]
+    table = spark.createDataFrame(rules, "rule_id string, language string, ord int, severity string, message string, pattern string, "
+                                         "exclude array<string>")
+    code = files(*[(f"f{i}.{pick.choice(['py', 'java', 'c'])}", "\n".join(
+        "".join(pick.choice([*words, "EVAL", "Kelvin", "paſſé", "(", ".x", "=12", " "]) for _ in range(pick.randint(0, 8)))
+        for _ in range(12))) for i in range(25)])
+    found = lambda df: sorted(tuple(r) for r in df.select("check_id", "file", "line", "message", "severity", "snippet", "rule_ord").collect())
+    expected = found(scan.scan_with_rule_table(code, table))
+    assert expected and found(scan.scan_with_rule_index(code, table)) == expected
