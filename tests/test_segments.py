@@ -39,7 +39,7 @@ def rows(df):
 
 @pytest.mark.parametrize("size", [2])
 def test_pieces_give_the_blocks_of_the_whole(spark, files, size, tmp_path):
-    code = files(*made(120, 5), ("empty.py", ""), ("one.js", "function f() {")).cache()
+    code = files(*made(60, 5), ("empty.py", ""), ("one.js", "function f() {")).cache()
     with session.Run(spark, str(tmp_path)) as run:
         got = segments.segment_chunks(segments.cut(code, size), 7, keep=run.keep)
         assert rows(got) == rows(blocks.chunk_bounds(code, 7))
@@ -68,13 +68,13 @@ def test_byte_ranges_of_files_are_read_by_several_tasks(spark, tmp_path):
     for i, (path, content) in enumerate(made(4, 9)):
         kind = path.rsplit(".", 1)[1]
         pick = random.Random(i)
-        lines = [pick.choice(LINES[kind]) for _ in range(700)]
+        lines = [pick.choice(LINES[kind]) for _ in range(300)]
         (root / "sub dir" / f"f+{i}.{kind}").write_text("\n".join(lines), encoding="utf-8", newline="")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
-        pieces = file_source.read_segments(spark, str(root), most=250)
+        pieces = file_source.read_segments(spark, str(root), most=120)
         assert pieces.rdd.getNumPartitions() > 30
         assert pieces.groupBy("path").count().where("count > 12").count() == 4
         with session.Run(spark, str(tmp_path / "run")) as run:
