@@ -35,7 +35,7 @@ def line_rules() -> list[Rule]:
             for rule_id, severity, anchor, pattern, message in rows]
 
 
-def _rule_file_rows():
+def rule_file_rows():
     for language, rows in [("python", values.RULE_FILE_PYTHON), ("c", values.RULE_FILE_C),
                            ("java", values.RULE_FILE_JAVA), ("javascript", values.RULE_FILE_JAVASCRIPT)]:
         for row in rows:
@@ -60,7 +60,7 @@ def rule_file_rules() -> list[Rule]:
     """
     by_id = {r.rule_id: r for r in line_rules()}
     rules = []
-    for language, (rule_id, severity, _, _, _, message, patterns, exclude) in _rule_file_rows():
+    for language, (rule_id, severity, _, _, _, message, patterns, exclude) in rule_file_rows():
         for pattern in patterns:
             known = by_id.get(pattern)
             rules.append(Rule(rule_id, language, severity, message,
@@ -71,7 +71,7 @@ def rule_file_rules() -> list[Rule]:
 
 def sequence_rules() -> dict[str, tuple[str, str]]:
     """id -> (severity, message) of the rules that span several statements."""
-    return {row[0]: (row[1], row[5]) for _, row in _rule_file_rows() if not row[6]}
+    return {row[0]: (row[1], row[5]) for _, row in rule_file_rows() if not row[6]}
 
 
 def for_language(rules: list[Rule], language: str) -> list[Rule]:
@@ -93,7 +93,7 @@ def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 def rule_file_table(spark: SparkSession) -> DataFrame:
     """All 130 rules of the rule file with their metadata."""
     rows = []
-    for language, (rule_id, severity, cwe, kind, owasp, message, patterns, exclude) in _rule_file_rows():
+    for language, (rule_id, severity, cwe, kind, owasp, message, patterns, exclude) in rule_file_rows():
         clauses = [("pattern", p) for p in patterns] + [("pattern-not", p) for p in exclude]
         rows.append((rule_id, [language], severity, message, clauses, (kind, cwe, owasp)))
     return spark.createDataFrame(rows, schema.RULE_FILE)

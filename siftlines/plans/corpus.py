@@ -134,6 +134,27 @@ def guarded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "\n", "content", _pick(GUARDED, F.col("language"), F.floor(number / 4) % 4)))
 
 
+# Calls over several lines: those that rules on calls hit, those that they spare, what only looks like one.
+SPREAD = {
+    "python": ['db.execute(\n    query\n    + name,\n)', "subprocess.run(\n    [tool,\n     'a'],\n    shell=True)",
+               'db.execute("a"\n           + "b")', "# open(\n#   name)\ntext = 'open('\nx = (1,\n     2)",
+               "print(requests.get(\n    url(a, 'b'),  # a, (b\n    timeout=3))"],
+    "javascript": ['pool.query("select " +\n  id,\n  done);', "fetch(\n  base + path,\n  { method: 'GET' });",
+                   "setTimeout(() => {\n  tick();\n}, 5);", "fetch('/a',\n  { method: 'GET' });",
+                   "app.listen(port, () => {\n  pool.query(`select ${id}`,\n    done);\n});"],
+    "java": ["run(a,\n  b);", "int a = 1;", "int b = 1;", "int c = 1;", "int d = 1;"],
+    "c": ["memcpy(dst,\n  src,\n  sizeof(src));", "memcpy(dst,\n  src,\n  sizeof(dst));", "void strcpy(char *a,\n  char *b);",
+          'printf("%d"\n  "%d");', "p = malloc(n\n  * m);"],
+}
+
+
+def spread_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code corpus with a call over several lines, or something like it, at the end of each file."""
+    number = F.regexp_extract("path", r"/f(\d+)\.", 1).cast("long")
+    return code_files(spark, sf_dir).withColumn("content", F.concat_ws(
+        "\n", "content", _pick(SPREAD, F.col("language"), F.floor(number / 4) % 5)))
+
+
 def prose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as they are, as JavaScript and as Java files."""
     docs = documents(spark, sf_dir).select(

@@ -132,6 +132,38 @@ def _over_found(select: str, *more: str) -> str:
     return _with(*_found(), *more) + select
 
 
+# Calls over several lines, spelled for this engine: rule, language, pattern of the whole call.
+_SPREAD_CALLS = [
+    ("python-sqli-string-concat", "python", r"\w+\.execute\(\s*\w+\s*\+\s*\w+\s*,?\s*\)"),
+    ("python-command-injection-run", "python", r"subprocess\.run\(\s*\[[^\]]*\],\s*shell=True\s*\)"),
+    ("python-ssrf-requests", "python", r"requests\.get\(\s*\w+\([^()]*\),[^\n]*\n[^()]*\)"),
+    ("js-sqli-query-concat", "javascript", r"\w+\.query\((?:\"[^\"]*\"\s*\+\s*\w+|`[^`]*\$\{[^`]*`),\s*\w+\s*\)"),
+    ("js-ssrf-fetch", "javascript", r"fetch\(\s*\w[^()]*\)"),
+    ("c-memcpy-no-bounds", "c", r"memcpy\(dst,\s*src,\s*sizeof\(src\)\)"),
+    ("c-integer-overflow-malloc", "c", r"malloc\(\w+\s*\*\s*\w+\)"),
+]
+
+
+def _spread_calls() -> str:
+    about = {row[0]: (row[1], row[5]) for _, row in catalog.rule_file_rows()}
+    marked = " UNION ALL ".join(
+        f"SELECT {q(rule)} AS check_id, {q(about[rule][0])} AS severity, {q(about[rule][1])} AS message, path AS file, "
+        f"string_split(regexp_replace(content, {q(pattern)}, chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts "
+        f"FROM plain_files WHERE language = {q(language)} AND regexp_matches(content, {q(pattern)})"
+        for rule, language, pattern in _SPREAD_CALLS)
+    return f"""
+spread_files AS (
+  SELECT path, language, content || chr(10) || {_pick(corpus.SPREAD, "((CAST(regexp_extract(path, '/f([0-9]+)', 1) AS BIGINT) // 4) % 5)")} AS content
+  FROM code_files),
+plain_files AS MATERIALIZED (SELECT path, language, regexp_replace(content, {q(_BREAKS)}, chr(10), 'g') AS content FROM spread_files),
+marked AS ({marked}),
+numbered AS (SELECT *, unnest(range(1, len(parts))) AS n FROM marked),
+hits AS (
+  SELECT check_id, file, message, severity, string_split(parts[n + 1], chr(2))[1] AS call, array_to_string(parts[1:n], '') AS before,
+         CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS INTEGER) AS line
+  FROM numbered)"""
+
+
 # expressions ----------------------------------------------------------------------
 
 def _weakness(m: str) -> str:
@@ -662,6 +694,10 @@ catalogue AS ({coverage}),
 hits AS (SELECT check_id, count(*) AS n FROM (SELECT DISTINCT check_id, file, line FROM matched) GROUP BY check_id)""") + """
 SELECT check_id, severity, kind, cwe, language, coalesce(n, 0) AS n_findings FROM catalogue LEFT JOIN hits USING (check_id)"""
     sql["sequence_rules"] = _sequence()
+    sql["call_rules"] = _with(_code_files(), _spread_calls()) + f"""
+SELECT check_id, file, line, CAST(line + length(call) - length(replace(call, chr(10), '')) AS INTEGER) AS last_line, message, severity,
+       substring(regexp_replace(call, '{_S}+', ' ', 'g'), 1, {lookups.SCAN_SNIPPET_CHARS}) AS snippet
+FROM hits WHERE contains(call, chr(10))"""
     # The same rows as with NOT EXISTS over a second scan of all files, which this engine works out for each row.
     sql["fallback_when_empty"] = _over_found(f"""
 SELECT {_FINDING} FROM (SELECT *, bool_or(severity = 'ERROR') OVER (PARTITION BY file) AS covered FROM found)

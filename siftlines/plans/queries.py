@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftlines import session
 from siftlines.functions import catalog, classify, summary, text
-from siftlines.operators import (blocks, chunks, features, findings as find, lines, metrics, overview, scan,
+from siftlines.operators import (blocks, calls, chunks, features, findings as find, lines, metrics, overview, scan,
                                  score, segments, sequence)
 from siftlines.plans import audits, corpus
 from siftlines.sources import files as file_source, reports, scanner_json
@@ -135,6 +135,12 @@ def sequence_rules(spark, sf_dir):
     return sequence.sequence_findings(corpus.code_files(spark, sf_dir)).select(*FINDING)
 
 
+def call_rules(spark, sf_dir):
+    """Calls over several lines that the rule file's rules on calls hit."""
+    return calls.call_findings(corpus.spread_files(spark, sf_dir)).select(
+        "check_id", "file", "line", "last_line", "message", "severity", "snippet")
+
+
 def fallback_when_empty(spark, sf_dir):
     primary = _primary(_found(spark, sf_dir))
     return scan.with_fallback(corpus.code_files(spark, sf_dir), primary).select(*FINDING)
@@ -533,7 +539,7 @@ def stream_rollup(spark, sf_dir):
 def all_queries() -> dict:
     named = [
         scan_secrets, scan_all_rules, scan_rule_file, scan_rule_table, scan_many_rules, pattern_and_not, scan_html_lines,
-        rule_coverage, sequence_rules, fallback_when_empty, json_findings, bulk_json_findings,
+        rule_coverage, sequence_rules, call_rules, fallback_when_empty, json_findings, bulk_json_findings,
         classify_messages, classify_lines, category_join, dedup_findings, new_findings,
         risk_severity_first, risk_density, severity_counts, dashboard_counts, category_counts, top_categories,
         cross_file_rules, top_risky_files, top_secret_documents, finding_snippets, finding_rows,
