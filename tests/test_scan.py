@@ -173,3 +173,23 @@ def test_rule_index_finds_what_the_table_finds(spark, files, seed):
     found = lambda df: sorted(tuple(r) for r in df.select("check_id", "file", "line", "message", "severity", "snippet", "rule_ord").collect())
     expected = found(scan.scan_with_rule_table(code, table))
     assert expected and found(scan.scan_with_rule_index(code, table)) == expected
+
+
+def test_rule_index_of_whole_words(spark, files):
+    assert scan.required_words(r"\bToken\b") == ["token"] and scan.required_words(r"\bstraße\b") == ["straße"]
+    assert scan.required_words(r"a-foo-bar\b") == ["foo"] and scan.required_words(r"ab\bcd\b") == ["cd"]
+    assert scan.required_words(r"\b(print|eval)\s*\(") == [] and scan.required_words(r"\bdate(s?)\b") == []
+    words = ["Token", "straße", "kelvin", "ΑΣ", "ας", "µm2", "xιa", "load_1", "İzmir", "ähnlich"]
+    rules = [(f"w.{w}", "shared", 1, "INFO", f"word {w}", rf"\b{w}\b") for w in words] + [
+        ("w.Token", "shared", 0, "ERROR", "token set", r"\bToken\b\s*="), ("w.two", "java", 0, "INFO", "two", r"\bfür\b.*\bkelvin\b")]
+    table = spark.createDataFrame(rules, "rule_id string, language string, ord int, severity string, message string, pattern string")
+    text = ["Token = TOKEN", "token tokens", "STRAßE straße strasse", "Kelvin kelvin für Kelvin", "ΑΣ' ας αΣ", "µM2 μm2 (xιa)xιab",
+            "load_1 load_12 xΙA", "İzmir izmir İzmİr ızmır", "Ähnlich ähnlich ähnliche"]
+    code = files(("a.py", "\n".join(text)), ("b.java", "\n".join(text)), ("c.c", "\n".join(text)))
+    found = lambda df: sorted(tuple(r) for r in df.select("check_id", "file", "line", "message", "severity", "snippet", "rule_ord").collect())
+    expected = found(scan.scan_with_rule_table(code, table))
+    assert expected and found(scan.scan_with_rule_index(code, table)) == expected
+    assert found(scan.scan_with_rule_index(code, table, unkeyed=0)) == expected
+    # Words need no runs of characters: a line's keys are its words.
+    plan = scan.scan_with_rule_index(code, table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?=(" not in plan
