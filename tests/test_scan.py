@@ -193,3 +193,7 @@ def test_rule_index_of_whole_words(spark, files):
     # Words need no runs of characters: a line's keys are its words.
     plan = scan.scan_with_rule_index(code, table)._jdf.queryExecution().optimizedPlan().toString()
     assert "(?=(" not in plan
+    # A path that comes twice, as before.
+    twice = [("w.ñ", "shared", 0, "INFO", "m", r"\bciñó\b"), ("w.a", "shared", 0, "INFO", "m", r"\babcd\b")]
+    both = scan.scan_with_rule_index(files(("d.py", "ciñó abcd"), ("d.py", "ciñó abcd")), spark.createDataFrame(twice, table.schema))
+    assert sorted(r.check_id for r in both.collect()) == ["w.a", "w.ñ", "w.ñ"]
