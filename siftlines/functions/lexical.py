@@ -100,5 +100,6 @@ def complexity(code: Column, language: Column) -> Column:
     """Number of branching constructs in masked code."""
     def count(name):
         branches = F.regexp_count(code, F.lit(BRANCH[name]))
-        return branches if name == "python" else F.greatest(F.lit(0), branches - F.regexp_count(code, F.lit(_DO)))
+        loops = F.when(F.contains(code, F.lit("do")), F.regexp_count(code, F.lit(_DO))).otherwise(0)
+        return branches if name == "python" else F.greatest(F.lit(0), branches - loops)
     return F.coalesce(_by_language(language, count), F.lit(0))

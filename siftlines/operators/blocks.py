@@ -44,7 +44,11 @@ def _append(out: Column, condition: Column, block: Column) -> Column:
 
 
 def _count(code: Column, signs: str) -> Column:
-    return F.char_length(code) - F.char_length(F.translate(code, signs, ""))
+    # Signs are looked for as bytes, one after the other: translate() looks up every character of a long line.
+    rest = code
+    for sign in signs:
+        rest = F.replace(rest, F.lit(sign), F.lit(""))
+    return F.octet_length(code) - F.octet_length(rest)
 
 
 def _named(code: Column, word: str, pattern: str, group: int = 1) -> Column:

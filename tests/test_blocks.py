@@ -116,3 +116,15 @@ def test_scan_blocks_and_texts_number_lines_alike(files, mark):
     again = chunks.remap_lines(scan.scan(chunks.chunk_files(texts)), texts)
     key = lambda rows: {(r.file, r.check_id, r.line, r.chunk_id) for r in rows.collect()}
     assert key(again) == key(tagged)
+
+
+def test_masked_code_is_worked_out_once(spark, files):
+    # One pass over the pieces for each language, not one for every mark that may end a line.
+    plan = blocks.chunk_bounds(files(("a.py", "def f():\n    return 1")))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract_all") <= 8
+
+
+def test_brackets_of_long_lines(spark):
+    row = spark.createDataFrame([("a{({[é]})}{", 1)], "c string, n int").select(
+        blocks._count(F.col("c"), "{([").alias("o"), blocks._count(F.col("c"), "})]").alias("z")).first()
+    assert (row.o, row.z) == (5, 4)
