@@ -89,23 +89,30 @@ def _chained(known: DataFrame, keep, again, entry_type: str, passes) -> DataFram
     that is plain without working it out, else None.  Adds ``passed``.
     """
     schema = f"path string, seg long, entry {entry_type}, passed boolean, stale boolean"
-
-    def chain(rows):
-        kind = rows.schema.field("used").type
-        rows = rows.sort_by("seg").to_pylist()
-        out, state = [], None
-        for i, row in enumerate(rows):
-            entry = row["used"] if i == 0 else state
-            through = None if entry == row["used"] else passes(row, entry)
-            out.append({"path": row["path"], "seg": row["seg"], "entry": entry, "passed": through is not None,
-                        "stale": through is None and entry != row["used"]})
-            state = row["exit"] if through is None else through
-        return pa.Table.from_pylist(out, schema=pa.schema([
-            ("path", pa.string()), ("seg", pa.int64()), ("entry", kind), ("passed", pa.bool_()), ("stale", pa.bool_())]))
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def chain(batches):
+        path, state, begun = None, None, False
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                first = not begun or row["path"] != path
+                entry = row["used"] if first else state
+                moved = entry != row["used"]
+                through = passes(row, entry) if moved else None
+                out.append((row["path"], row["seg"], entry, through is not None, moved and through is None))
+                path, state, begun = row["path"], row["exit"] if through is None else through, True
+            kind = batch.schema.field("used").type
+            kinds = [pa.string(), pa.int64(), kind, pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(column, of) for column, of in zip(zip(*out), kinds)],
+                                             ["path", "seg", "entry", "passed", "stale"]) if out else pa.RecordBatch.from_pylist(
+                [], pa.schema(list(zip(["path", "seg", "entry", "passed", "stale"], kinds))))
 
     while True:
         small = known.drop("found")
-        linked = keep(small.groupBy("path").applyInArrow(chain, schema))  # a row a piece of one file
+        # A task takes many files, one after the other: a group a file would cost a call a file.  Rows are small, so their number of
+        # bytes would put all of them into one task; the number of tasks is given instead.
+        linked = keep(small.repartition(tasks, "path").sortWithinPartitions("path", "seg").mapInArrow(chain, schema))
         wanted = linked.where("stale").select("path", "seg", "entry")
         if wanted.isEmpty():
             return known.join(linked.select("path", "seg", "passed", "entry"), ["path", "seg"])

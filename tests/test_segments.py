@@ -90,3 +90,20 @@ def test_byte_ranges_of_files_are_read_by_several_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_files_are_chained_by_the_task_not_one_by_one(spark, files, tmp_path):
+    code = files(*[(f"f{i}.py", "def f():\n    return 1\n\ndef g():\n    return 2") for i in range(400)])
+    known = []
+
+    def keep(df):
+        plan = df._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInArrow" not in plan
+        if "MapInArrow" in plan:
+            # As many tasks as are set, however few bytes the states of the files have.
+            known.append(df.rdd.getNumPartitions())
+        return run.keep(df)
+
+    with session.Run(spark, str(tmp_path)) as run:
+        assert segments.segment_blocks(segments.cut(code, 2), keep=keep).count() == 800
+    assert known and set(known) == {int(spark.conf.get("spark.sql.shuffle.partitions"))}
