@@ -2,7 +2,6 @@
 
 import os
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,6 +11,12 @@ from siftlines.functions import lookups, text
 # Bytes of a piece of a file that is read in pieces.
 SEGMENT_BYTES = 32 << 20
 
+# Files, and bytes of files, that a task hands on at a time; a larger file goes by itself.
+_BATCH_FILES = 4096
+_BATCH_BYTES = 8 << 20
+# Tasks for each core that read a folder: a task for every few files costs more than the files, if there are many.
+_TASKS_A_CORE = 32
+
 _LISTING = "path string, folder boolean"
 _CONTENT = "path string, raw binary, error string"
 
@@ -39,7 +44,7 @@ def read_folder(spark: SparkSession, root: str, recursive: bool = True, prune: b
     Spark hides names that start with ``_`` or ``.``; see ``read_shared_folder``.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", _NAMES)
-    found = reader.option("recursiveFileLookup", recursive).load(root)
+    found = reader.option("recursiveFileLookup", recursive).load(root).coalesce(_TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     base = root.split("://")[-1].replace("file:", "")
     path = F.regexp_replace("path", r"^[a-z0-9]+:(//)?", "")
     named = found.select(path.alias("path"), "content").withColumn("language", text.language_of(F.col("path")))
@@ -97,26 +102,47 @@ def decoded_files(raw: DataFrame) -> DataFrame:
 
 
 def _list_folders(batches):
+    names = ["path", "folder"]
     for batch in batches:
         rows = []
-        for folder in batch["path"]:
+        for folder in batch.column(0).to_pylist():
             try:
                 with os.scandir(folder) as entries:
-                    rows += [(os.path.realpath(e.path) if os.path.exists(e.path) else e.path,
-                              e.is_dir(follow_symlinks=False)) for e in entries]
+                    for e in entries:
+                        # Folders are real paths, so only a link leads elsewhere.
+                        real = os.path.realpath(e.path) if e.is_symlink() and os.path.exists(e.path) else e.path
+                        rows.append((real, e.is_dir(follow_symlinks=False)))
+                        if len(rows) >= _BATCH_FILES:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+                            rows = []
             except OSError:
                 continue
-        yield pd.DataFrame(rows, columns=["path", "folder"])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
 
 
 def _read_contents(batches):
+    held, size = [], 0
+
+    def full():
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(
+            zip(*held), [pa.string(), pa.binary(), pa.string()])], ["path", "raw", "error"])
+
     for batch in batches:
-        for path in batch["path"]:
+        for path in batch.column(0).to_pylist():
             try:
                 with open(path, "rb") as file:
-                    yield pd.DataFrame({"path": [path], "raw": [file.read()], "error": [None]})
+                    row = (path, file.read(), None)
             except OSError as problem:
-                yield pd.DataFrame({"path": [path], "raw": [None], "error": [str(problem)]})
+                row = (path, None, str(problem))
+            bytes_ = len(row[1] or b"")
+            if held and (size + bytes_ > _BATCH_BYTES or len(held) >= _BATCH_FILES):
+                yield full()
+                held, size = [], 0
+            held.append(row)
+            size += bytes_
+    if held:
+        yield full()
 
 
 def read_shared_folder(spark: SparkSession, root: str, recursive: bool = True, prune: bool = True) -> DataFrame:
@@ -129,8 +155,10 @@ def read_shared_folder(spark: SparkSession, root: str, recursive: bool = True, p
     level = spark.createDataFrame([(os.path.realpath(root),)], "path string")
     found = None
     run = session.Run(spark)  # a few rows per folder
+    # Named, since few bytes of paths may stand for many files, and would be put into one task.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        listed = level.mapInPandas(_list_folders, _LISTING)
+        listed = level.mapInArrow(_list_folders, _LISTING)
         name = F.element_at(F.split("path", "/"), -1)
         here = listed.where(~F.col("folder")).select("path")
         found = here if found is None else found.unionByName(here)
@@ -140,32 +168,36 @@ def read_shared_folder(spark: SparkSession, root: str, recursive: bool = True, p
         if prune:
             level = level.where(~name.startswith(".") & ~name.isin(*lookups.SKIPPED_FOLDERS))
         # Written, so that the next level does not list this one again.
-        level = run.keep(level.repartition("path"))
+        level = run.keep(level.repartition(tasks, "path"))
         if level.isEmpty():
             break
     # Paths are made distinct, and so dealt out, before a file is opened.
-    wanted = found.where(text.language_of(F.col("path")).isNotNull()).select("path").distinct()
-    contents = wanted.mapInPandas(_read_contents, _CONTENT)
+    wanted = found.where(text.language_of(F.col("path")).isNotNull()).select("path").repartition(tasks, "path").distinct()
+    contents = wanted.mapInArrow(_read_contents, _CONTENT)
     return decoded_files(contents)
 
 
 def _written(root):
     def write(batches):
+        made = set()
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(*(column.to_pylist() for column in batch.columns)):
                 target = os.path.join(root, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
+                folder = os.path.dirname(target)
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 part = f"{target}.{os.getpid()}.part"
-                with open(part, "w", encoding="utf-8", errors="replace", newline="") as file:
-                    file.write(content)
+                with open(part, "wb") as file:
+                    file.write(content.encode("utf-8", "replace"))
                 os.replace(part, target)  # a task that is run again leaves the same file
-            yield pd.DataFrame({"n": [len(batch)]})
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
     return write
 
 
 def write_shared_folder(files: DataFrame, root: str) -> int:
     """Write files(path, content), paths relative, below a folder every executor can open; their number."""
-    written = files.select("path", "content").mapInPandas(_written(root), "n long")
+    written = files.select("path", "content").mapInArrow(_written(root), "n long")
     return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 

@@ -1,6 +1,7 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,25 @@ def test_contents_never_move(files, spark, tmp_path):
                 names = {node.output().apply(i).name() for i in range(node.output().size())}
                 assert not {"content", "text", "pairs", "lines"} & names, names
             todo += [node.children().apply(i) for i in range(node.children().size())]
+
+
+def test_many_small_files_are_read_in_batches_by_all_tasks(files, spark, tmp_path):
+    code = files(*[(f"d{i % 3}/f{i}.py", f"x = {i}") for i in range(600)])
+    assert file_source.write_shared_folder(code, str(tmp_path)) == 600
+    (tmp_path / "d0" / "link.py").symlink_to(tmp_path / "d1" / "f1.py")
+    (tmp_path / "d0" / "lost.py").symlink_to(tmp_path / "none.py")
+    read = file_source.read_shared_folder(spark, str(tmp_path))
+    got = {r.path.removeprefix(f"{tmp_path}/"): (r.content, r.error is None) for r in read.collect()}
+    assert got == {f"d{i % 3}/f{i}.py": (f"x = {i}", True) for i in range(600)} | {"d0/lost.py": (None, False)}
+    counts = [n for n in read.rdd.glom().map(len).collect() if n]
+    assert len(counts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(counts) == 601
+    assert sum(1 for _ in file_source._read_contents([pa.RecordBatch.from_pydict({"path": [
+        str(tmp_path / f"d{i % 3}" / f"f{i}.py") for i in range(600)]})])) == 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        whole = file_source.read_folder(spark, str(tmp_path))
+        assert whole.rdd.getNumPartitions() <= 32 * spark.sparkContext.defaultParallelism
+        assert whole.select("path").distinct().count() >= 600
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
