@@ -42,16 +42,19 @@ _NAME = r"[\p{L}\p{N}_.]"
 _DECLARING = r"(?:new|def|class|function|void|int|char|long|double|float|boolean|size_t|ssize_t|String)"
 
 # A call: the dotted name right before a parenthesis, unless it is declared,
-# constructed or reached through a pointer.  The look-ahead comes first, so that
-# a plain word costs one pass over its characters.
-CALL = (rf"(?<!{_NAME})(?={_NAME}++\s*+\()(?<!->)(?<!\b{_DECLARING}[ \t]{{1,4}}\*{{0,3}})({_NAME}++)")
-
-# Branching words and operators, by language.
+# constructed or reached through a pointer.  It is read backwards from its parenthesis,
+# so that words without one cost nothing; marks count to the letter before them, not after.
+_BACKWARDS = "|".join(word[::-1] for word in _DECLARING[3:-1].split("|"))
+# Otherwise what follows the first character of the name beyond the basic plane is a call even so.
+CALL = (rf"^\s*+({_NAME}++(?!>-)(?!\*{{0,3}}[ \t]{{1,4}}(?:{_BACKWARDS})(?:\b|(?=\p{{Mn}}++(?![\p{{L}}\p{{Nd}}]))))"
+        rf"|{_NAME}+(?=[\x{{10000}}-\x{{10FFFF}}]))")
+
+# Branching words and operators, by language; first what any of them begins with.
 BRANCH = {
-    "python": r"(?m)^[ \t]*(?:if|elif|for|while|except|async[ \t]+for)\b|\b(?:and|or)\b",
-    "javascript": r"\b(?:if|while)[ \t]*\(|\bfor[ \t]*\([^;){\n]*;|\b(?:case|catch)\b|\|\||&&",
-    "java": r"\b(?:if|while)[ \t]*\(|\bfor[ \t]*\([^;){\n]*;|\b(?:case|default|catch)\b|\|\||&&",
-    "c": r"\b(?:if|while|for)[ \t]*\(|\b(?:case|default)\b|\|\||&&",
+    "python": r"(?m)(?=[ \tiewfao])(?:^[ \t]*(?:if|elif|for|while|except|async[ \t]+for)\b|\b(?:and|or)\b)",
+    "javascript": r"(?=[iwfc|&])(?:\b(?:if|while)[ \t]*\(|\bfor[ \t]*\([^;){\n]*;|\b(?:case|catch)\b|\|\||&&)",
+    "java": r"(?=[iwfcd|&])(?:\b(?:if|while)[ \t]*\(|\bfor[ \t]*\([^;){\n]*;|\b(?:case|default|catch)\b|\|\||&&)",
+    "c": r"(?=[iwfcd|&])(?:\b(?:if|while|for)[ \t]*\(|\b(?:case|default)\b|\|\||&&)",
 }
 
 
@@ -73,7 +76,10 @@ def masked(content: Column, language: Column) -> Column:
 
 def calls(code: Column, language: Column) -> Column:
     """Names of all calls in masked code, in order, repeats kept."""
-    found = F.regexp_extract_all(code, F.lit(CALL), 1)
+    def before(parts):
+        names = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda part: F.reverse(F.regexp_extract(F.reverse(part), CALL, 1)))
+        return F.filter(names, lambda name: name != "")
+    found = let(F.split(code, r"\(", -1), before)
     # A Java method is called on something, but only its own name counts.
     return F.when(language == "java",
                   F.transform(found, lambda n: F.regexp_replace(n, r"^.*\.", ""))).otherwise(found)

@@ -94,3 +94,14 @@ def test_sequence_rules_equal_pairing_all_lines(files):
         if kind == "malloc" and nearest == ["use"]:
             want.add(("c-null-deref-no-check", n))
     assert found(files, "\n".join(lines)) == want
+
+
+def test_calls_are_read_from_their_parentheses(spark):
+    plan = spark.createDataFrame([("f(x)", "python")], "c string, l string").select(
+        lexical.calls(F.col("c"), F.col("l")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # no pattern is tried at every character
+    for code, names in [("a b.c (d(e)) f", ["b.c", "d"]), ("new X(y(1))", ["y"]), ("p->go(int  **f(g\n(1)))", ["g"]),
+                        ("xnew y((z)(", ["y"]), ("", []), ("int\t\U00010400(\U00010400a(", ["\U00010400a"]), ("d\u00e9.f (", ["d\u00e9.f"])]:
+        row = spark.createDataFrame([(code, "python")], "c string, l string").select(
+            lexical.calls(F.col("c"), F.col("l")).alias("n")).first()
+        assert row.n == names, code
