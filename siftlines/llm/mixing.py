@@ -4,7 +4,7 @@ A source's share of all words is set by its weight, but it never gives more than
 has; the excess goes to the others by weight.  Its documents stand in a fixed shuffled order, repeated as often as
 needed; what lies before the target is taken.  Its weight moves linearly over training time
 t in [0, 1]; integrating that schedule gives how many of its words have been asked for by t, and inverting this gives
-the t at which a document is due.
+the t at which a document is due.  Documents are range-sorted by it.
 
 Null text has size 0 and is taken 0 words; a null source is a source, last in order; rows
 repeated count as separate documents; an empty table gives an empty result.
@@ -55,6 +55,16 @@ def due(share: Column, slope: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document, range-sorted by the time it is first due; those never due come last.
+
+    The columns are those of ``placed``.
+    """
+    order = [F.col("first_position").asc_nulls_last(), F.col("content"), F.col("doc_id")]
+    return (placed(docs, id_col, text_col, source_col)
+            .repartitionByRange(common.partitions(docs.sparkSession), *order).sortWithinPartitions(*order))
+
+
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies, first_position, last_position.
 
     ``taken`` is the overlap of the document's places in the repeated stream of its source with the target, so a source
@@ -92,12 +102,12 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents without words are never due and leave; the one document at a source's cut is kept whole.
     Rows alike in every column are interchangeable: one of them stands for all and appears as often as all are taken.
     """
-    mixed = mix(docs, id_col, text_col, source_col).where("copies > 0")
+    mixed = placed(docs, id_col, text_col, source_col).where("copies > 0")
     times = (mixed.select(common.join_id(F.col("doc_id")).alias("_id"), F.col("content").alias("_content"),
                           F.explode("positions").alias("position")).where("position is not null")
              .groupBy("_id", "_content").agg(F.collect_list("position").alias("_positions")))
     due_rows = common.keyed(docs, id_col).dropDuplicates(["_id", "_content"]).join(times, ["_id", "_content"])
-    placed = due_rows.withColumn("_position", F.explode("_positions"))
+    repeated = due_rows.withColumn("_position", F.explode("_positions"))
     order = ["_position", "_content"]
-    return (placed.repartitionByRange(common.partitions(docs.sparkSession), *order)
+    return (repeated.repartitionByRange(common.partitions(docs.sparkSession), *order)
             .sortWithinPartitions(*order).drop("_id", "_content", "_positions", "_position").toDF(*docs.columns))

@@ -126,6 +126,12 @@ def test_mix_takes_the_targets(messy):
     assert Counter(r.doc_id for r in course.collect()) == +copies
 
 
+def test_mix_is_sorted_by_the_time_due(messy):
+    times = [r.first_position for r in mixing.mix(messy.repartition(5)).collect()]
+    due = [t for t in times if t is not None]
+    assert due == sorted(due) and times == due + [None] * (len(times) - len(due))
+
+
 def test_schedule_is_inverted(spark):
     grid = spark.range(0, 101).select((F.col("id") / 100).alias("u"))
     for slope in mixing.SLOPES:
