@@ -2,6 +2,7 @@
 
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,26 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         at = to
 
 
+def tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of all texts in a row, A-Z made small, an end after each text: the different words, the code of each token (0:
+    an end; else one more than the word's place) and each text's number of tokens."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, owner = split.flatten(), pc.list_parent_indices(split)
+    real = pc.not_equal(flat, "")
+    coded = pc.dictionary_encode(flat.filter(real))
+    owner = owner.filter(real).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = np.bincount(owner, minlength=len(texts)) + 1
+    code = np.zeros(int(lengths.sum()), np.int64)
+    inside = np.ones(len(code), bool)
+    inside[np.cumsum(lengths) - 1] = False
+    code[inside] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    words = coded.dictionary.cast(pa.binary())
+    _, starts, data = words.buffers()  # sliced by hand: to_pylist makes an object more for each word
+    cuts = np.frombuffer(starts, np.int32)[words.offset:words.offset + len(words) + 1].tolist() if len(words) else []
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in pairwise(cuts)], code, lengths
+
+
 def plain(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns named c0, c1, ... so that no name clashes with one that an operator adds."""
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

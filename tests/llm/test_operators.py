@@ -360,6 +360,60 @@ def test_lm_probabilities_add_up():
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
 
 
+def test_lm_probabilities_of_very_large_and_very_small_weights():
+    weights = np.zeros((lm.ROWS, lm.WIDTH), np.float32)
+    weights[0], weights[1], weights[2, 5] = 400, -400, 300
+    prior = np.where(np.arange(lm.WIDTH) < 60, 0, -np.inf).astype(np.float32)
+    rows = np.array([[0, 1, 2, 3], [0, 1, 2, 3], [0, 1, 3, 3]])
+    p = lm.softmax(prior, weights, rows)
+    even = np.where(np.arange(lm.WIDTH) < 60, 1 / 60, 0)
+    assert np.allclose(p, [even, even, np.eye(lm.WIDTH)[5], even], atol=1e-6)
+
+
+def training_step(repeated):
+    """A table, features and truths of a step; some features come very often."""
+    random = np.random.default_rng(4)
+    rows = np.where(random.random((lm.FEATURES, lm.STEP_TOKENS)) < repeated, random.integers(0, 40, (lm.FEATURES, lm.STEP_TOKENS)),
+                    random.integers(0, lm.ROWS, (lm.FEATURES, lm.STEP_TOKENS)))
+    return random.normal(size=(lm.ROWS, lm.WIDTH)).astype(np.float32), rows, random.integers(0, lm.WIDTH, lm.STEP_TOKENS)
+
+
+@pytest.mark.parametrize("repeated", [0, 0.4, 1])
+def test_lm_training_step(repeated):
+    weights, rows, truth = training_step(repeated)
+    trainer = lm.Trainer(weights)
+    trainer.step(np.zeros(lm.WIDTH, np.float32), rows, truth)
+    z = np.exp(weights.astype(float)[rows].sum(axis=0))
+    slope = z / z.sum(axis=1, keepdims=True) - np.eye(lm.WIDTH)[truth]
+    sums = np.zeros(weights.shape)
+    for row in rows:
+        np.add.at(sums, row, slope)
+    assert np.allclose(trainer.weights, weights - lm.RATE * sums / np.sqrt(0.01 + sums * sums), atol=1e-4)
+    assert trainer.used.tolist() == np.bincount(rows.reshape(-1), minlength=lm.ROWS).tolist()
+
+
+def test_lm_training_step_takes_less_time_than_its_sums_by_reduceat():
+    from timeit import repeat
+
+    weights, rows, truth = training_step(0.4)
+    trainer, prior = lm.Trainer(weights), np.zeros(lm.WIDTH, np.float32)
+    found = np.sort(rows.reshape(-1))
+    first, slopes = np.flatnonzero(np.r_[True, np.diff(found) > 0]), np.ones((len(found), lm.WIDTH), np.float32)
+    assert min(repeat(lambda: trainer.step(prior, rows, truth), number=1, repeat=9)) < min(
+        repeat(lambda: np.add.reduceat(slopes, first, axis=0), number=1, repeat=9))
+
+
+def test_tokens():
+    texts = ["One  two\tONE", None, "", " \n", "\u00c4 \u2028x one"]
+    words, code, lengths = common.tokens(pa.array(["not this", *texts]).slice(1))
+    assert lengths.tolist() == [4, 1, 1, 1, 4]
+    assert [b"\n" if c == 0 else words[c - 1] for c in code] == [
+        x for t in texts for x in [*(t or "").encode().lower().split(), b"\n"]]
+    assert len(set(words)) == len(words)
+    nothing = common.tokens(pa.array([], pa.string()))
+    assert (nothing[0], len(nothing[1]), len(nothing[2])) == ([], 0, 0)
+
+
 @pytest.mark.parametrize("n", [30, 900])
 def test_neighbours(spark, n):
     random = np.random.default_rng(n)
