@@ -15,19 +15,23 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from siftlines.llm import common
 
 END_ID = 1
+END = np.array([END_ID], "<u4").tobytes()
 BLOCK = 4096
 PERCENTILE = 90
 #: A page ends with the document that reaches so many ids.
@@ -35,14 +39,13 @@ PAGE_IDS = 1 << 16
 #: Words whose ids a task remembers, twice over.
 REMEMBERED = 1 << 18
 
-#: Letters of ASCII (small) and of Latin-1.
-_LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
-LETTERS = re.compile(_LETTERS)
 #: The sign that stands for a byte in a byte-level vocabulary: itself if it can be printed, else one past Latin-1.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-SIGNS = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTED)}
-#: Plain letters, then ASCII marks other than the apostrophe: two tokens or more, cut between them.
-MARKED = re.compile(rb"(" + _LETTERS + rb")([!-&(-/:-@\[-`{-~]+)")
+SIGNS = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTED) if b != 0x20}
+#: What a word may not hold to be cut without the library: all but printed ASCII and letters of Latin-1, small or large.
+UNCUT = re.compile("[^\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+#: The pieces of other words once their letters are small, as the pattern of ``WORDWISE`` cuts them; words are lines.
+PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|\n|[^a-z0-9\x80-\xff\n]+")
 
 
 #: How a vocabulary has to prepare texts for its words to be encoded apart.
@@ -56,10 +59,12 @@ WORDWISE = (
 
 
 def wordwise(vocabulary: dict) -> bool:
-    """Whether words can be encoded apart: ``WORDWISE``, plain merges, and no added token that is changed or holds white space."""
+    """Whether words can be encoded apart: ``WORDWISE``, plain merges that know each byte, and no added token that is changed or
+    holds white space."""
     model, added = vocabulary["model"], vocabulary["added_tokens"]
     return ((vocabulary["normalizer"], vocabulary["pre_tokenizer"]) == WORDWISE and model["type"] == "BPE"
             and model["end_of_word_suffix"] == "</w>" and not model["dropout"]
+            and all(f"{chr(SIGNS.get(b, b))}{end}" in model["vocab"] for b in range(0x100) if b != 0x20 for end in ("", "</w>"))
             and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added))
 
 
@@ -67,10 +72,11 @@ def encode_block(values: np.ndarray) -> bytes:
     """One block: 4 header words (count, minimum, width, exceptions), packed differences, exceptions."""
     least = int(values.min())
     rest = values - np.uint32(least)
-    widths = np.frexp(rest.astype(np.float64))[1]  # bits of each difference; 0 for 0
-    width = int(np.percentile(widths, PERCENTILE, method="higher"))
-    bits = (rest[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    packed = np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+    widths = np.maximum((rest.astype(np.float64).view(np.int64) >> 52) - 1022, 0)  # bits of each difference; 0 for 0
+    enough = int(np.ceil((len(values) - 1) * (PERCENTILE / 100)))
+    width = int(np.searchsorted(np.cumsum(np.bincount(widths)), enough, side="right"))
+    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    packed = np.packbits(bits, bitorder="little").tobytes()
     odd = np.flatnonzero(widths > width).astype("<u4")
     high = (rest[odd] >> np.uint32(width)).astype("<u4")
     head = np.array([len(values), least, width, len(odd)], "<u4").tobytes()
@@ -80,11 +86,11 @@ def encode_block(values: np.ndarray) -> bytes:
 def decode_block(data: bytes, start: int) -> np.ndarray:
     n, least, width, n_odd = np.frombuffer(data, "<u4", 4, start).tolist()
     at, size = start + 16, (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    rest = bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
+    rest = np.packbits(bits, bitorder="little").view("<u4").astype(np.uint32)
     odd = np.frombuffer(data, "<u4", n_odd, at + size)
     high = np.frombuffer(data, "<u4", n_odd, at + size + 4 * n_odd)
-    rest = rest.astype(np.uint32)
     rest[odd] |= high << np.uint32(width)
     return rest + np.uint32(least)
 
@@ -102,10 +108,10 @@ def decode_page(data: bytes, block_starts: list[int]) -> np.ndarray:
 def encoder(path: str):
     """Ids of many texts at once.
 
-    White space separates tokens and leaves none, so a text is the sequence of its words; the case of A-Z is lost; and
-    marks after plain letters are tokens of their own.  So each different word, and each different half of such a marked
-    word, is encoded once as long as it is remembered: since the last or the last but one time that ``REMEMBERED`` were.
-    A word of plain letters is one piece for the vocabulary's merges, which are asked for it without the steps before.
+    White space separates tokens and leaves none, so a text is the sequence of its words, and the case of A-Z is lost.  Words of
+    printed ASCII and letters of Latin-1 are cut into pieces here, which the vocabulary's merges get many at once; the last token
+    of a piece says that it is the last.  Other words go through the library one by one.  Each different word and piece is encoded
+    once as long as it is remembered: since the last or the last but one time that ``REMEMBERED`` were.
 
     All this holds for ``WORDWISE`` vocabularies; another one's texts go through the library as they are.  So does a text that spells a
     special token in letters that are not all small: the library looks for those before it changes the case.
@@ -115,47 +121,83 @@ def encoder(path: str):
     whole = lambda text: np.array(
         [*tokenizer.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
     if not wordwise(json.loads(tokenizer.to_str())):
-        return lambda texts: [whole((text or "").encode("utf-8", "replace").decode()) for text in texts]
+        return lambda texts: [whole((text or "").encode("utf-8", "replace").decode())
+                              for text in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
     signs = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     special = re.compile("|".join(map(re.escape, signs)) or "(?!)", re.IGNORECASE)
-    hint = os.path.commonprefix(signs)[:1].encode()  # a byte looked for first; empty: all texts are looked through
-    merge = tokenizer.model.tokenize
+    hint = os.path.commonprefix(signs)[:1]  # a sign looked for first; empty: all texts are looked through
+    merges = Tokenizer(tokenizer.model)
+    merges.pre_tokenizer = WhitespaceSplit()
+    suffix = tokenizer.model.end_of_word_suffix
+    last = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+    last[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
     recent: dict[bytes, bytes] = {}
     before: dict[bytes, bytes] = {}
-    end = np.array([END_ID], "<u4").tobytes()
 
-    def encode(texts: list[str | None]) -> list[np.ndarray]:
-        nonlocal recent, before
-        if len(recent) > REMEMBERED:
-            recent, before = {}, recent
-        texts = [(text or "").encode("utf-8", "replace") for text in texts]
-        odd = {i for i, text in enumerate(texts) if hint in text and special.search(text.decode())}
-        split = [[] if i in odd else text.lower().split() for i, text in enumerate(texts)]
-        new, letters, cut = set(), set(), []
-        for word in set().union(*split).difference(recent):
+    def unknown(words: Iterable[bytes]) -> list[bytes]:
+        """Those that are not remembered at all; others are from now on remembered as recent."""
+        missing = []
+        for word in [word for word in words if word not in recent]:
             if word in before:
                 recent[word] = before[word]
-            elif halves := MARKED.fullmatch(word):
-                cut.append((word, *halves.groups()))
-            else:
-                (letters if LETTERS.fullmatch(word) else new).add(word)
-        for half in {half for _, *halves in cut for half in halves if half not in recent}:
-            if half in before:
-                recent[half] = before[half]
             else:
-                (letters if LETTERS.fullmatch(half) else new).add(half)
-        unknown = list(new)
-        for at in range(0, len(unknown), 2000):
-            some = unknown[at:at + 2000]
-            found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            recent.update((word, array("I", e.ids).tobytes()) for word, e in zip(some, found))
-        for word in letters:
-            recent[word] = array("I", [token.id for token in merge(
-                word.decode().lower().encode().decode("latin-1").translate(SIGNS))]).tobytes()
-        recent.update((word, recent[stem] + recent[marks]) for word, stem, marks in cut)
-        look = recent.__getitem__
-        return [whole(texts[i].decode()) if i in odd else np.frombuffer(b"".join(map(look, words)) + end, "<u4")
-                for i, words in enumerate(split)]
+                missing.append(word)
+        return missing
+
+    def remember(words: list[bytes], ids: bytes, ends: np.ndarray) -> None:
+        recent.update(zip(words, [ids[a:b] for a, b in pairwise([0, *ends.tolist()])], strict=True))
+
+    def learn_pieces(pieces: list[bytes]) -> None:
+        for at in range(0, len(pieces), 10_000):
+            some = pieces[at:at + 10_000]
+            text = b" ".join(some).decode()
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(SIGNS)
+            ids = np.array(merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            remember(some, ids.tobytes(), 4 * (np.flatnonzero(last[ids]) + 1))
+
+    def learn(words: list[bytes]) -> None:
+        missing = unknown(words)
+        learn_pieces([word for word in missing if word.isalpha()])  # A to Z alone
+        cut = [word for word in missing if not word.isalpha()]
+        if UNCUT.search(b"\n".join(cut).decode()):
+            new = [word for word in cut if UNCUT.search(word.decode())]
+            cut = list(set(cut).difference(new))
+            for at in range(0, len(new), 2000):
+                some = new[at:at + 2000]
+                found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+                recent.update((word, array("I", e.ids).tobytes()) for word, e in zip(some, found))
+        if cut:
+            pieces = PIECES.findall(b"\n".join([*cut, b""]).decode().lower().encode())
+            recent[b"\n"] = b""
+            missing = unknown(set(pieces))
+            learn_pieces([piece for piece in missing if piece.isascii()])
+            learn_pieces([piece for piece in missing if not piece.isascii()])
+            ids = [recent[piece] for piece in pieces]
+            ends = np.cumsum([len(x) for x in ids])[[i for i, piece in enumerate(pieces) if piece == b"\n"]]
+            remember(cut, b"".join(ids), ends)
+
+    def encode(texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        nonlocal recent, before
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([(text or "").encode("utf-8", "replace") for text in texts], pa.binary()).cast(pa.string())
+        odd = [i for i in np.flatnonzero(pc.match_substring(pc.fill_null(texts, ""), hint)) if special.search(texts[i].as_py())]
+        plain = pc.if_else(~np.isin(np.arange(len(texts)), odd), texts, "") if odd else texts
+        words, code, lengths = common.tokens(plain)
+        if len(recent) > REMEMBERED:
+            recent, before = {}, recent
+        known = [recent.get(word) for word in words]
+        learn([word for word, ids in zip(words, known) if ids is None])
+        known = [recent[word] if ids is None else ids for word, ids in zip(words, known)]
+        flat = np.frombuffer(b"".join([END, *known]), "<u4")
+        sizes = np.array([1, *[len(ids) // 4 for ids in known]])
+        shift, size = np.cumsum(sizes) - sizes, sizes[code]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(shift[code] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        found = np.split(ids, ends[np.cumsum(lengths) - 1][:-1])[:len(texts)]
+        for i in odd:
+            found[i] = whole(texts[i].as_py())
+        return found
 
     return encode
 
@@ -183,9 +225,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                for name, value in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
+            for some in common.slices(batch, 1):
+                for name, value in zip(some.column(0).to_pylist(), encode(some.column(1))):
                     names.append(name)
                     ids.append(value)
                     held += len(value)

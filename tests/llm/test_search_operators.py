@@ -229,6 +229,58 @@ def test_special_tokens_in_any_case_and_other_vocabularies(tmp_path):
         assert [x.tolist() for x in tokenfile.encoder(path)(texts)] == expected
 
 
+def mixed_texts(n: int) -> list[str]:
+    """Words of letters, marks, digits and signs that the vocabulary prepares in some way, in any order."""
+    random = np.random.default_rng(n)
+    signs = ["a", "b", "he", "llo", "Z", "Q", "\u00c4", "\u00e9", "\u00df", "\u00ff", "\u00d7", "\u00f7", "'", "'s", "'re", "'d", "!", "--", ".", "<", "|", "7",
+             "12", "\u0301", "\u0130", "\u03a3", "\u4e2d", "\u00a0", "\u0085", "\x1c", "\x7f", "\u2028", "\U0001f600", "</w>", "\u00b2", "\u212a", "\u017f"]
+    words = ["".join(random.choice(signs[:int(random.choice([6, 23, len(signs)]))], random.integers(1, 6))) for _ in range(300)]
+    return [str(random.choice([" ", "\n", " \t"])).join(random.choice(words, random.integers(0, 40))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("remembered", [1 << 18, 20])
+def test_words_in_pieces_have_the_ids_of_the_library(monkeypatch, remembered):
+    from tokenizers import Tokenizer
+
+    from siftlines.llm import tokenfile
+    from siftlines.llm.registry import TOKENIZER
+    monkeypatch.setattr(tokenfile, "REMEMBERED", remembered)
+    library, encode = Tokenizer.from_file(TOKENIZER), tokenfile.encoder(TOKENIZER)
+    for texts in (mixed_texts(n) for n in (200, 1, 90, 0, 150)):
+        expected = [[*library.encode(t, add_special_tokens=False).ids, tokenfile.END_ID] for t in texts]
+        assert [x.tolist() for x in encode(texts)] == expected
+
+
+@pytest.mark.parametrize("other", [False, True])
+def test_columns_are_encoded_as_lists_are(tmp_path, other):
+    import json
+
+    import pyarrow as pa
+
+    from siftlines.llm import tokenfile
+    from siftlines.llm.registry import TOKENIZER
+    spec = json.load(open(TOKENIZER))
+    if other:
+        spec["normalizer"] = {"type": "NFC"}
+    json.dump(spec, open(tmp_path / "ids.json", "w"))
+    texts = [*mixed_texts(50), None, "", "x <|EndOfText|> y"]
+    encode = tokenfile.encoder(str(tmp_path / "ids.json"))
+    assert [x.tolist() for x in encode(pa.array(["not this", *texts]).slice(1))] == [x.tolist() for x in encode(texts)]
+
+
+def test_words_are_merged_many_at_once():
+    from siftlines.llm import tokenfile
+    from siftlines.llm.registry import TOKENIZER
+    import cProfile
+    import pstats
+
+    encode, profile = tokenfile.encoder(TOKENIZER), cProfile.Profile()
+    letters = np.random.default_rng(5).choice(list("abcdefgh"), (5000, 9))
+    profile.runcall(encode, [" ".join(map("".join, letters))])
+    calls = {name: n for (_, _, name), (n, *_) in pstats.Stats(profile).stats.items()}
+    assert sum(n for name, n in calls.items() if "tokenize" in name or "encode_batch" in name) < 10
+
+
 @pytest.mark.parametrize("kind", ["smallint", "date"])
 def test_ids_of_any_type(spark, kind):
     from siftlines.llm import lm
