@@ -115,7 +115,7 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         at = to
 
 
-def tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The words of all texts in a row, A-Z made small, an end after each text: the different words, the code of each token (0:
     an end; else one more than the word's place) and each text's number of tokens."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -128,7 +128,12 @@ def tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     inside = np.ones(len(code), bool)
     inside[np.cumsum(lengths) - 1] = False
     code[inside] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    words = coded.dictionary.cast(pa.binary())
+    return coded.dictionary.cast(pa.binary()), code, lengths
+
+
+def tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """As ``coded``, with the different words as a list."""
+    words, code, lengths = coded(texts)
     _, starts, data = words.buffers()  # sliced by hand: to_pylist makes an object more for each word
     cuts = np.frombuffer(starts, np.int32)[words.offset:words.offset + len(words) + 1].tolist() if len(words) else []
     data = data.to_pybytes() if data else b""

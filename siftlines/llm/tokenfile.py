@@ -15,8 +15,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -31,12 +30,12 @@ from tokenizers.pre_tokenizers import WhitespaceSplit
 from siftlines.llm import common
 
 END_ID = 1
-END = np.array([END_ID], "<u4").tobytes()
+END = np.array([END_ID], "<u4")
 BLOCK = 4096
 PERCENTILE = 90
 #: A page ends with the document that reaches so many ids.
 PAGE_IDS = 1 << 16
-#: Words whose ids a task remembers, twice over.
+#: Once a task knows more pieces than this it forgets those that its last texts do not hold.
 REMEMBERED = 1 << 18
 
 #: The sign that stands for a byte in a byte-level vocabulary: itself if it can be printed, else one past Latin-1.
@@ -72,12 +71,13 @@ def encode_block(values: np.ndarray) -> bytes:
     """One block: 4 header words (count, minimum, width, exceptions), packed differences, exceptions."""
     least = int(values.min())
     rest = values - np.uint32(least)
-    widths = np.maximum((rest.astype(np.float64).view(np.int64) >> 52) - 1022, 0)  # bits of each difference; 0 for 0
     enough = int(np.ceil((len(values) - 1) * (PERCENTILE / 100)))
-    width = int(np.searchsorted(np.cumsum(np.bincount(widths)), enough, side="right"))
-    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    width = int(np.partition(rest, enough)[enough]).bit_length()
+    size = (width + 7) // 8  # bytes that have bits to pack
+    used = rest.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size]
+    bits = np.unpackbits(used.reshape(-1), bitorder="little").reshape(-1, 8 * size)[:, :width] if width else used
     packed = np.packbits(bits, bitorder="little").tobytes()
-    odd = np.flatnonzero(widths > width).astype("<u4")
+    odd = np.flatnonzero(rest > np.uint32((1 << width) - 1)).astype("<u4")
     high = (rest[odd] >> np.uint32(width)).astype("<u4")
     head = np.array([len(values), least, width, len(odd)], "<u4").tobytes()
     return head + packed + odd.tobytes() + high.tobytes()
@@ -105,13 +105,35 @@ def decode_page(data: bytes, block_starts: list[int]) -> np.ndarray:
     return np.concatenate([decode_block(data, at) for at in block_starts]).astype("<u4")
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries ``which`` of ``flat`` in a row, and where each ends; entry i is ``sizes[i]`` long and begins at ``starts[i]``."""
+    size = sizes[which]
+    ends = np.cumsum(size)
+    return flat[np.repeat(starts[which] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+class Known:
+    """Pieces as a column, the ids of all of them in a row, how many each has and where they begin."""
+
+    def __init__(self, pieces: pa.Array, flat: np.ndarray, sizes: np.ndarray):
+        self.pieces, self.flat, self.sizes, self.starts = pieces, flat, sizes, np.cumsum(sizes) - sizes
+
+    def __add__(self, other: "Known") -> "Known":
+        return Known(pa.concat_arrays([self.pieces, other.pieces]), np.concatenate([self.flat, other.flat]),
+                     np.concatenate([self.sizes, other.sizes]))
+
+    def take(self, places: np.ndarray) -> "Known":
+        return Known(self.pieces.take(pa.array(places)), gathered(self.flat, self.starts, self.sizes, places)[0], self.sizes[places])
+
+
 def encoder(path: str):
     """Ids of many texts at once.
 
     White space separates tokens and leaves none, so a text is the sequence of its words, and the case of A-Z is lost.  Words of
     printed ASCII and letters of Latin-1 are cut into pieces here, which the vocabulary's merges get many at once; the last token
-    of a piece says that it is the last.  Other words go through the library one by one.  Each different word and piece is encoded
-    once as long as it is remembered: since the last or the last but one time that ``REMEMBERED`` were.
+    of a piece says that it is the last.  Other words go through the library one by one.  Words and pieces stay columns and their
+    ids arrays.  Each different piece and other word is encoded once as long as it is remembered; once ``REMEMBERED`` are, those
+    go that the texts at hand do not hold.
 
     All this holds for ``WORDWISE`` vocabularies; another one's texts go through the library as they are.  So does a text that spells a
     special token in letters that are not all small: the library looks for those before it changes the case.
@@ -120,80 +142,85 @@ def encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     whole = lambda text: np.array(
         [*tokenizer.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
-    if not wordwise(json.loads(tokenizer.to_str())):
+    vocabulary = json.loads(tokenizer.to_str())
+    if not wordwise(vocabulary):
         return lambda texts: [whole((text or "").encode("utf-8", "replace").decode())
                               for text in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
-    signs = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    signs = [t["content"] for t in vocabulary["added_tokens"]]
     special = re.compile("|".join(map(re.escape, signs)) or "(?!)", re.IGNORECASE)
     hint = os.path.commonprefix(signs)[:1]  # a sign looked for first; empty: all texts are looked through
     merges = Tokenizer(tokenizer.model)
     merges.pre_tokenizer = WhitespaceSplit()
-    suffix = tokenizer.model.end_of_word_suffix
-    last = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
-    last[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-    recent: dict[bytes, bytes] = {}
-    before: dict[bytes, bytes] = {}
-
-    def unknown(words: Iterable[bytes]) -> list[bytes]:
-        """Those that are not remembered at all; others are from now on remembered as recent."""
-        missing = []
-        for word in [word for word in words if word not in recent]:
-            if word in before:
-                recent[word] = before[word]
-            else:
-                missing.append(word)
-        return missing
-
-    def remember(words: list[bytes], ids: bytes, ends: np.ndarray) -> None:
-        recent.update(zip(words, [ids[a:b] for a, b in pairwise([0, *ends.tolist()])], strict=True))
-
-    def learn_pieces(pieces: list[bytes]) -> None:
+    tokens, suffix = vocabulary["model"]["vocab"], vocabulary["model"]["end_of_word_suffix"]
+    last = np.zeros(max([*tokens.values(), *(t["id"] for t in vocabulary["added_tokens"])]) + 1, bool)
+    last[[i for token, i in tokens.items() if token.endswith(suffix)]] = True
+    printed = np.array([SIGNS.get(b, b) for b in range(0x100)], "<u4")
+    known = Known(pa.array([b"\n"]), np.empty(0, "<u4"), np.zeros(1, np.int64))  # the end of a line stays first
+
+    def ended(words: pa.Array, by: bytes) -> bytes:
+        return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), by)[0].as_py() + by if len(words) else b""
+
+    def merged(pieces: pa.Array) -> Known:
+        flat, sizes = [known.flat[:0]], [known.sizes[:0]]
         for at in range(0, len(pieces), 10_000):
-            some = pieces[at:at + 10_000]
-            text = b" ".join(some).decode()
-            if not text.isascii():
-                text = text.encode().decode("latin-1").translate(SIGNS)
-            ids = np.array(merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            remember(some, ids.tobytes(), 4 * (np.flatnonzero(last[ids]) + 1))
-
-    def learn(words: list[bytes]) -> None:
-        missing = unknown(words)
-        learn_pieces([word for word in missing if word.isalpha()])  # A to Z alone
-        cut = [word for word in missing if not word.isalpha()]
-        if UNCUT.search(b"\n".join(cut).decode()):
-            new = [word for word in cut if UNCUT.search(word.decode())]
-            cut = list(set(cut).difference(new))
-            for at in range(0, len(new), 2000):
-                some = new[at:at + 2000]
-                found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                recent.update((word, array("I", e.ids).tobytes()) for word, e in zip(some, found))
-        if cut:
-            pieces = PIECES.findall(b"\n".join([*cut, b""]).decode().lower().encode())
-            recent[b"\n"] = b""
-            missing = unknown(set(pieces))
-            learn_pieces([piece for piece in missing if piece.isascii()])
-            learn_pieces([piece for piece in missing if not piece.isascii()])
-            ids = [recent[piece] for piece in pieces]
-            ends = np.cumsum([len(x) for x in ids])[[i for i, piece in enumerate(pieces) if piece == b"\n"]]
-            remember(cut, b"".join(ids), ends)
+            text = printed[np.frombuffer(ended(pieces.slice(at, 10_000), b" "), np.uint8)].tobytes().decode("utf-32-le")
+            flat.append(np.array(merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
+            sizes.append(np.diff(np.flatnonzero(last[flat[-1]]), prepend=-1))
+        return Known(pieces, np.concatenate(flat), np.concatenate(sizes))
+
+    def by_library(words: pa.Array) -> Known:
+        flat, sizes = array("I"), []
+        for at in range(0, len(words), 2000):
+            some = [word.decode() for word in words.slice(at, 2000).to_pylist()]
+            for found in tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                flat.extend(found.ids)
+                sizes.append(len(found.ids))
+        return Known(words, np.array(flat, "<u4"), np.array(sizes, np.int64))
+
+    def uncut(words: pa.Array) -> np.ndarray:
+        return np.array(pc.match_substring_regex(words.cast(pa.string()), UNCUT.pattern), bool)
+
+    def places_of(pieces: pa.Array) -> np.ndarray:
+        """Where each of them is known, now at least."""
+        nonlocal known
+        places = pc.fill_null(pc.index_in(pieces, known.pieces), -1).to_numpy(zero_copy_only=False).copy()
+        new = np.flatnonzero(places < 0)
+        odd = uncut(pieces.take(pa.array(new)))
+        new = np.concatenate([new[~odd], new[odd]])
+        places[new] = len(known.pieces) + np.arange(len(new))
+        known += merged(pieces.take(pa.array(new[:len(new) - odd.sum()])))
+        if odd.any():
+            known += by_library(pieces.take(pa.array(new[len(new) - odd.sum():])))
+        return places
+
+    def encode_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in some order, where each word's begin and how many they are."""
+        nonlocal known
+        alone = np.array(pc.ascii_is_alpha(words.cast(pa.string())), bool)
+        alone[~alone] = uncut(words.filter(pa.array(~alone)))
+        cut = PIECES.findall(ended(words.filter(pa.array(~alone)), b"\n").decode().lower().encode())
+        pieces = pc.dictionary_encode(pa.concat_arrays([words.filter(pa.array(alone)), pa.array(cut, pa.binary())]))
+        different, code = pieces.dictionary, pieces.indices.to_numpy(zero_copy_only=False)
+        places = places_of(different)
+        flat, ends = gathered(known.flat, known.starts, known.sizes, places[code])
+        done = places[code] == 0
+        done[:alone.sum()] = True
+        if len(known.pieces) > REMEMBERED:
+            known = known.take(np.union1d(places, 0))
+        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        order = np.concatenate([np.flatnonzero(alone), np.flatnonzero(~alone)])
+        sizes[order] = np.diff(ends[done], prepend=0)
+        starts[order] = ends[done] - sizes[order]
+        return flat, starts, sizes
 
     def encode(texts: list[str | None] | pa.Array) -> list[np.ndarray]:
-        nonlocal recent, before
         if not isinstance(texts, pa.Array):
             texts = pa.array([(text or "").encode("utf-8", "replace") for text in texts], pa.binary()).cast(pa.string())
         odd = [i for i in np.flatnonzero(pc.match_substring(pc.fill_null(texts, ""), hint)) if special.search(texts[i].as_py())]
         plain = pc.if_else(~np.isin(np.arange(len(texts)), odd), texts, "") if odd else texts
-        words, code, lengths = common.tokens(plain)
-        if len(recent) > REMEMBERED:
-            recent, before = {}, recent
-        known = [recent.get(word) for word in words]
-        learn([word for word, ids in zip(words, known) if ids is None])
-        known = [recent[word] if ids is None else ids for word, ids in zip(words, known)]
-        flat = np.frombuffer(b"".join([END, *known]), "<u4")
-        sizes = np.array([1, *[len(ids) // 4 for ids in known]])
-        shift, size = np.cumsum(sizes) - sizes, sizes[code]
-        ends = np.cumsum(size)
-        ids = flat[np.repeat(shift[code] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        words, code, lengths = common.coded(plain)
+        flat, starts, sizes = encode_words(words)
+        ids, ends = gathered(np.append(END, flat), np.append(0, starts + 1), np.append(1, sizes), code)
         found = np.split(ids, ends[np.cumsum(lengths) - 1][:-1])[:len(texts)]
         for i in odd:
             found[i] = whole(texts[i].as_py())

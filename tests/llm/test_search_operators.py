@@ -281,6 +281,31 @@ def test_words_are_merged_many_at_once():
     assert sum(n for name, n in calls.items() if "tokenize" in name or "encode_batch" in name) < 10
 
 
+def test_no_call_for_each_word():
+    from siftlines.llm import tokenfile
+    from siftlines.llm.registry import TOKENIZER
+    import cProfile
+    import pstats
+
+    encode, profile = tokenfile.encoder(TOKENIZER), cProfile.Profile()
+    letters = np.random.default_rng(6).choice(list("abcdefgh"), (20_000, 9))
+    text = " ".join("".join(word) + ending for word, ending in zip(letters, ["", ",", "'s", "7"] * 5000))
+    for _ in range(2):  # new words, then known ones
+        profile.runcall(encode, [text])
+    assert pstats.Stats(profile).total_calls < 2000
+
+
+def test_width_of_a_block_is_that_of_the_difference_at_the_percentile():
+    from siftlines.llm import tokenfile
+    random = np.random.default_rng(7)
+    cases = [random.integers(0, 2 ** int(random.integers(1, 33)), int(random.integers(1, 4097))).astype("<u4") for _ in range(60)]
+    for values in [*cases, np.array([0, 2 ** 32 - 1], "<u4"), np.zeros(9, "<u4")]:
+        block = tokenfile.encode_block(values)
+        rest = np.sort(values - values.min())
+        assert np.frombuffer(block, "<u4", 4)[2] == int(rest[math.ceil((len(rest) - 1) * tokenfile.PERCENTILE / 100)]).bit_length()
+        assert (tokenfile.decode_block(block, 0) == values).all()
+
+
 @pytest.mark.parametrize("kind", ["smallint", "date"])
 def test_ids_of_any_type(spark, kind):
     from siftlines.llm import lm
