@@ -6,8 +6,10 @@ are compared with every vector, and so many lists are probed that a share ``RECA
 ``probes_of`` at least.  Within a list, vectors and
 queries are rotated by one random rotation and compared a block of columns at a time.  After d of D columns their
 squared distance so far times D / d estimates the whole one within a factor of (1 + EPSILON / sqrt(d))^2, and a candidate is
-abandoned if even the lower end is farther than the k-th best known row (a distance and an inner product
-follow from each other by the norms).  What survives is measured exactly on the original vectors.
+abandoned if even the lower end is farther than the k-th best known row of the list (a distance and an inner product
+follow from each other by the norms).  While many candidates are left, a block of columns is one product of matrices for all of them; few
+are followed pair by pair.  What survives and is no farther than the k-th best of the list, and of those rows of the sample that lie in
+probed lists, is measured exactly on the original vectors.
 
 Lists are cut into blocks of rows and their queries into chunks, so a large list is many groups.  Equal vectors are searched
 once, and of equal candidates only the k + 1 with the smallest ids can be among the k nearest of a query,
@@ -44,6 +46,12 @@ COLUMNS = 16
 #: Deviations of the test, in its usual unit of 1 / sqrt(columns seen).
 EPSILON = 1.5
 ITERATIONS = 8
+#: Bytes of sample rows that give each query a score which its neighbours reach.
+FLOOR_BYTES = 4 << 20
+#: Candidates are followed pair by pair once no larger share of them is left.
+FEW = 1 / 16
+#: What a product may be off by, as a share of the vectors' lengths.
+ROUNDING = 1e-9
 
 
 def probes_of(lists: int, factor: float = FACTOR) -> int:
@@ -80,33 +88,44 @@ def rotation(width: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(5).normal(size=(width, width)))[0]
 
 
-def survivors(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) that were not abandoned; all rows if there are no more than k."""
-    width = rows.shape[1]
-    if len(rows) <= k:
-        return np.repeat(np.arange(len(queries)), len(rows)), np.tile(np.arange(len(rows)), len(queries))
-    turned = rotation(width)
-    q, x = queries @ turned, rows @ turned
+def survivors(q: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) of rotated vectors that were not abandoned; all rows if there are no more than k.
+
+    Where whole products were worked out for all pairs, those are left that may be among a query's k best and reach its ``floor``.
+    Pairs followed by themselves need not reach it: one that gave the floor may have been abandoned.
+    """
+    width = x.shape[1]
+    if len(x) <= k:
+        return np.repeat(np.arange(len(q)), len(x)), np.tile(np.arange(len(x)), len(q))
     q_part, x_part = np.cumsum(q ** 2, axis=1), np.cumsum(x ** 2, axis=1)  # squared norms of the first columns
+    slack = ROUNDING * np.sqrt(q_part[:, -1] * x_part[:, -1].max())
     at = min(COLUMNS, width)
-    product = q[:, :at] @ x[:, :at].T
+    product, alive = q[:, :at] @ x[:, :at].T, np.ones((len(q), len(x)), bool)
     first = np.argpartition(-product, k - 1, axis=1)[:, :k]
-    known = np.einsum("qd,qkd->qk", q, x[first]).min(axis=1) - 1e-9  # k rows are at least that near
+    known = np.einsum("qd,qkd->qk", q, x[first]).min(axis=1) - slack  # k rows are at least that near
+    while at < width and alive.mean() > FEW:
+        # apart * (width / at) <= (1 + EPSILON / sqrt(at)) ** 2 * most, solved for the product so far
+        share = (1 + EPSILON / np.sqrt(at)) ** 2 * at / width
+        alive &= product >= ((q_part[:, at - 1] - share * (q_part[:, -1] - 2 * known))[:, None]
+                             + (x_part[:, at - 1] - share * x_part[:, -1])) / 2
+        to = min(at + COLUMNS, width)
+        product += q[:, at:to] @ x[:, at:to].T
+        at = to
     if at == width:
-        return np.nonzero(product >= known[:, None])
-    left, right = np.divmod(np.arange(product.size), len(x))
-    so_far = product.reshape(-1)
-    while True:
+        best = np.partition(product, len(x) - k, axis=1)[:, len(x) - k]
+        return np.nonzero(product >= (np.maximum(floor, best) - slack)[:, None])
+    left, right = np.nonzero(alive)
+    so_far = product[left, right]
+    while at < width:
         apart = q_part[left, at - 1] + x_part[right, at - 1] - 2 * so_far
         most = q_part[left, -1] + x_part[right, -1] - 2 * known[left]
-        alive = apart * (width / at) <= (1 + EPSILON / np.sqrt(at)) ** 2 * most
-        left, right, so_far = left[alive], right[alive], so_far[alive]
+        near = apart * (width / at) <= (1 + EPSILON / np.sqrt(at)) ** 2 * most
+        left, right, so_far = left[near], right[near], so_far[near]
         to = min(at + COLUMNS, width)
         so_far = so_far + np.einsum("ij,ij->i", q[left, at:to], x[right, at:to])
         at = to
-        if at == width:
-            near = so_far >= known[left]
-            return left[near], right[near]
+    near = so_far >= known[left]
+    return left[near], right[near]
 
 
 def _compare(width: int, k: int, tried: np.ndarray, ids: np.ndarray):
@@ -151,29 +170,42 @@ def _probes(placed: DataFrame, asked: DataFrame, looks, width: int, k: int, reca
 
 
 def _scan(width: int, k: int):
+    turn = rotation(width)
+
     def scan(rows: pa.Table, queries: pa.Table) -> pa.Table:
         x, ids = matrix(rows["vector"], width), rows["vec_id"].to_numpy()
-        q_all, keys = matrix(queries["vector"], width), queries["key"].to_pylist()
-        out_key, out_id, out_score = [], [], []
+        q_all, floor = matrix(queries["vector"], width), queries["floor"].to_numpy()
+        x_turned, q_turned = x @ turn, q_all @ turn
+        out_query, out_id, out_score = [np.empty(0, np.int64)], [ids[:0]], [np.empty(0)]
         for begin in range(0, len(q_all) if len(x) else 0, 256):
-            q = q_all[begin:begin + 256]
-            left, right = survivors(q, x, k)
-            exact = (q[left] * x[right]).sum(axis=1)
+            some = slice(begin, begin + 256)
+            left, right = survivors(q_turned[some], x_turned, k, floor[some])
+            exact = (q_all[some][left] * x[right]).sum(axis=1)
             order = np.lexsort((ids[right], -exact, left))
             left, right, exact = left[order], right[order], exact[order]
             rank = np.arange(len(left)) - np.searchsorted(left, left)
             kept = rank < k
-            out_key += [keys[begin + i] for i in left[kept].tolist()]
+            out_query.append(begin + left[kept])
             out_id.append(ids[right[kept]])
             out_score.append(exact[kept])
         return pa.table({
-            "key": pa.array(out_key, pa.string()),
-            "vec_id": pa.array(np.concatenate(out_id) if out_id else np.empty(0, np.int64), pa.int64()),
-            "score": pa.array(np.concatenate(out_score) if out_score else np.empty(0), pa.float64())})
+            "key": queries["key"].combine_chunks().take(pa.array(np.concatenate(out_query))),
+            "vec_id": pa.array(np.concatenate(out_id), pa.int64()), "score": pa.array(np.concatenate(out_score), pa.float64())})
 
     return scan
 
 
+def floors(q: np.ndarray, probed: np.ndarray, known: np.ndarray, known_list: np.ndarray, n_lists: int, k: int) -> np.ndarray:
+    """For each query the k-th best score of the known rows in its probed lists, less what it may be off by; no score if they are fewer."""
+    if len(known) < k:
+        return np.full(len(q), -np.inf)
+    open_ = np.zeros((len(q), n_lists), bool)
+    np.put_along_axis(open_, probed, True, axis=1)
+    score = np.where(open_[:, known_list], q @ known.T, -np.inf)
+    slack = ROUNDING * np.linalg.norm(q, axis=1) * np.linalg.norm(known, axis=1).max()
+    return np.partition(score, len(known) - k, axis=1)[:, len(known) - k] - slack
+
+
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding",
             k: int = K, factor: float = FACTOR, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` holds for, its k nearest other rows."""
@@ -194,7 +226,10 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     sample = [r["vector"] for r in listed.where(draw < SAMPLE / n * 1.1 + 1e-6).select("vector", draw.alias("draw"))
               .orderBy("draw").limit(SAMPLE).collect()] or [listed.first()["vector"]]
     width = Counter(map(len, sample)).most_common(1)[0][0]
-    middle = centres(np.array([v for v in sample if len(v) == width]), max(1, min(MOST_LISTS, round(n ** 0.5))))
+    points = np.array([v for v in sample if len(v) == width])
+    middle = centres(points, max(1, min(MOST_LISTS, round(n ** 0.5))))
+    points = points[:max(1, FLOOR_BYTES // (8 * width))]
+    points_list = np.concatenate([(points[a:a + 2048] @ middle.T).argmax(axis=1) for a in range(0, len(points), 2048)])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,13 +253,16 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                lists = np.argsort(-looks(matrix(some.column(1), width)), axis=1, kind="stable")[:, :n_probes]
+                x = matrix(some.column(1), width)
+                lists = np.argsort(-looks(x), axis=1, kind="stable")[:, :n_probes]
+                floor = floors(x, lists, points, points_list, len(middle), k + 1)
                 again = pa.array(np.repeat(np.arange(some.num_rows), n_probes))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(again), some.column(1).take(again), pa.array(lists.reshape(-1), pa.int32())],
-                    ["key", "vector", "list"])
+                    [some.column(0).take(again), some.column(1).take(again), pa.array(lists.reshape(-1), pa.int32()),
+                     pa.array(np.repeat(floor, n_probes))], ["key", "vector", "list", "floor"])
 
-    probing = common.table(asked.select("key", "vector").mapInArrow(probe, "key string, vector array<double>, list int"))
+    probing = common.table(asked.select("key", "vector").repartition(common.partitions(spark), "key").mapInArrow(  # many rows a query
+        probe, "key string, vector array<double>, list int, floor double"))
     chunks = {r["list"]: -(-r["n"] // CHUNK_QUERIES) for r in probing.groupBy("list").agg(F.count("*").alias("n")).collect()}
     shape = F.broadcast(spark.createDataFrame(
         [(i, -(-r["n"] // BLOCK_ROWS), chunks[i]) for i, r in of_list.items() if i in chunks], "list int, blocks int, chunks int"))
@@ -233,7 +271,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     left = placed.join(shape, "list").select(
         "vec_id", "vector", "list", dealt("vec_id", "blocks").alias("block"), upto("chunks").alias("chunk"))
     asking = probing.join(shape, "list").select(
-        "key", "vector", "list", upto("blocks").alias("block"), dealt("key", "chunks").alias("chunk"))
+        "key", "vector", "floor", "list", upto("blocks").alias("block"), dealt("key", "chunks").alias("chunk"))
     group = ["list", "block", "chunk"]
     found = left.groupBy(*group).cogroup(asking.groupBy(*group)).applyInArrow(
         _scan(width, k + 1), "key string, vec_id long, score double")

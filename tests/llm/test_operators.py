@@ -485,6 +485,36 @@ def test_neighbours_that_do_not_cluster(spark):
     assert recall >= 0.92
 
 
+@pytest.mark.parametrize("spread", [0.05, 5.0])  # few and nearly all candidates are left after some columns
+def test_lists_give_the_best_rows_that_reach_the_floor(spread):
+    random = np.random.default_rng(12)
+    middles = random.normal(size=(40, 64))
+    x = np.repeat(middles, 15, axis=0) + random.normal(size=(600, 64)) * spread
+    q = np.repeat(middles[:10], 30, axis=0) + random.normal(size=(300, 64)) * spread
+    product = (q[:, None] * x[None]).sum(axis=2)
+    rows = pa.table({"vec_id": np.arange(600), "vector": list(x)})
+    for floor in (np.full(300, -np.inf), np.sort(product, axis=1)[:, -3], np.full(300, np.inf)):
+        queries = pa.table({"key": [str(i) for i in range(300)], "vector": list(q), "floor": floor})
+        found = neighbours._scan(64, 7)(rows, queries).to_pylist()
+        best = {(str(i), int(j)) for i, of in enumerate(np.argsort(-product, axis=1)[:, :7]) for j in of if product[i, j] >= floor[i]}
+        named = {(r["key"], r["vec_id"]) for r in found}
+        assert len(named) == len(found) and len(best & named) >= 0.99 * len(best)
+        assert all(abs(r["score"] - product[int(r["key"]), r["vec_id"]]) < 1e-9 for r in found)
+        if spread > 1:  # whole products are worked out: no other row
+            assert named == best
+
+
+def test_floors_are_of_rows_in_probed_lists():
+    random = np.random.default_rng(13)
+    q, known, lists = random.normal(size=(20, 8)), random.normal(size=(500, 8)) * 1e6, random.integers(0, 10, 500)
+    probed = np.argsort(random.random((20, 10)), axis=1)[:, :3]
+    for i, floor in enumerate(neighbours.floors(q, probed, known, lists, 10, 4)):
+        scores = np.sort((q[i] * known[np.isin(lists, probed[i])]).sum(axis=1))
+        assert scores[-5] < floor <= scores[-4]
+    assert (neighbours.floors(q, probed, known[:3], lists[:3], 10, 4) == -np.inf).all()
+    assert (neighbours.floors(q, probed, known, np.full(500, 9), 10, 4) == -np.inf)[~(probed == 9).any(axis=1)].all()
+
+
 def test_empty_tables(spark, nothing, tmp_path):
     for result in (dedup.exact_groups(nothing), dedup.exact_dedup(nothing), mixing.mix(nothing), mixing.curriculum(nothing),
                    sharding.shard_rows(nothing), simhash.near_groups(nothing), simhash.near_dedup(nothing),
